@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions import contacts, media, prices
+from pageloom.plans import synth
 from pageloom.sources.captured import read_table
 
 
-def _style(n: Column) -> Column:
-    """A quantity of cents as an English or a Turkish price, by parity."""
-    cents = F.lpad((n % 100).cast("string"), 2, "0")
-    whole = F.floor(n / 100).cast("long")
-    english = F.regexp_replace(F.format_number(whole, 0), ",", ",")
-    turkish = F.translate(english, ",", ".")
-    return F.when(
-        n % 2 == 0, F.concat(F.lit("$"), english, F.lit("."), cents)
-    ).otherwise(F.concat(turkish, F.lit(","), cents, F.lit(" TL")))
-
-
 def _line_prices(spark: SparkSession, sf: str) -> DataFrame:
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    cents = synth.cents(F.col("l_extendedprice"))
     return read_table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", cents.alias("cents"), _style(cents).alias("shown")
+        "l_orderkey", "l_linenumber", cents.alias("cents"), synth.shown_price(cents).alias("shown")
     )
 
 
