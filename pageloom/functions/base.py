@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -43,5 +43,14 @@ def first_per_key(items: Column) -> Column:
     )
 
 
-def typed_empty(sql_type: str) -> Column:
-    return F.array().cast(f"array<{sql_type}>")
+def unnest(df: DataFrame, keys: list[Column | str], items: Column, pos: str | None = None) -> DataFrame:
+    """One row per struct of the array ``items``, with its fields as columns.
+
+    The array gets a projection of its own: field names of structs built inside
+    a generator can get lost.
+    """
+    staged = df.select(*keys, items.alias("_items"))
+    names = [c for c in staged.columns if c != "_items"]
+    if pos is None:
+        return staged.select(*names, F.inline("_items"))
+    return staged.select(*names, F.posexplode("_items").alias(pos, "_item")).select(*names, pos, "_item.*")

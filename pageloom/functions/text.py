@@ -14,9 +14,10 @@ from pageloom.functions.base import extract_or_null, let
 
 # The whitespace that a browser's trim() and \s know, as the body
 # of a regex character class. Java's \s has only the ASCII part.
-_UNICODE_SPACES = (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
 NBSP = chr(0xA0)
-WS = r"\t\n\x0B\f\r " + "".join(map(chr, _UNICODE_SPACES))
+_WIDE = [(0x1680,), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F,), (0x205F,), (0x3000,), (0xFEFF,)]
+WS = rf"\t\n\x0B\f\r {NBSP}" + "".join("-".join(map(chr, r)) for r in _WIDE)
+_SPACES = "\t\n\x0b\f\r " + NBSP + "".join(chr(c) for r in _WIDE for c in range(r[0], r[-1] + 1))
 
 # The rest of a tag after its name. Quotes only count after "=", and every
 # quantifier is possessive: linear time, and no deep recursion in the matcher.
@@ -37,14 +38,18 @@ _P_ENDERS = (
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{WS}]++|[{WS}]++\z", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def collapse(c: Column) -> Column:
-    """Tidy whitespace but keep single and double line breaks."""
+    """Tidy whitespace but keep single and double line breaks.
+
+    The patterns only match where something changes; most text has little to
+    tidy.
+    """
     c = F.translate(c, "\r", "")
-    c = F.regexp_replace(c, rf"[ \t{NBSP}]+", " ")
-    c = F.regexp_replace(c, r" ?\n ?", "\n")
+    c = F.regexp_replace(c, rf"[ \t{NBSP}]{{2,}}|[\t{NBSP}]", " ")
+    c = F.regexp_replace(c, r" \n ?|\n ", "\n")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
     return trim_ws(c)
 
@@ -76,16 +81,19 @@ _LEGACY = sorted(
     key=len,
     reverse=True,
 )
-_ENTITY = rf"^(?:([A-Za-z][A-Za-z0-9]*);|({'|'.join(_LEGACY)}))"
+_REFERENCE = (
+    rf"^(?:#[xX][0-9a-fA-F]{{1,7}};?|#[0-9]{{1,8}};?|[A-Za-z][A-Za-z0-9]*+;|(?:{'|'.join(_LEGACY)}))"
+)
 _C1 = "".join(chr(i) for i in range(128, 160))
 _C1_AS_CP1252 = "".join(bytes([i]).decode("cp1252", "replace") for i in range(128, 160))
 
 
+# One literal; a call per entry would make every plan slow to build.
+_TABLE = "\x02".join(f"{n}\x01{chr(cp)}" for n, cp in [*name2codepoint.items(), ("apos", 39)])
+
+
 def _entity_table() -> Column:
-    pairs = []
-    for name, cp in name2codepoint.items():
-        pairs += [F.lit(name), F.lit(chr(cp))]
-    return F.create_map(*pairs, F.lit("apos"), F.lit("'"))
+    return F.str_to_map(F.lit(_TABLE), F.lit("\x02"), F.lit("\x01"))
 
 
 def _char(code: Column) -> Column:
@@ -96,32 +104,31 @@ def _char(code: Column) -> Column:
     return F.translate(ch, _C1, _C1_AS_CP1252)
 
 
-def _decode_segment(seg: Column, table: Column) -> Column:
-    """``seg`` is what follows an ampersand."""
-    number = F.regexp_extract(seg, r"^#(?:[xX][0-9a-fA-F]{1,7}|[0-9]{1,8});?", 0)
+def _decode_number(seg: Column, number: Column) -> Column:
     digits = F.regexp_replace(number, "[#xX;]", "")
-    base16 = number.rlike("^#[xX]")
-    code = F.conv(digits, 16, 10)
-    value = F.when(base16, code.cast("long")).otherwise(digits.cast("long"))
+    value = F.when(number.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+    return F.concat(let(value, _char), F.substr(seg, F.length(number) + 1))
 
-    name = F.coalesce(
-        F.nullif(F.regexp_extract(seg, _ENTITY, 1), F.lit("")),
-        F.nullif(F.regexp_extract(seg, _ENTITY, 2), F.lit("")),
+
+def _decode_name(seg: Column, name: Column) -> Column:
+    """``name`` may end in a semicolon, which is then used up too."""
+    return let(
+        F.try_element_at(_entity_table(), F.rtrim(name, F.lit(";"))),
+        lambda hit: F.when(hit.isNull(), F.concat(F.lit("&"), seg)).otherwise(
+            F.concat(hit, F.substr(seg, F.length(name) + 1))
+        ),
     )
-    used = F.length(F.regexp_extract(seg, _ENTITY, 0))
-    named = F.when(
-        seg.startswith("amp;"), F.concat(F.lit("&"), F.substr(seg, F.lit(5)))
-    ).otherwise(
-        let(
-            F.try_element_at(table, name),
-            lambda hit: F.when(hit.isNull(), F.concat(F.lit("&"), seg)).otherwise(
-                F.concat(hit, F.substr(seg, used + 1))
-            ),
-        )
+
+
+def _decode_segment(seg: Column) -> Column:
+    """``seg`` is what follows an ampersand."""
+    return let(
+        F.regexp_extract(seg, _REFERENCE, 0),
+        lambda ref: F.when(ref == "", F.concat(F.lit("&"), seg))
+        .when(ref == "amp;", F.concat(F.lit("&"), F.substr(seg, F.lit(5))))
+        .when(ref.startswith("#"), _decode_number(seg, ref))
+        .otherwise(_decode_name(seg, ref)),
     )
-    return F.when(
-        number != "", F.concat(_char(value), F.substr(seg, F.length(number) + 1))
-    ).otherwise(named)
 
 
 def unescape(c: Column) -> Column:
@@ -130,15 +137,14 @@ def unescape(c: Column) -> Column:
     Knows numeric references and the HTML 4 names. Text without an ampersand
     takes the short way out.
     """
-    table = _entity_table()
-    decoded = F.array_join(
-        F.transform(
-            F.split(c, "&"),
-            lambda s, i: F.when(i == 0, s).otherwise(_decode_segment(s, table)),
-        ),
-        "",
-    )
-    return F.when(F.instr(c, "&") == 0, c).otherwise(decoded)
+
+    def decode(text: Column) -> Column:
+        parts = F.transform(
+            F.split(text, "&"), lambda s, i: F.when(i == 0, s).otherwise(_decode_segment(s))
+        )
+        return F.when(F.instr(text, "&") == 0, text).otherwise(F.array_join(parts, ""))
+
+    return let(c, decode)
 
 
 # ------------------------------------------------------------------ markup

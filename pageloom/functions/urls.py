@@ -19,6 +19,10 @@ _BAD_HOST = r"""[\x00-\x20"#%/:<>?@\[\\\]^`{|}\x7f]"""
 _ESCAPED = r"""[^\x21-\x7e]|["<>`{}]"""
 
 
+# Already in canonical form: no escapes to add, no port, no dot segments.
+_CANONICAL = r"""^https?://[a-z0-9][a-z0-9.-]*/(?:[!$-;=?-\[\]^_a-z|~](?!(?<=/)\.))*+(?:#[!$-;=?-\[\]^_a-z|~]*+)?\z"""
+
+
 def _part(u: Column, group: int) -> Column:
     return F.regexp_extract(u, _PARTS, group)
 
@@ -26,81 +30,85 @@ def _part(u: Column, group: int) -> Column:
 def _percent_encode(c: Column, also: str = "") -> Column:
     """Escape what may not stand in a URL, as UTF-8 bytes."""
     unsafe = _ESCAPED + (f"|[{also}]" if also else "")
-    return F.when(
-        c.rlike(unsafe),
-        F.array_join(
-            F.transform(
-                F.split(c, ""),
-                lambda ch: F.when(ch == " ", F.lit("%20"))
-                .when(ch.rlike(unsafe), F.url_encode(ch))
-                .otherwise(ch),
-            ),
-            "",
-        ),
-    ).otherwise(c)
+
+    def encode(text: Column) -> Column:
+        escaped = F.transform(
+            F.split(text, ""),
+            lambda ch: F.when(ch == " ", F.lit("%20")).when(ch.rlike(unsafe), F.url_encode(ch)).otherwise(ch),
+        )
+        return F.when(text.rlike(unsafe), F.array_join(escaped, "")).otherwise(text)
+
+    return let(c, encode)
 
 
 def _resolve_dots(path: Column) -> Column:
     """Apply ``.`` and ``..`` segments."""
-    step = F.aggregate(
-        F.split(path, "/"),
-        F.array().cast("array<string>"),
-        lambda acc, seg: F.when(
-            seg == "..",
-            F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc),
+
+    def apply(p: Column) -> Column:
+        kept = F.aggregate(
+            F.split(p, "/"),
+            F.array().cast("array<string>"),
+            lambda acc, seg: F.when(
+                seg == "..",
+                F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc),
+            )
+            .when(seg == ".", acc)
+            .otherwise(F.concat(acc, F.array(seg))),
         )
-        .when(seg == ".", acc)
-        .otherwise(F.concat(acc, F.array(seg))),
-    )
-    tail = F.when(path.rlike(r"/\.\.?\z"), F.lit("/")).otherwise(F.lit(""))
-    joined = F.concat(F.array_join(step, "/"), tail)
-    return F.when(
-        path.rlike(r"/\.\.?(?:/|\z)"),
-        F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined)),
-    ).otherwise(path)
+        tail = F.when(p.rlike(r"/\.\.?\z"), F.lit("/")).otherwise(F.lit(""))
+        joined = F.regexp_replace(F.concat(F.array_join(kept, "/"), tail), "^(?!/)", "/")
+        return F.when(p.rlike(r"/\.\.?(?:/|\z)"), joined).otherwise(p)
+
+    return let(path, apply)
 
 
 def _authority(raw: Column, scheme: Column) -> Column:
     """Canonical ``[user@]host[:port]``; null when there is no usable host."""
-    user = F.regexp_extract(raw, r"^(.*@)", 1)
+
+    def join(a: Column) -> Column:
+        host, port = a["host"], a["port"]
+        usual = (port == "") | (port == F.when(scheme == "http", "80").otherwise("443"))
+        good = (
+            (host != "")
+            & (~host.rlike(_BAD_HOST) | host.rlike(r"^\[[0-9a-f:.]+\]\z"))
+            & (F.length(port) < 10)
+            & (F.coalesce(port.try_cast("long"), F.lit(0)) <= 65535)
+        )
+        return F.when(good, F.concat(a["user"], host, F.when(usual, "").otherwise(F.concat(F.lit(":"), port))))
+
     rest = F.regexp_replace(raw, r"^.*@", "")
-    port = F.regexp_extract(rest, r":([0-9]*)\z", 1)
-    host = F.lower(F.regexp_replace(rest, r":[0-9]*\z", ""))
-    is_default = (
-        (port == "")
-        | ((scheme == "http") & (port == "80"))
-        | ((scheme == "https") & (port == "443"))
-    )
-    bad = (
-        (host == "")
-        | (host.rlike(_BAD_HOST) & ~host.rlike(r"^\[[0-9a-f:.]+\]\z"))
-        | (F.try_to_number(F.nullif(port, F.lit("")), F.lit("9" * 10)) > 65535)
-        | (F.length(port) > 9)
+    return let(
+        F.struct(
+            F.regexp_extract(raw, r"^(.*@)", 1).alias("user"),
+            F.lower(F.regexp_replace(rest, r":[0-9]*\z", "")).alias("host"),
+            F.regexp_extract(rest, r":([0-9]*)\z", 1).alias("port"),
+        ),
+        join,
     )
-    return F.when(~F.coalesce(bad, F.lit(False)), F.concat(user, host, F.when(is_default, "").otherwise(F.concat(F.lit(":"), port))))
 
 
 def _canonical(u: Column) -> Column:
     """Serialise an absolute http(s) URL."""
-    scheme = F.lower(_part(u, 1))
-    path = F.translate(_part(u, 3), "\\", "/")
-    full = F.when(path == "", F.lit("/")).otherwise(_percent_encode(_resolve_dots(path)))
-    query = _part(u, 4)
-    frag = _part(u, 5)
-    return F.when(
-        u.rlike(_PARTS),
-        let(
-            _authority(_part(u, 2), scheme),
-            lambda auth: F.concat(
-                scheme,
-                F.lit("://"),
-                auth,
-                full,
-                F.when(query.isin("", "?"), query).otherwise(_percent_encode(query, "'")),
-                F.when(frag.isin("", "#"), frag).otherwise(_percent_encode(frag)),
-            ),
-        ),
+
+    def serialise(x: Column) -> Column:
+        path = F.translate(x["path"], "\\", "/")
+        return F.concat(
+            x["scheme"],
+            F.lit("://"),
+            _authority(x["authority"], x["scheme"]),
+            F.when(path == "", F.lit("/")).otherwise(_percent_encode(_resolve_dots(path))),
+            _percent_encode(x["query"], "'"),
+            _percent_encode(x["fragment"]),
+        )
+
+    parts = F.struct(
+        F.lower(_part(u, 1)).alias("scheme"),
+        _part(u, 2).alias("authority"),
+        _part(u, 3).alias("path"),
+        _part(u, 4).alias("query"),
+        _part(u, 5).alias("fragment"),
     )
+    return F.when(u.rlike(_CANONICAL), u).when(u.rlike(_PARTS), let(parts, serialise))
 
 
 def _clean(c: Column) -> Column:
@@ -146,6 +154,7 @@ def base_parts(url: Column) -> Column:
             F.concat(_part(u, 1), F.lit("://"), _part(u, 2)).alias("origin"),
             _part(u, 3).alias("path"),
             _part(u, 4).alias("query"),
+            F.regexp_extract(u, r"^https?://[^?#]*/", 0).alias("folder"),
         ),
     )
 
@@ -158,26 +167,25 @@ def resolve(href: Column, base: Column) -> Column:
 
     def absolute(v: Column) -> Column:
         return (
-            F.when(v.rlike(r"^[/\\]{2}"), F.concat(base["scheme"], F.lit(":"), v))
+            F.when(v.rlike(_SCHEME), v)
+            .when(v.rlike(r"^[/\\]{2}"), F.concat(base["scheme"], F.lit(":"), v))
             .when(v.rlike(r"^[/\\]"), F.concat(base["origin"], v))
             .when(v.startswith("?"), F.concat(base["origin"], base["path"], v))
             .when(v.startswith("#"), F.concat(base["origin"], base["path"], base["query"], v))
-            .otherwise(
-                F.concat(base["origin"], F.regexp_replace(base["path"], r"[^/]*\z", ""), v)
-            )
+            .otherwise(F.concat(base["folder"], v))
         )
 
+    def serialise(u: Column) -> Column:
+        opaque = F.concat(
+            F.lower(F.regexp_extract(u, _SCHEME, 0)), F.regexp_replace(u, _SCHEME, "")
+        )
+        return F.coalesce(_canonical(u), F.when(~u.rlike("(?i)^https?:"), opaque))
+
     return let(
         _clean(href),
-        lambda v: F.when((v == "") | v.startswith("javascript:") | (v == "#"), F.lit(None))
-        .when(v.rlike(r"(?i)^https?:"), _canonical(v))
-        .when(
-            v.rlike(_SCHEME),
-            F.concat(
-                F.lower(F.regexp_extract(v, _SCHEME, 0)), F.regexp_replace(v, _SCHEME, "")
-            ),
-        )
-        .otherwise(let(absolute(v), _canonical)),
+        lambda v: F.when(
+            (v != "") & ~v.startswith("javascript:") & (v != "#"), let(absolute(v), serialise)
+        ),
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import contacts, urls
 from pageloom.functions import text as tx
-from pageloom.functions.base import first_per_key, let
+from pageloom.functions.base import first_per_key, let, unnest
 from pageloom.operators import crawl, dom, select
 from pageloom.operators.pages import raw_links
 from pageloom.session import checkpoint
@@ -124,7 +124,7 @@ def _flat_leads(pages: DataFrame) -> DataFrame:
             _socials(s["links"], s["base"]),
         ),
     )
-    return staged.select("page_id", F.inline(found.cast(f"array<{_LEAD}>")))
+    return unnest(staged, ["page_id"], found.cast(f"array<{_LEAD}>"))
 
 
 def page_addresses(pages: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ Only de-duplication and caps look across pages.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
-from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from pyspark.sql.window import Window as W
 
 from pageloom.functions import media, prices, urls
 from pageloom.functions import text as tx
-from pageloom.functions.base import let
+from pageloom.functions.base import extract_or_null, let, unnest
 from pageloom.operators import dom, select
 
 # Selectors tried, in order, when none is given.
@@ -168,10 +168,7 @@ def explode_items(parsed: DataFrame, item_ids: Column, keys: list[str], tables:
         return F.transform(F.transform(item_ids, lambda i: dom.node_at(tree, i)), item)
 
     every = let(_table_headers(tree, content), items) if tables else items(None)
-    exploded = parsed.select(
-        *keys, urls.base_parts(F.col("url")).alias("base"), F.posexplode(every).alias("item_idx", "i")
-    )
-    return exploded.select(*keys, "base", "item_idx", "i.*")
+    return unnest(parsed, [*keys, urls.base_parts(F.col("url")).alias("base")], every, "item_idx")
 
 
 def _text_in(node: Column) -> Column:
@@ -314,9 +311,9 @@ def _field_value(spec: dict[str, str], name: str) -> Column:
 
 def _regex_value(value: Column, pattern: str) -> Column:
     """First group where the pattern has one, else the whole match."""
-    has_group = F.lit(pattern).rlike(r"(?<!\\)\((?!\?[:=!<])|\(\?<[a-zA-Z]")
-    group = F.when(has_group, F.lit(1)).otherwise(F.lit(0))
-    return F.when(value.rlike(pattern), F.regexp_extract(value, F.lit(pattern), group))
+    bare = re.sub(r"\\.|\[\^?\]?[^\]]*\]", "", pattern)
+    has_group = re.search(r"\((?!\?)|\(\?<(?![=!])", bare) is not None
+    return extract_or_null(value, pattern, int(has_group))
 
 
 def with_field_columns(items: DataFrame, keys: list[str], fields: dict[str, dict[str, str]]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import text as tx
 from pageloom.functions import urls
-from pageloom.functions.base import first_per_key, let
+from pageloom.functions.base import first_per_key, let, unnest
 from pageloom.operators import dom, select
 
 MAX_HEADINGS = 200
@@ -109,12 +109,11 @@ def page_descriptions(pages: DataFrame) -> DataFrame:
 
 
 def page_headings(pages: DataFrame) -> DataFrame:
-    found = pages.select("page_id", F.posexplode(headings(markup(F.col("html")))).alias("pos", "h"))
-    return found.select("page_id", "pos", "h.level", "h.text")
+    return unnest(pages, ["page_id"], headings(markup(F.col("html"))), "pos")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", F.inline(links(markup(F.col("html")), F.col("url"))))
+    return unnest(pages, ["page_id"], links(markup(F.col("html")), F.col("url")))
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.base import let
+from pageloom.functions.base import let, unnest
 from pageloom.operators import dom
 
 _SIMPLE = re.compile(
@@ -172,17 +172,12 @@ def match_nodes(tree: Column, selector: str) -> Column:
 def selector_match(pages: DataFrame, selector: str) -> DataFrame:
     """One row per matching element of every page."""
     parsed = dom.parse(pages.select("page_id", "html"))
-    hits = parsed.select(
-        "page_id",
-        F.posexplode(
-            F.transform(
-                match_nodes(F.col("nodes"), selector),
-                lambda n: F.struct(
-                    n["id"].alias("node_id"),
-                    n["tag"].alias("tag"),
-                    dom.text_of(F.col("content"), n).alias("text"),
-                ),
-            )
-        ).alias("pos", "hit"),
+    hits = F.transform(
+        match_nodes(F.col("nodes"), selector),
+        lambda n: F.struct(
+            n["id"].alias("node_id"),
+            n["tag"].alias("tag"),
+            dom.text_of(F.col("content"), n).alias("text"),
+        ),
     )
-    return hits.select("page_id", "pos", "hit.node_id", "hit.tag", "hit.text")
+    return unnest(parsed, ["page_id"], hits, "pos")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import text as tx
 from pageloom.functions import urls
+from pageloom.functions.base import unnest
 from pageloom.operators import dom, pages, select
 from pageloom.sources.captured import read_pages, read_table, spread
 
@@ -55,10 +56,10 @@ def page_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def same_origin_links(spark: SparkSession, sf: str) -> DataFrame:
-    found = read_pages(spark, sf).select(
-        "page_id",
-        urls.url_origin(F.col("url")).alias("origin"),
-        F.inline(pages.links(pages.markup(F.col("html")), F.col("url"))),
+    found = unnest(
+        read_pages(spark, sf),
+        ["page_id", urls.url_origin(F.col("url")).alias("origin")],
+        pages.links(pages.markup(F.col("html")), F.col("url")),
     )
     return found.where(urls.url_origin(F.col("url")) == F.col("origin")).select("page_id", "url")
 

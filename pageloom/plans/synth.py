@@ -37,7 +37,8 @@ def cat(*parts: Column | str) -> Column:
 def assembled(rows: DataFrame, group: list[str], order: str, piece: Column) -> DataFrame:
     """One row per page with its pieces in order; pages are small by design."""
     pieces = F.array_sort(F.collect_list(F.struct(F.col(order), piece.alias("piece"))))
-    return rows.groupBy(*group).agg(
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *group).groupBy(*group).agg(
         F.array_join(F.transform(pieces, lambda p: p["piece"]), "\n").alias("body")
     )
 

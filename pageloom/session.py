@@ -13,6 +13,19 @@ _DEFAULTS = {
 }
 
 
+# Only at session start. Capturing the call site of every column expression
+# doubles the time it takes to write down a plan.
+_AT_START = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
+def builder(name: str = "pageloom") -> SparkSession.Builder:
+    """Session builder with every setting the operators like."""
+    made = SparkSession.builder.appName(name)
+    for key, value in {**_AT_START, **_DEFAULTS}.items():
+        made = made.config(key, value)
+    return made
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings; all can be changed on a live session."""
     for key, value in _DEFAULTS.items():
