@@ -54,3 +54,24 @@ def unnest(df: DataFrame, keys: list[Column | str], items: Column, pos: str | No
     if pos is None:
         return staged.select(*names, F.inline("_items"))
     return staged.select(*names, F.posexplode("_items").alias(pos, "_item")).select(*names, pos, "_item.*")
+
+
+def runs_by_key(items: Column) -> Column:
+    """Group an array of structs by their leading field ``key``.
+
+    Gives an array of arrays, each holding the structs of one key in order:
+    a group-by inside one row.
+    """
+
+    def cut(s: Column) -> Column:
+        starts = F.filter(
+            F.transform(s, lambda x, i: i), lambda i: (i == 0) | (F.get(s, i - 1)["key"] != F.get(s, i)["key"])
+        )
+        return let(
+            starts,
+            lambda at: F.transform(
+                at, lambda i, j: F.slice(s, i + 1, F.coalesce(F.get(at, j + 1), F.size(s)) - i)
+            ),
+        )
+
+    return let(F.array_sort(items), cut)
