@@ -10,12 +10,18 @@ from pageloom.plans import synth
 from pageloom.sources.captured import read_table, spread
 
 
+def _sized(found: DataFrame) -> DataFrame:
+    """Unknown sizes as -1, so that whole numbers stay whole on both sides."""
+    size = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("width", "height")]
+    return found.select("page_id", "url", *size, "alt")
+
+
 def image_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return images.raw_images(synth.gallery_pages(spark, sf)).select("page_id", "url", "width", "height", "alt")
+    return _sized(images.raw_images(synth.gallery_pages(spark, sf)))
 
 
 def image_merge(spark: SparkSession, sf: str) -> DataFrame:
-    return images.page_images(synth.gallery_pages(spark, sf)).select("page_id", "url", "width", "height", "alt")
+    return _sized(images.page_images(synth.gallery_pages(spark, sf)))
 
 
 def image_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,6 +54,10 @@ def _document_images(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame
     return candidates, stored
 
 
+def judged_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return images.judged_images(*_document_images(spark, sf))
+
+
 def image_reject_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return images.image_skips(*_document_images(spark, sf))
 
@@ -112,9 +122,15 @@ _KEPT = f"""
     SELECT *, lpad(CAST(no AS VARCHAR), 3, '0') || '-d' || doc_id || '.png' AS file_name FROM (
         SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rank) AS no FROM ({_JUDGED}) WHERE verdict IS NULL)"""
 
+
+
+def _sized_sql(sql: str) -> str:
+    return f"SELECT page_id, url, coalesce(width, -1) AS width, coalesce(height, -1) AS height, alt FROM ({sql})"
+
+
 ORACLE = {
-    "image_candidates": _RAW,
-    "image_merge": _ONE,
+    "image_candidates": _sized_sql(_RAW),
+    "image_merge": _sized_sql(_ONE),
     "image_filter": f"""
         SELECT page_id, url, 'below 200x200 (' || coalesce(CAST(width AS VARCHAR), 'null') || 'x' || coalesce(CAST(height AS VARCHAR), 'null') || ')' AS reason
         FROM ({_ONE}) WHERE {_KNOWN}""",

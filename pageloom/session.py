@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,13 +34,8 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through the shared checkpoint folder.
-
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a local session
-    without one gets its own.
-    """
-    spark = df.sparkSession
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the cluster's ``spark.checkpoint.dir``; only a local session gets its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
@@ -48,4 +44,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
             shared = tempfile.mkdtemp(prefix="pageloom-checkpoint-")
         context.setCheckpointDir(shared)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` through the shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, next to the checkpoints."""
+    context = spark.sparkContext
+    ensure_checkpoint_dir(spark)
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
