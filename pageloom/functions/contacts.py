@@ -19,7 +19,7 @@ EMAIL = (
     rf"(?:\G|(?<![{_EMAIL_CHARS}]))[{_EMAIL_CHARS}]++@"
     r"[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+){0,500}\.[a-zA-Z]{2,24}"
 )
-PHONE = rf"(?:\+|00)?\d{{1,4}}?[{WS}.\-]?\(?\d{{2,4}}\)?(?:[{WS}.\-]?\d{{2,4}}){{2,4}}"
+PHONE = rf"(?=[+0-9])(?:\+|00)?\d{{1,4}}?[{WS}.\-]?\(?\d{{2,4}}\)?(?:[{WS}.\-]?\d{{2,4}}){{2,4}}"
 _ASSET = r"\.(?:png|jpe?g|gif|webp|svg|bmp|ico|css|js)$"
 JUNK_DOMAINS = (
     "example.com",
@@ -65,17 +65,36 @@ ADDRESS_SELECTOR = "address, [itemprop='address'], [itemprop='streetAddress'], .
 # ---------------------------------------------------------------- e-mails
 
 
+_S = f"[{WS}]"
+# Each rewrite has a cheap test that starts at a rare character; hardly any text
+# passes one.
+_REWRITES = (
+    (rf"[\[({{<]{_S}*(?:at|@|[äÄ]t)", rf"{_S}*[\[({{<]{_S}*(?:at|@|[äÄ]t){_S}*[\])}}>]{_S}*", "@"),
+    (
+        rf"at(?<={_S}at){_S}+[a-z0-9-]+{_S}*(?:\.|\[dot\]|\(dot\))",
+        rf"{_S}+at{_S}+(?=[a-z0-9-]+{_S}*(?:\.|\[dot\]|\(dot\)){_S}*[a-z]{{2,}})",
+        "@",
+    ),
+    (
+        rf"[\[({{<]{_S}*(?:dot|punkt|nokta)",
+        rf"{_S}*[\[({{<]{_S}*(?:dot|punkt|nokta){_S}*[\])}}>]{_S}*",
+        ".",
+    ),
+    (rf"(?:dot|nokta)(?={_S})", rf"{_S}+(?:dot|nokta){_S}+", "."),
+)
+
+
 def deobfuscate(c: Column) -> Column:
     """Undo ``info [at] site [dot] com`` and its kin."""
-    s = f"[{WS}]"
-    c = F.regexp_replace(c, rf"(?i){s}*[\[({{<]{s}*(?:at|@|[äÄ]t){s}*[\])}}>]{s}*", "@")
-    c = F.regexp_replace(
-        c, rf"(?i){s}+at{s}+(?=[a-z0-9-]+{s}*(?:\.|\[dot\]|\(dot\)){s}*[a-z]{{2,}})", "@"
-    )
-    c = F.regexp_replace(
-        c, rf"(?i){s}*[\[({{<]{s}*(?:dot|punkt|nokta){s}*[\])}}>]{s}*", "."
-    )
-    return F.regexp_replace(c, rf"(?i){s}+(?:dot|nokta){s}+", ".")
+
+    def rewrite(text: Column, steps) -> Column:
+        if not steps:
+            return text
+        test, pattern, by = steps[0]
+        changed = F.when(text.rlike(f"(?i){test}"), F.regexp_replace(text, f"(?i){pattern}", by)).otherwise(text)
+        return let(changed, lambda t: rewrite(t, steps[1:]))
+
+    return let(c, lambda t: rewrite(t, _REWRITES))
 
 
 def scan_emails(c: Column) -> Column:

@@ -47,7 +47,7 @@ def collapse(c: Column) -> Column:
     The patterns only match where something changes; most text has little to
     tidy.
     """
-    c = F.translate(c, "\r", "")
+    c = F.replace(c, F.lit("\r"), F.lit(""))
     c = F.regexp_replace(c, rf"[ \t{NBSP}]{{2,}}|[\t{NBSP}]", " ")
     c = F.regexp_replace(c, r" \n ?|\n ", "\n")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import urls
-from pageloom.session import checkpoint
+from pageloom.session import settle
 from pageloom.sources.captured import first_captures
 
 MAX_LEAD_PAGES = 10
@@ -45,7 +45,7 @@ def walk_contacts(targets: DataFrame, pages: DataFrame, max_pages: int) -> DataF
 
     # Only pages that lead somewhere, once per document, cut off from the markup.
     edges = contact_edges(pages).where(F.size("candidates") > 0)
-    known = checkpoint(
+    known = settle(
         captures.join(edges, "page_id", "left").select(
             "fetch_key", "page_id", F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates")
         )
@@ -59,7 +59,7 @@ def walk_contacts(targets: DataFrame, pages: DataFrame, max_pages: int) -> DataF
     )
     finished: list[DataFrame] = []
     while True:
-        state = checkpoint(_advance(state, known, limit))
+        state = settle(_advance(state, known, limit))
         done = (F.size("queue") == 0) | (F.size("visited") >= limit)
         finished.append(state.where(done))
         state = state.where(~done)

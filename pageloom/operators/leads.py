@@ -15,7 +15,7 @@ from pageloom.functions import text as tx
 from pageloom.functions.base import first_per_key, let, unnest
 from pageloom.operators import crawl, dom, select
 from pageloom.operators.pages import raw_links
-from pageloom.session import checkpoint
+from pageloom.session import settle
 
 _LEAD = "struct<kind string, value string, raw string, source string, network string, pos int>"
 
@@ -202,7 +202,7 @@ def site_leads(targets: DataFrame, pages: DataFrame, max_pages: int = 1) -> Data
     Keeps one row per (target, kind, value): from the earliest page of the walk
     that has it, with that page's URL.
     """
-    visits = checkpoint(crawl.walk_contacts(targets, pages, max_pages))
+    visits = settle(crawl.walk_contacts(targets, pages, max_pages))
     visited = crawl.only_pages(pages, visits.select("page_id").distinct())
     merged_from = visits.join(page_leads(visited), "page_id")
     order = F.struct("visit", "pos")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import urls
 from pageloom.functions.base import let
 from pageloom.operators import crawl, dom, lists, select
-from pageloom.session import checkpoint
+from pageloom.session import settle
 from pageloom.sources.captured import first_captures
 
 # Controls that lead to the next page, in the order they are tried.
@@ -100,7 +100,7 @@ def list_pages(
             .select("fetch_key", urls.fetch_key(F.col("next_url")).alias("next_key"))
             .where("next_key is not null")
         )
-        chain = crawl.chain_pages(starts, checkpoint(edges), limit)
+        chain = crawl.chain_pages(starts, settle(edges), limit)
     return chain.join(captures, "fetch_key").select(
         "target_id", "page_idx", "page_id", F.col("fetch_key").alias("page_url")
     )
@@ -168,7 +168,7 @@ def extract_list(
     Without ``item_selector`` it is detected on a target's first page and used
     on all its pages.
     """
-    chain = checkpoint(
+    chain = settle(
         list_pages(targets, pages, page_url_pattern, start_page, next_page_selector, max_pages)
     )
     captured = chain.where("page_id is not null")
@@ -182,7 +182,7 @@ def extract_list(
     else:
         first = captured.where("page_idx = 0").select("target_id", "page_id")
         best = lists.detect_selectors(crawl.only_pages(pages, first.select("page_id").distinct()))
-        selectors = checkpoint(
+        selectors = settle(
             first.join(best.where("selector is not null"), "page_id").select(
                 "target_id", "selector", F.lit(True).alias("auto_detected")
             )

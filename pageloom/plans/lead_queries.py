@@ -33,20 +33,24 @@ def page_leads(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("page_id", "kind").agg(F.count("*").alias("n"))
 
 
+def _sites(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return synth.supplier_targets(spark, sf), synth.captured(synth.supplier_sites(spark, sf))
+
+
 def leads_crawl(spark: SparkSession, sf: str) -> DataFrame:
     """Walk of up to three pages: home, contact, and nothing that is off-site or missing."""
-    visits = crawl.walk_contacts(synth.supplier_targets(spark, sf), synth.supplier_sites(spark, sf), 3)
+    visits = crawl.walk_contacts(*_sites(spark, sf), 3)
     return visits.select("target_id", "visit", "page_id", "page_url")
 
 
 def site_leads(spark: SparkSession, sf: str) -> DataFrame:
     """Leads merged over each site's walk, with the page that had them first."""
-    merged = leads.site_leads(synth.supplier_targets(spark, sf), synth.supplier_sites(spark, sf), 3)
+    merged = leads.site_leads(*_sites(spark, sf), 3)
     return merged.select("target_id", "kind", "value", "raw", "source", "network", "first_url")
 
 
 def phone_order(spark: SparkSession, sf: str) -> DataFrame:
-    merged = leads.site_leads(synth.supplier_targets(spark, sf), synth.supplier_sites(spark, sf), 3)
+    merged = leads.site_leads(*_sites(spark, sf), 3)
     return leads.phones_for_display(merged).select("target_id", "value", "raw")
 
 

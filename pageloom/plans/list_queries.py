@@ -55,7 +55,7 @@ def autodetect_selector(spark: SparkSession, sf: str) -> DataFrame:
 
 def _paged(spark: SparkSession, sf: str, card, **options) -> paginate.ListExtraction:
     return paginate.extract_list(
-        synth.shop_targets(spark, sf), synth.shop_pages(spark, sf, card), **options
+        synth.shop_targets(spark, sf), synth.captured(synth.shop_pages(spark, sf, card)), **options
     )
 
 

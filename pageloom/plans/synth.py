@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.session import settle
 from pageloom.sources.captured import read_table, spread
 
 PER_PAGE = 20
@@ -60,6 +61,11 @@ def brand_card() -> Column:
     )
 
 
+def captured(pages: DataFrame) -> DataFrame:
+    """The pages as a stored table, which is what a crawl leaves behind."""
+    return settle(pages)
+
+
 def shop_pages(spark: SparkSession, sf: str, card: Column, next_links: bool = True) -> DataFrame:
     """List pages of ``part``: shops of five pages with twenty cards each."""
     parts = spread(read_table(spark, sf, "part"), "p_partkey").select(

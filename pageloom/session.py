@@ -46,14 +46,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(shared)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share, next to the checkpoints."""
     context = spark.sparkContext
     ensure_checkpoint_dir(spark)
     return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df``: write it to the shared folder and read it back.
+
+    Unlike a checkpointed RDD the files have a known size, so Spark can choose
+    to broadcast what is small and prune what is not needed. They outlive lost
+    executors.
+    """
+    folder = scratch_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
