@@ -43,17 +43,18 @@ def first_per_key(items: Column) -> Column:
     )
 
 
-def unnest(df: DataFrame, keys: list[Column | str], items: Column, pos: str | None = None) -> DataFrame:
+def unnest(df: DataFrame, keys: list[Column | str], items: Column, pos: str = "_pos") -> DataFrame:
     """One row per struct of the array ``items``, with its fields as columns.
 
     The array gets a projection of its own: field names of structs built inside
-    a generator can get lost.
+    a generator can get lost. The outer generator keeps the optimizer from
+    adding a "not empty" filter, which would be pushed below that projection and
+    build the array twice.
     """
     staged = df.select(*keys, items.alias("_items"))
     names = [c for c in staged.columns if c != "_items"]
-    if pos is None:
-        return staged.select(*names, F.inline("_items"))
-    return staged.select(*names, F.posexplode("_items").alias(pos, "_item")).select(*names, pos, "_item.*")
+    rows = staged.select(*names, F.posexplode_outer("_items").alias(pos, "_item")).where(F.col(pos).isNotNull())
+    return rows.select(*names, *([] if pos == "_pos" else [pos]), "_item.*")
 
 
 def runs_by_key(items: Column) -> Column:
