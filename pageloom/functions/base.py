@@ -15,7 +15,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     use, because an expression tree has no variables. A one-element
     ``transform`` gives it one.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.transform(F.array(value), body)[0]
 
 
 def empty_to_null(c: Column) -> Column:

@@ -192,31 +192,35 @@ def with_implied_ends(html: Column) -> Column:
     return _close_open(html, "li", "li|ul|ol|menu|body|html")
 
 
+# Anything but tags at the start of the markup.
+_HAS_TEXT = rf"(?is)^(?:{_ANY_TAG})*+(?!<(?:[/!?]|[a-z])).+"
+
+
 def readable_text(html: Column) -> Column:
-    """Readable text of a page or fragment, one line per block."""
+    """Readable text of a page or fragment, one line per block.
+
+    A page whose body holds nothing at all gives the text of its head.
+    """
 
     def lines(markup: Column) -> Column:
         markup = F.regexp_replace(markup, rf"(?is)<br{_NAME_END}{ATTRS}>", "\n")
         markup = F.regexp_replace(markup, rf"(?is)</(?:{BLOCKS})\s*>", "\n")
         return unescape(strip_tags(markup))
 
-    clean = with_implied_ends(drop_elements(html, DROPPED))
-    return let(
-        clean,
-        lambda m: collapse(F.coalesce(F.nullif(lines(body_markup(m)), F.lit("")), lines(m))),
-    )
+    def chosen(whole: Column) -> Column:
+        something = rf"{_HAS_TEXT}|<br{_NAME_END}|</(?:{BLOCKS})\s*>"
+        return let(body_markup(whole), lambda b: F.when(b.rlike(something), b).otherwise(whole))
+
+    return collapse(lines(let(with_implied_ends(drop_elements(html, DROPPED)), chosen)))
 
 
 def lead_text(html: Column) -> Column:
     """Plain text content, blocks not separated: what contact scans read."""
 
-    def plain(markup: Column) -> Column:
-        return unescape(strip_tags(markup))
+    def chosen(whole: Column) -> Column:
+        return let(body_markup(whole), lambda b: F.when(b.rlike(_HAS_TEXT), b).otherwise(whole))
 
-    return let(
-        drop_elements(html, LEAD_DROPPED),
-        lambda m: collapse(F.coalesce(F.nullif(plain(body_markup(m)), F.lit("")), plain(m))),
-    )
+    return collapse(unescape(strip_tags(let(drop_elements(html, LEAD_DROPPED), chosen))))
 
 
 def fragment_text(html: Column) -> Column:
@@ -224,19 +228,15 @@ def fragment_text(html: Column) -> Column:
     return F.when(F.instr(html, "<") == 0, unescape(html)).otherwise(unescape(strip_tags(html)))
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Decoded value of an attribute in the text of one start tag, else null."""
+def attribute(tag: Column, name: str, decode: bool = True) -> Column:
+    """Value of an attribute in the text of one start tag, else null."""
     value = r"""("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
     other = (
         rf"""[\s/]++(?!{name}[\s=/>])[^\s=/>][^\s=/>]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)?+"""
     )
     pattern = rf"(?is)^<[a-z][^\s/>]*+(?:{other})*+[\s/]++{name}\s*+=\s*+{value}"
-    return let(
-        extract_or_null(tag, pattern, 1),
-        lambda v: unescape(
-            F.when(v.rlike("^[\"']"), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v)
-        ),
-    )
+    bare = F.regexp_replace(extract_or_null(tag, pattern, 1), r"(?s)^([\"'])(.*)\1\z", "$2")
+    return unescape(bare) if decode else bare
 
 
 def elements(markup: Column, name: str) -> Column:

@@ -32,16 +32,18 @@ def title(clean: Column) -> Column:
 
 def description(clean: Column) -> Column:
     def content(metas: Column, attr: str, value: str) -> Column:
-        hits = F.filter(metas, lambda m: tx.attribute(m, attr) == value)
-        return F.nullif(tx.attribute(F.get(hits, F.lit(0)), "content"), F.lit(""))
+        hits = F.filter(metas, lambda m: tx.attribute(m, attr, decode=False) == value)
+        return F.nullif(tx.attribute(F.get(hits, F.lit(0)), "content", decode=False), F.lit(""))
 
     return let(
         tx.start_tags(clean, "meta"),
         lambda metas: tx.trim_ws(
-            F.coalesce(
-                content(metas, "name", "description"),
-                content(metas, "property", "og:description"),
-                F.lit(""),
+            tx.unescape(
+                F.coalesce(
+                    content(metas, "name", "description"),
+                    content(metas, "property", "og:description"),
+                    F.lit(""),
+                )
             )
         ),
     )

@@ -142,6 +142,10 @@ ORACLE = {
         UNION ALL SELECT k, 'phone', '+' || k, lpad(CAST(k AS VARCHAR), 9, '0'), 'text', NULL, site || '/' FROM s WHERE k > 0
         UNION ALL SELECT k, 'social', 'https://www.linkedin.com/company/s' || k, NULL, NULL, 'linkedin', site || '/contact' FROM s
         UNION ALL SELECT k, 'address', s_name || ' Street ' || k || ', Istanbul', NULL, NULL, NULL, site || '/contact' FROM s""",
+    "phone_order": """
+        SELECT s_suppkey AS target_id, '+90212' || lpad(CAST(s_suppkey AS VARCHAR), 7, '0') AS value,
+               '+90212' || lpad(CAST(s_suppkey AS VARCHAR), 7, '0') AS raw FROM supplier
+        UNION ALL SELECT s_suppkey, '+' || s_suppkey, lpad(CAST(s_suppkey AS VARCHAR), 9, '0') FROM supplier WHERE s_suppkey > 0""",
     "walk_errors": """
         SELECT s_suppkey AS target_id, 'leads' AS op,
                CASE s_suppkey % 3 WHEN 0 THEN 'Only http/https URLs are supported, got "ftp:"'

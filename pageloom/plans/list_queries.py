@@ -177,11 +177,11 @@ ORACLE = {
         SELECT -page_id - 1, 'table tbody tr', CAST(n AS INTEGER), round(log10(n + 1) * 100, 6)
         FROM (SELECT c_custkey // 50 AS page_id, count(*) + c_custkey // 50 % 2 AS n FROM customer GROUP BY 1)""",
     "paginate_next": f"""
-        SELECT shop AS target_id, no AS page_idx, no * 20 + item_idx + 1 AS item_no, title, cents / 100 AS price_value,
+        SELECT shop AS target_id, no AS page_idx, CAST(no * 20 + item_idx + 1 AS BIGINT) AS item_no, title, cents / 100 AS price_value,
                CASE WHEN cents % 2 = 0 THEN 'USD' ELSE 'TRY' END AS currency
         FROM {_PARTS} WHERE no < 4""",
     "paginate_pattern": f"""
-        SELECT shop AS target_id, no - 1 AS page_idx, (no - 1) * 20 + item_idx + 1 AS item_no, title FROM {_PARTS} WHERE no > 0""",
+        SELECT shop AS target_id, no - 1 AS page_idx, CAST((no - 1) * 20 + item_idx + 1 AS BIGINT) AS item_no, title FROM {_PARTS} WHERE no > 0""",
     "list_dedupe": f"""
         SELECT shop AS target_id, CAST(first // 100 AS INTEGER) AS page_idx, CAST(first % 100 AS INTEGER) AS item_idx,
                p_brand AS title, 'https://shop.test/brand/' || replace(p_brand, '#', '-') AS link
@@ -195,7 +195,7 @@ ORACLE = {
                p_brand AS title
         FROM firsts f LEFT JOIN stops s ON s.shop = f.shop WHERE no < coalesce(stop, 5)""",
     "list_cap": f"""
-        SELECT shop AS target_id, no AS page_idx, no * 20 + item_idx + 1 AS item_no, title FROM {_PARTS} WHERE no * 20 + item_idx < 50""",
+        SELECT shop AS target_id, no AS page_idx, CAST(no * 20 + item_idx + 1 AS BIGINT) AS item_no, title FROM {_PARTS} WHERE no * 20 + item_idx < 50""",
     "list_summary": f"""
         SELECT shop AS target_id, '.product-card' AS selector, true AS auto_detected, least(count(*), 50) AS item_count,
                CAST(least(max(no) + 1, 3) AS BIGINT) AS page_count,
