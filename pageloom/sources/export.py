@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from pageloom.functions.base import let
 
-BOM = "﻿"
+BOM = "\ufeff"
 # Fields whose first non-empty array is the payload of a result.
 PAYLOADS = ("items", "results", "rows", "data", "emails", "downloaded")
 # More distinct names than this is no table any more.
@@ -46,6 +47,8 @@ def _as_text(c: Column, kind: T.DataType) -> Column:
         return plain_number(c)
     if isinstance(kind, T.BinaryType):
         return F.base64(c)
+    if isinstance(kind, T.VariantType):
+        return F.coalesce(F.try_variant_get(c, "$", "string"), F.to_json(c))
     if isinstance(kind, (T.StructType, T.MapType, T.ArrayType)):
         return F.to_json(c, {"ignoreNullFields": "false"})
     return c.cast("string")
@@ -133,16 +136,23 @@ def widen(df: DataFrame, names: str, values: str, order: list[str]) -> DataFrame
 
 
 def records_table(df: DataFrame, record: str, order: list[str]) -> DataFrame:
-    """JSON objects of differing shapes as one flat table, columns as first seen."""
-    spark = df.sparkSession
-    schema = spark.read.json(df.select(record).rdd.map(lambda r: r[0])).schema
+    """JSON objects of differing shapes as one flat table, columns as first seen.
+
+    The common schema is one aggregate over all rows; nested names come in its
+    order.
+    """
+    merged = df.agg(F.schema_of_variant_agg(F.parse_json(record)).alias("schema")).first()["schema"]
+    ddl = merged.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+    schema = T.DataType.fromDDL(re.sub(r"DECIMAL\(\d+, *\d+\)", "DOUBLE", ddl))
     top = first_seen_names(df.withColumn("_names", F.json_object_keys(record)), "_names", order)
     typed = T.StructType([schema[n] for n in top])
-    parsed = df.select(*order, F.from_json(record, typed).alias("_r")).select(*order, "_r.*")
-    return flatten(parsed).select(
-        *[F.col(c) for c in order],
-        *[F.col(f"`{c}`") for c in flatten(parsed).columns if c not in order],
-    )
+    parsed = df.select(*order, F.from_json(record, typed).alias("_r"))
+    flat = [
+        column
+        for field in typed.fields
+        for column in _flat_columns(F.col("_r").getField(field.name), field.dataType, field.name)
+    ]
+    return parsed.select(*order, *flat)
 
 
 # ------------------------------------------------------------------ writing
