@@ -7,7 +7,7 @@ for the pages that were visited.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import urls
@@ -33,25 +33,15 @@ def walk_contacts(targets: DataFrame, pages: DataFrame, max_pages: int) -> DataF
     limit = bounded(max_pages, MAX_LEAD_PAGES)
     starts = targets.select("target_id", urls.normalize_url(F.col("url")).alias("start"))
     starts = starts.where(F.col("start").isNotNull())
-    captures = first_captures(pages)
+    unique = starts.select("start").distinct()
     if limit == 1:
-        unique = starts.select("start").distinct().withColumn("fetch_key", urls.fetch_key(F.col("start")))
-        walked = unique.join(captures, "fetch_key").select(
-            "start", F.lit(0).alias("visit"), "page_id", F.col("start").alias("page_url")
-        )
-        return starts.join(walked, "start").select("target_id", "visit", "page_id", "page_url")
-
-    from pageloom.operators.leads import contact_edges
+        walked = unique.withColumn("fetch_key", _without_fragment("start")).join(first_captures(pages), "fetch_key")
+        visits = walked.select("start", F.lit(0).alias("visit"), "page_id", F.col("start").alias("page_url"))
+        return starts.join(visits, "start").select("target_id", "visit", "page_id", "page_url")
 
-    # Only pages that lead somewhere, once per document, cut off from the markup.
-    edges = contact_edges(pages).where(F.size("candidates") > 0)
-    known = settle(
-        captures.join(edges, "page_id", "left").select(
-            "fetch_key", "page_id", F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates")
-        )
-    )
+    known = _walkable(unique, pages)
     no_visits = F.array().cast("array<struct<page_id:bigint,page_url:string>>")
-    state = starts.select("start").distinct().select(
+    state = unique.select(
         "start",
         F.array("start").alias("queue"),
         F.array("start").alias("seen"),
@@ -74,10 +64,34 @@ def walk_contacts(targets: DataFrame, pages: DataFrame, max_pages: int) -> DataF
     return starts.join(visits, "start").select("target_id", "visit", "page_id", "page_url")
 
 
+def _without_fragment(url: Column | str) -> Column:
+    """Fetch key of a URL that is canonical already."""
+    return F.regexp_replace(url, r"#.*\z", "")
+
+
+def _walkable(starts: DataFrame, pages: DataFrame) -> DataFrame:
+    """``fetch_key, page_id, candidates`` of every page a walk may visit.
+
+    The markup is read once. What a walk may visit is a start or the target of
+    some contact link: a small part of a crawl, so the rounds move little.
+    """
+    from pageloom.operators.leads import contact_edges
+
+    edges = settle(contact_edges(pages).where(F.col("fetch_key").isNotNull()))
+    linked = edges.select(F.explode("candidates").alias("url"))
+    wanted = linked.unionByName(starts.select(F.col("start").alias("url")))
+    keys = wanted.select(_without_fragment("url").alias("fetch_key")).distinct()
+    reachable = edges.join(keys, "fetch_key", "left_semi")
+    first = reachable.groupBy("fetch_key").agg(
+        F.min_by(F.struct("page_id", "candidates"), "page_id").alias("p")
+    )
+    return settle(first.select("fetch_key", "p.*"))
+
+
 def _advance(state: DataFrame, known: DataFrame, limit: int) -> DataFrame:
     """Take the head of every queue; visit it if captured, queue what it adds."""
     headed = state.withColumn("current", F.get("queue", F.lit(0))).withColumn(
-        "fetch_key", urls.fetch_key(F.col("current"))
+        "fetch_key", _without_fragment("current")
     )
     joined = headed.join(known, "fetch_key", "left")
     hit = F.col("page_id").isNotNull()
@@ -145,20 +159,30 @@ def chain_pages(starts: DataFrame, next_edges: DataFrame, max_pages: int) -> Dat
         chain = chain.unionByName(further.where(F.col("page_idx") < max_pages))
         step *= 2
         if step < max_pages:
+            # Both tables are used twice in the next step: without this the
+            # plan would double with every step.
             onward = jump.select(F.col("fetch_key").alias("next_key"), F.col("next_key").alias("onward"))
-            jump = jump.join(onward, "next_key").select("fetch_key", F.col("onward").alias("next_key"))
+            jump = settle(jump.join(onward, "next_key").select("fetch_key", F.col("onward").alias("next_key")))
+            chain = settle(chain)
     return chain
 
 
 # Ids of this many pages fit a broadcast table of about 50 MB.
 _BROADCAST_PAGES = 2_000_000
+# From this share on it is cheaper to read all pages than to move their markup.
+_MOST = 0.1
 
 
-def only_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+def only_pages(pages: DataFrame, wanted: DataFrame, filtered_later: bool = False) -> DataFrame:
     """``pages`` joined to ``wanted`` (by ``page_id``), markup left in place.
 
     The wanted side is counted: up to the bound it is broadcast and no markup
-    moves. Beyond it, the pages are shuffled once by id.
+    moves. Beyond it the pages are shuffled once by id, unless the caller joins
+    its own small rows later anyway and a good part of the pages is wanted.
     """
-    small = wanted.count() <= _BROADCAST_PAGES
-    return pages.join(F.broadcast(wanted) if small else wanted, "page_id")
+    count = wanted.count()
+    if count <= _BROADCAST_PAGES:
+        return pages.join(F.broadcast(wanted), "page_id")
+    if filtered_later and count >= _MOST * pages.count():
+        return pages
+    return pages.join(wanted, "page_id")

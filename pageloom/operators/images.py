@@ -15,9 +15,12 @@ from pageloom.functions import text as tx
 from pageloom.functions.base import let, runs_by_key, unnest
 from pageloom.operators import dom, select
 from pageloom.operators.crawl import bounded
+from pageloom.session import settle
 
 MAX_IMAGES = 1000
 MIN_BYTES = 1024
+# Digests and URLs of this many images fit a broadcast table of about 200 MB.
+_BROADCAST_URLS = 1_000_000
 
 
 def _attr(node: Column, name: str) -> Column:
@@ -262,13 +265,30 @@ def judged_images(candidates: DataFrame, image_bytes: DataFrame, max_images: int
     )
 
 
+def image_contents(kept: DataFrame, image_bytes: DataFrame) -> DataFrame:
+    """``sha1, content``: each distinct content of the kept images once.
+
+    One URL stands for a content, so a picture used on a billion pages is read
+    and moved once.
+    """
+    inline = F.col("url").startswith("data:")
+    chosen = kept.groupBy("sha1").agg(F.min("url").alias("url"))
+    from_pages = chosen.where(inline).select("sha1", media.data_uri(F.col("url"))["content"].alias("content"))
+    wanted = chosen.where(~inline)
+    small = wanted.count() <= _BROADCAST_URLS
+    joined = image_bytes.select("url", "content").join(F.broadcast(wanted) if small else wanted, "url")
+    stored = joined.where(F.sha1("content") == F.col("sha1")).select("sha1", "content")
+    return from_pages.unionByName(stored.dropDuplicates(["sha1"]))
+
+
 def image_store(candidates: DataFrame, image_bytes: DataFrame, max_images: int = 100) -> DataFrame:
-    """The kept images with their contents, ready for a table or files."""
-    kept = judged_images(candidates, image_bytes, max_images).where("reason is null")
-    stored = image_bytes.select("url", F.sha1("content").alias("sha1"), "content").dropDuplicates(["url", "sha1"])
-    found = kept.drop("reason", "reported_url").join(stored, ["url", "sha1"], "left")
-    inline = F.when(F.col("url").startswith("data:"), media.data_uri(F.col("url"))["content"])
-    return found.withColumn("content", F.coalesce(inline, "content"))
+    """The kept images of each page with their contents, ready to be written.
+
+    Contents repeat for every page that shows them. To store them once, write
+    the judged rows and :func:`image_contents` instead.
+    """
+    kept = settle(judged_images(candidates, image_bytes, max_images).where("reason is null"))
+    return kept.drop("reason", "reported_url").join(image_contents(kept, image_bytes), "sha1")
 
 
 def image_skips(candidates: DataFrame, image_bytes: DataFrame, max_images: int = 100) -> DataFrame:

@@ -107,69 +107,75 @@ def _socials(links: Column, base: Column) -> Column:
     )
 
 
-def _flat_leads(pages: DataFrame) -> DataFrame:
+def _flat_leads(html: Column, url: Column) -> Column:
     """E-mails, phones and profiles, from the markup alone."""
-    staged = pages.select(
-        "page_id",
-        "html",
-        contacts.deobfuscate(tx.lead_text(F.col("html"))).alias("text"),
-        lead_links(F.col("html")).alias("links"),
-        urls.base_parts(F.col("url")).alias("base"),
-    )
-    found = let(
-        F.struct("html", "text", "links", "base"),
+    inputs = F.struct(
+        html.alias("html"),
+        contacts.deobfuscate(tx.lead_text(html)).alias("text"),
+        lead_links(html).alias("links"),
+        urls.base_parts(url).alias("base"),
+    )
+    return let(
+        inputs,
         lambda s: F.concat(
             _emails(s["html"], s["text"], s["links"]),
             _phones(s["text"], s["links"]),
             _socials(s["links"], s["base"]),
         ),
     )
-    return unnest(staged, ["page_id"], found.cast(f"array<{_LEAD}>"))
 
 
-def page_addresses(pages: DataFrame) -> DataFrame:
-    """Postal addresses in ``address`` elements and the like.
+# Markup that may hold an address; other pages need no tree.
+_ADDRESS_HINT = r"(?i)<address|itemprop|class\s*=[^>]*\b(?:address|adres)\b"
 
-    Only pages whose markup mentions one are parsed.
-    """
-    hinted = pages.select("page_id", "html").where(
-        F.col("html").rlike(r"(?i)<address|itemprop|class\s*=[^>]*\b(?:address|adres)\b")
-    )
-    parsed = dom.parse(hinted)
+
+def _addresses(tree: Column, content: Column) -> Column:
+    """Distinct postal addresses of ``address`` elements and the like."""
 
     def texts(hidden: Column) -> Column:
-        tree, content = F.col("nodes"), F.col("content")
-        matching = F.filter(
-            tree, select.node_predicate(contacts.ADDRESS_SELECTOR)
-        )
+        matching = F.filter(tree, select.node_predicate(contacts.ADDRESS_SELECTOR))
         return F.transform(
             matching, lambda n: tx.collapse(dom.visible_text_of(content, n, hidden))
         )
 
     good = F.filter(
-        let(dom.hidden_ranges(F.col("nodes")), texts),
-        lambda t: (F.length(t) > 8) & (F.length(t) < 300),
+        let(dom.hidden_ranges(tree), texts), lambda t: (F.length(t) > 8) & (F.length(t) < 300)
     )
-    found = parsed.select("page_id", F.posexplode(F.array_distinct(good)).alias("pos", "value"))
     nothing = F.lit(None).cast("string")
-    return found.select(
-        "page_id",
-        F.lit("address").alias("kind"),
-        "value",
-        nothing.alias("raw"),
-        nothing.alias("source"),
-        nothing.alias("network"),
-        "pos",
+    return F.transform(
+        F.array_distinct(good),
+        lambda t, i: F.struct(
+            F.lit("address").alias("kind"),
+            t.alias("value"),
+            nothing.alias("raw"),
+            nothing.alias("source"),
+            nothing.alias("network"),
+            i.alias("pos"),
+        ),
     )
 
 
 def page_leads(pages: DataFrame) -> DataFrame:
-    """``page_id, kind, value, raw, source, network, pos`` for every page."""
-    return _flat_leads(pages).unionByName(page_addresses(pages))
+    """``page_id, kind, value, raw, source, network, pos`` for every page.
+
+    One pass: the scans run on the markup, and only markup that hints at an
+    address goes on to the tree builder.
+    """
+    html = F.col("html")
+    scanned = pages.select(
+        "page_id",
+        _flat_leads(html, F.col("url")).cast(f"array<{_LEAD}>").alias("flat"),
+        F.when(html.rlike(_ADDRESS_HINT), html).alias("html"),
+    )
+    found = _addresses(F.col("nodes"), F.col("content")).cast(f"array<{_LEAD}>")
+    return unnest(dom.parse(scanned), ["page_id"], F.concat("flat", found))
 
 
 def contact_edges(pages: DataFrame) -> DataFrame:
-    """Links that hint at contact pages of the same origin, in document order."""
+    """``page_id, fetch_key, candidates``: links that hint at contact pages.
+
+    Same origin only, distinct, in document order.
+    """
 
     def edges(base: Column) -> Column:
         resolved = F.transform(
@@ -193,7 +199,11 @@ def contact_edges(pages: DataFrame) -> DataFrame:
             lambda e: F.struct(e["pos"], e["key"].alias("url")),
         )
     )
-    return pages.select("page_id", F.transform(ordered, lambda e: e["url"]).alias("candidates"))
+    return pages.select(
+        "page_id",
+        urls.fetch_key(F.col("url")).alias("fetch_key"),
+        F.transform(ordered, lambda e: e["url"]).alias("candidates"),
+    )
 
 
 def site_leads(targets: DataFrame, pages: DataFrame, max_pages: int = 1) -> DataFrame:
@@ -203,7 +213,7 @@ def site_leads(targets: DataFrame, pages: DataFrame, max_pages: int = 1) -> Data
     that has it, with that page's URL.
     """
     visits = settle(crawl.walk_contacts(targets, pages, max_pages))
-    visited = crawl.only_pages(pages, visits.select("page_id").distinct())
+    visited = crawl.only_pages(pages, visits.select("page_id").distinct(), filtered_later=True)
     merged_from = visits.join(page_leads(visited), "page_id")
     order = F.struct("visit", "pos")
     best = F.min_by(F.struct("raw", "source", "network", F.col("page_url").alias("first_url"), "visit", "pos"), order)

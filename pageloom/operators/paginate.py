@@ -177,11 +177,12 @@ def extract_list(
             "target_id", F.lit(item_selector).alias("selector"), F.lit(False).alias("auto_detected")
         )
         wanted = captured.select("page_id").distinct()
-        found = lists.extract_items(crawl.only_pages(pages, wanted), item_selector, fields)
+        found = lists.extract_items(crawl.only_pages(pages, wanted, filtered_later=True), item_selector, fields)
         rows = captured.select("target_id", "page_idx", "page_id").join(found, "page_id").drop("page_id")
     else:
         first = captured.where("page_idx = 0").select("target_id", "page_id")
-        best = lists.detect_selectors(crawl.only_pages(pages, first.select("page_id").distinct()))
+        firsts = crawl.only_pages(pages, first.select("page_id").distinct(), filtered_later=True)
+        best = lists.detect_selectors(firsts)
         selectors = settle(
             first.join(best.where("selector is not null"), "page_id").select(
                 "target_id", "selector", F.lit(True).alias("auto_detected")

@@ -173,7 +173,9 @@ def stream_items(spark: SparkSession, sf: str) -> DataFrame:
     shops = synth.shop_pages(spark, sf, synth.brand_card())
     stream = incremental.page_stream(spark, _landed(spark, shops), 1)
     out = scratch_folder(spark, "items")
-    incremental.append_new_items(stream, ".product-card", out, scratch_folder(spark, "state")).awaitTermination()
+    incremental.extract_stream(
+        stream, lambda s: incremental.distinct_items(s, ".product-card"), out, scratch_folder(spark, "state")
+    ).awaitTermination()
     return spark.read.parquet(out).select("title", "link")
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pageloom.operators import lists, pages
 from pageloom.functions.base import unnest
+from pageloom.operators import lists, pages
 from pageloom.sources.captured import PAGES
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -50,42 +50,18 @@ def distinct_links(stream: DataFrame) -> DataFrame:
     return seen.dropDuplicatesWithinWatermark(["url"]) if timed else seen.dropDuplicates(["url"])
 
 
-def append_new_items(stream: DataFrame, selector: str, out: str, state: str) -> StreamingQuery:
-    """List rows whose record was not written by an earlier batch.
+def distinct_items(stream: DataFrame, selector: str, fields: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """List rows whose record no earlier batch had, by fingerprint.
 
-    Each batch writes its own folder, so a batch that is run again replaces
-    what it wrote and never meets its own rows.
+    The state is one digest per distinct record, so a batch never looks at what
+    was written before. With a watermarked ``captured_at`` it is dropped once it
+    is old enough.
     """
-    spark = stream.sparkSession
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = lists.extract_items(batch, selector)
-        payload = [c for c in rows.columns if c not in ("page_id", "item_idx")]
-        keyed = rows.withColumn("fingerprint", lists.fingerprint(payload)).select(
-            "fingerprint", F.struct("page_id", "item_idx", *payload).alias("row")
-        )
-        first = keyed.groupBy("fingerprint").agg(
-            F.min_by("row", F.struct("row.page_id", "row.item_idx")).alias("row")
-        )
-        for earlier in _written(spark, out, batch_id):
-            first = first.join(earlier, "fingerprint", "left_anti")
-        first.select("fingerprint", "row.*").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", state)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def _written(spark: SparkSession, out: str, batch_id: int) -> list[DataFrame]:
-    """Fingerprints of all earlier batches, as one table, if there are any."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(folder):
-        return []
-    numbers = [int(f.getPath().getName().split("=")[1]) for f in system.listStatus(folder) if "=" in f.getPath().getName()]
-    if not any(n < batch_id for n in numbers):
-        return []
-    return [spark.read.parquet(out).where(F.col("batch") < batch_id).select("fingerprint")]
+    timed = "captured_at" in stream.columns
+    keys = ["page_id", "captured_at"] if timed else ["page_id"]
+    rows = lists.extract_items(stream, selector, fields, keys)
+    payload = [c for c in rows.columns if c not in (*keys, "item_idx")]
+    marked = rows.withColumn("fingerprint", lists.fingerprint(payload))
+    if timed:
+        return marked.dropDuplicatesWithinWatermark(["fingerprint"])
+    return marked.dropDuplicates(["fingerprint"])
