@@ -76,3 +76,15 @@ def runs_by_key(items: Column) -> Column:
         )
 
     return let(F.array_sort(items), cut)
+
+
+def select_where(
+    df: DataFrame, keys: list[Column | str], columns: list[Column], keep: Callable[[Column], Column]
+) -> DataFrame:
+    """``df.select(*keys, *columns)`` with only the rows for which ``keep`` holds.
+
+    ``keep`` gets the computed columns as a struct. A plain filter on computed
+    columns is pushed below the projection by the optimizer, which then
+    computes them twice.
+    """
+    return unnest(df, keys, F.filter(F.array(F.struct(*columns)), keep))

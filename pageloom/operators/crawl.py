@@ -77,7 +77,7 @@ def _walkable(starts: DataFrame, pages: DataFrame) -> DataFrame:
     """
     from pageloom.operators.leads import contact_edges
 
-    edges = settle(contact_edges(pages).where(F.col("fetch_key").isNotNull()))
+    edges = settle(contact_edges(pages))
     linked = edges.select(F.explode("candidates").alias("url"))
     wanted = linked.unionByName(starts.select(F.col("start").alias("url")))
     keys = wanted.select(_without_fragment("url").alias("fetch_key")).distinct()

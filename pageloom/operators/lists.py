@@ -17,7 +17,7 @@ from pyspark.sql.window import Window as W
 
 from pageloom.functions import media, prices, urls
 from pageloom.functions import text as tx
-from pageloom.functions.base import extract_or_null, let, unnest
+from pageloom.functions.base import extract_or_null, let, select_where, unnest
 from pageloom.operators import dom, select
 
 # Selectors tried, in order, when none is given.
@@ -212,8 +212,8 @@ def _image(own_tag: Column) -> Column:
     return F.get(F.filter(resolved, lambda u: u.isNotNull()), F.lit(0))
 
 
-def with_generic_columns(items: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
-    """The seven columns every non-table item has."""
+def generic_columns(items: DataFrame, keys: list[str], extra: list[str]) -> tuple[DataFrame, list[Column]]:
+    """The seven columns every non-table item has, and the input they need."""
     me = F.col("me")
     staged = items.select(
         *keys,
@@ -234,22 +234,20 @@ def with_generic_columns(items: DataFrame, keys: list[str], extra: list[str]) ->
         urls.resolve(_attr(F.col("_link"), "href"), F.col("base")).alias("link"),
     )
     first_line = F.substring(F.get(F.split(text, "\n"), F.lit(0)), 1, 200)
-    return with_price.select(
-        *keys,
-        "item_idx",
-        *extra,
+    columns = [
         F.coalesce(
             F.nullif("_heading", F.lit("")),
             F.nullif(_attr(F.col("_link"), "title"), F.lit("")),
             first_line,
         ).alias("title"),
-        "price",
+        F.col("price"),
         prices.price_value(F.col("price")).alias("price_value"),
         prices.currency(F.col("price")).alias("currency"),
-        "link",
-        "image",
+        F.col("link"),
+        F.col("image"),
         F.substring(text, 1, 500).alias("text"),
-    )
+    ]
+    return with_price, columns
 
 
 def with_table_columns(items: DataFrame, keys: list[str], is_row: Column) -> DataFrame:
@@ -333,8 +331,13 @@ def with_field_columns(items: DataFrame, keys: list[str], fields: dict[str, dict
             node = F.get(F.col("sub"), F.get(hit, F.lit(0)) - F.col("me")["id"] - 1)
         nodes.append(node.alias(f"_node_{name}"))
     staged = items.select(*keys, "item_idx", "base", "me", "own", *nodes)
-    values = staged.select(*keys, "item_idx", *[_field_value(s, n).alias(n) for n, s in fields.items()])
-    return values.where(reduce(lambda a, b: a | b, [F.col(f"`{n}`").isNotNull() for n in fields]))
+    values = [_field_value(spec, name).alias(name) for name, spec in fields.items()]
+    return select_where(
+        staged,
+        [*keys, "item_idx"],
+        values,
+        lambda r: reduce(lambda a, b: a | b, [r[name].isNotNull() for name in fields]),
+    )
 
 
 def extract_items(
@@ -381,9 +384,14 @@ def _dispatch(items: DataFrame, keys: list[str]) -> DataFrame:
         is_row.alias("is_row"),
         *[F.when(~is_row, F.col(c)).alias(c) for c in ("me", "sub", "own")],
     )
-    both = with_generic_columns(rest, keys, ["is_row", "keys", "values"])
-    has_generic = (F.col("title") != "") | F.col("link").isNotNull() | F.col("image").isNotNull()
-    return both.where(F.when(F.col("is_row"), F.col("keys").isNotNull()).otherwise(has_generic)).drop("is_row")
+    staged, columns = generic_columns(rest, keys, ["is_row", "keys", "values"])
+
+    def usable(r: Column) -> Column:
+        generic = (r["title"] != "") | r["link"].isNotNull() | r["image"].isNotNull()
+        return F.when(r["is_row"], r["keys"].isNotNull()).otherwise(generic)
+
+    every = [F.col("is_row"), F.col("keys"), F.col("values"), *columns]
+    return select_where(staged, [*keys, "item_idx"], every, usable).drop("is_row")
 
 
 def as_record(columns: list[str]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import text as tx
 from pageloom.functions import urls
-from pageloom.functions.base import first_per_key, let, unnest
+from pageloom.functions.base import first_per_key, let, select_where, unnest
 from pageloom.operators import dom, select
 
 MAX_HEADINGS = 200
@@ -122,18 +122,30 @@ def page_texts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", tx.readable_text(F.col("html")).alias("text"))
 
 
+def _scoped_html(selector: str) -> Column:
+    parts = F.transform(
+        select.match_nodes(F.col("nodes"), selector),
+        lambda n: F.substr(F.col("html"), n["src_from"] + 1, n["src_to"] - n["src_from"]),
+    )
+    return let(parts, lambda p: F.when(F.size(p) > 0, F.array_join(p, "\n")))
+
+
 def scope(pages: DataFrame, selector: str) -> DataFrame:
     """Narrow ``html`` to the matching elements, joined by newlines.
 
     Pages without a match get a null; :func:`scope_errors` reports them.
     """
     parsed = dom.parse(pages, keep_html=True)
-    parts = F.transform(
-        select.match_nodes(F.col("nodes"), selector),
-        lambda n: F.substr(F.col("html"), n["src_from"] + 1, n["src_to"] - n["src_from"]),
+    return parsed.select(
+        *[c for c in pages.columns if c != "html"], _scoped_html(selector).alias("html")
     )
-    joined = let(parts, lambda p: F.when(F.size(p) > 0, F.array_join(p, "\n")))
-    return parsed.select(*[c for c in pages.columns if c != "html"], joined.alias("html"))
+
+
+def _in_scope(pages: DataFrame, selector: str) -> DataFrame:
+    """:func:`scope` without the pages that have no match."""
+    kept = [c for c in pages.columns if c != "html"]
+    parsed = dom.parse(pages, keep_html=True)
+    return select_where(parsed, kept, [_scoped_html(selector).alias("html")], lambda r: r["html"].isNotNull())
 
 
 def scope_errors(pages: DataFrame, selector: str) -> DataFrame:
@@ -159,10 +171,9 @@ def page_summary(
     else:
         full = pages.withColumn("_full", F.col("html"))
         scoped = (
-            scope(full, selector)
+            _in_scope(full, selector)
             .withColumnRenamed("html", "_scoped")
             .withColumnRenamed("_full", "html")
-            .where(F.col("_scoped").isNotNull())
         )
     staged = scoped.select(
         "page_id",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import urls
-from pageloom.functions.base import let
+from pageloom.functions.base import let, select_where
 from pageloom.operators import crawl, dom, lists, select
 from pageloom.session import settle
 from pageloom.sources.captured import first_captures
@@ -48,11 +48,8 @@ def next_links(pages: DataFrame, selector: str | None = None) -> DataFrame:
         *[let(F.get(select.match_nodes(tree, s), F.lit(0)), href) for s in selectors]
     )
     usable = F.get(F.filter(candidates, lambda h: h.isNotNull()), F.lit(0))
-    return (
-        dom.parse(wanted)
-        .select("page_id", urls.resolve(usable, urls.base_parts(F.col("url"))).alias("next_url"))
-        .where("next_url is not null")
-    )
+    found = urls.resolve(usable, urls.base_parts(F.col("url"))).alias("next_url")
+    return select_where(dom.parse(wanted), ["page_id"], [found], lambda r: r["next_url"].isNotNull())
 
 
 def numbered_pages(
@@ -107,15 +104,16 @@ def list_pages(
 
 
 class ListExtraction:
-    """Lazily evaluated parts of one list extraction.
+    """Result of one list extraction.
 
     ``items`` are the rows, ``summary`` one row per target, ``errors`` the
-    targets that gave nothing and why.
+    targets that gave nothing and why. The distinct rows are written to the
+    shared folder once; the three parts all read them.
     """
 
     def __init__(self, targets: DataFrame, chain: DataFrame, selectors: DataFrame, rows: DataFrame, max_items: int):
         limit = crawl.bounded(max_items, lists.MAX_ITEMS)
-        distinct = lists.distinct_items(rows)
+        distinct = settle(lists.distinct_items(rows))
         self._targets = targets
         self._selectors = selectors
         self._walked = lists.walked_pages(chain, distinct, limit)

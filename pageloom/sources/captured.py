@@ -41,11 +41,11 @@ def first_captures(pages: DataFrame) -> DataFrame:
 
     A document captured many times keeps its first page. Only keys and ids are
     shuffled, and they are combined before the shuffle, so a much-captured URL
-    costs no more than any other.
+    costs no more than any other. Pages without a usable URL share a null key,
+    which no join matches.
     """
     return (
         pages.select(urls.fetch_key(F.col("url")).alias("fetch_key"), "page_id")
-        .where(F.col("fetch_key").isNotNull())
         .groupBy("fetch_key")
         .agg(F.min("page_id").alias("page_id"))
     )
