@@ -44,14 +44,23 @@ def trim_ws(c: Column) -> Column:
 def collapse(c: Column) -> Column:
     """Tidy whitespace but keep single and double line breaks.
 
-    The patterns only match where something changes; most text has little to
-    tidy.
+    Each step runs only where a byte search finds something to tidy, which most
+    text does not have.
     """
-    c = F.replace(c, F.lit("\r"), F.lit(""))
-    c = F.regexp_replace(c, rf"[ \t{NBSP}]{{2,}}|[\t{NBSP}]", " ")
-    c = F.regexp_replace(c, r" \n ?|\n ", "\n")
-    c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    return trim_ws(c)
+
+    def spaces(t: Column) -> Column:
+        odd = t.contains("  ") | t.contains("\t") | t.contains(NBSP)
+        return F.when(odd, F.regexp_replace(t, rf"[ \t{NBSP}]{{2,}}|[\t{NBSP}]", " ")).otherwise(t)
+
+    def line_edges(t: Column) -> Column:
+        odd = t.contains(" \n") | t.contains("\n ")
+        return F.when(odd, F.regexp_replace(t, r" \n ?|\n ", "\n")).otherwise(t)
+
+    def blank_lines(t: Column) -> Column:
+        return F.when(t.contains("\n\n\n"), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t)
+
+    plain = F.replace(c, F.lit("\r"), F.lit(""))
+    return trim_ws(let(let(let(plain, spaces), line_edges), blank_lines))
 
 
 def squash(c: Column) -> Column:
@@ -168,11 +177,14 @@ def strip_tags(html: Column) -> Column:
 
 def body_markup(html: Column) -> Column:
     """What lies in the body, also when its tag is left out."""
-    opening = rf"(?is)^.*?<body{_NAME_END}{ATTRS}>"
+    before = F.regexp_extract(html, rf"(?is)^.*?<body{_NAME_END}{ATTRS}>", 0)
     head = rf"(?is)<head{_NAME_END}.*?</head\s*>|<title{_NAME_END}.*?(?:</title\s*>|\z)"
-    return F.when(
-        html.rlike(rf"(?i)<body{_NAME_END}"), F.regexp_replace(html, opening, "")
-    ).otherwise(F.regexp_replace(html, head, ""))
+    return let(
+        before,
+        lambda b: F.when(b != "", F.substr(html, F.length(b) + 1)).otherwise(
+            F.regexp_replace(html, head, "")
+        ),
+    )
 
 
 def _close_open(html: Column, name: str, enders: str) -> Column:
@@ -203,8 +215,7 @@ def readable_text(html: Column) -> Column:
     """
 
     def lines(markup: Column) -> Column:
-        markup = F.regexp_replace(markup, rf"(?is)<br{_NAME_END}{ATTRS}>", "\n")
-        markup = F.regexp_replace(markup, rf"(?is)</(?:{BLOCKS})\s*>", "\n")
+        markup = F.regexp_replace(markup, rf"(?is)<(?:br{_NAME_END}{ATTRS}|/(?:{BLOCKS})\s*)>", "\n")
         return unescape(strip_tags(markup))
 
     def chosen(whole: Column) -> Column:
@@ -239,20 +250,25 @@ def attribute(tag: Column, name: str, decode: bool = True) -> Column:
     return unescape(bare) if decode else bare
 
 
+def _element(name: str) -> str:
+    return (
+        rf"(?is)<(?:{name}){_NAME_END}{ATTRS}>(?:[^<]++|<(?!/?(?:{name}){_NAME_END}))*+"
+        rf"(?:</(?:{name}){_NAME_END})?+"
+    )
+
+
 def elements(markup: Column, name: str) -> Column:
     """Source of each ``name`` element, in document order.
 
     For elements that cannot hold themselves (links, headings, titles): each
     ends at its end tag or where the next one starts.
     """
-    return F.regexp_extract_all(
-        markup,
-        F.lit(
-            rf"(?is)<(?:{name}){_NAME_END}{ATTRS}>(?:[^<]++|<(?!/?(?:{name}){_NAME_END}))*+"
-            rf"(?:</(?:{name}){_NAME_END})?+"
-        ),
-        F.lit(0),
-    )
+    return F.regexp_extract_all(markup, F.lit(_element(name)), F.lit(0))
+
+
+def first_element(markup: Column, name: str) -> Column:
+    """Source of the first ``name`` element, else null; reads no further."""
+    return F.nullif(F.regexp_extract(markup, _element(name), 0), F.lit(""))
 
 
 def start_tags(markup: Column, name: str) -> Column:

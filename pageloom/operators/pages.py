@@ -26,7 +26,7 @@ def markup(html: Column) -> Column:
 
 
 def title(clean: Column) -> Column:
-    first = F.get(tx.elements(clean, "title"), F.lit(0))
+    first = tx.first_element(clean, "title")
     return F.coalesce(tx.trim_ws(tx.unescape(tx.inner(first))), F.lit(""))
 
 
