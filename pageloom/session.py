@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,32 +33,57 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only a local session gets its own."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    That is the one the cluster names in ``spark.checkpoint.dir``; where it is
+    unset, as in tests, a folder in the session's warehouse, which is shared by
+    definition. Never a temporary folder of one machine.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
-            shared = tempfile.mkdtemp(prefix="pageloom-checkpoint-")
-        context.setCheckpointDir(shared)
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share, next to the checkpoints."""
-    context = spark.sparkContext
-    ensure_checkpoint_dir(spark)
-    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/pageloom/{name}-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a table that ``settle`` or ``Scratch`` wrote."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, run: Scratch | None = None) -> DataFrame:
     """Cut the lineage of ``df``: write it to the shared folder and read it back.
 
     Unlike a checkpointed RDD the files have a known size, so Spark can choose
     to broadcast what is small and prune what is not needed. They outlive lost
-    executors.
+    executors. With ``run`` the table can be dropped as soon as it is done with.
     """
     folder = scratch_folder(df.sparkSession, "table")
     df.write.parquet(folder)
+    if run is not None:
+        run.folders.append(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+class Scratch:
+    """The settled tables of one run, to be dropped when its result is stored."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folders: list[str] = []
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        return settle(df, self)
+
+    def drop(self) -> None:
+        for folder in self.folders:
+            drop_folder(self.spark, folder)
+        self.folders.clear()
