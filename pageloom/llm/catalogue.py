@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pageloom.llm.bpe import encode_documents
+from pageloom.llm.quality import judged
+from pageloom.llm.token_store import read_documents, write_tokens
+from pageloom.session import scratch_folder
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
@@ -14,12 +16,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as directly addressable codes, then read from the files."""
+    folder = scratch_folder(spark, "tokens")
+    write_tokens(spark, _table(spark, sf_dir, "documents"), folder, VOCABULARY)
+    return read_documents(spark, folder)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded, as digests."""
     return encode_documents(spark, _table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    return judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op2_token_store": op2_token_store,
     "op4_bpe": op4_bpe,
+    "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {}
