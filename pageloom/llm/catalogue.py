@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pageloom.llm.bpe import encode_documents
 from pageloom.llm.quality import judged
 from pageloom.llm.token_store import read_documents, write_tokens
+from pageloom.llm.warc import read_archives, write_archives
 from pageloom.session import scratch_folder
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
@@ -28,6 +29,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(spark, _table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives with revisits, then read back."""
+    folder = scratch_folder(spark, "warc")
+    write_archives(_table(spark, sf_dir, "pages"), folder)
+    return read_archives(spark, folder).drop("url")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document."""
     return judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -36,6 +44,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_store": op2_token_store,
     "op4_bpe": op4_bpe,
+    "op7_warc": op7_warc,
     "op10_quality": op10_quality,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+        ), d AS (
+            SELECT page_id, payload_bytes, hex, min(page_id) OVER (PARTITION BY hex) AS first FROM p
+        )
+        SELECT page_id, payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr(
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                CAST(1 + ((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM d
+    """,
+}
