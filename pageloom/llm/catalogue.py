@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.llm.bpe import encode_documents
+from pageloom.llm.licenses import scan_licenses
 from pageloom.llm.quality import judged
 from pageloom.llm.token_store import read_documents, write_tokens
 from pageloom.llm.warc import read_archives, write_archives
@@ -17,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases, labels and score of every document."""
+    return scan_licenses(spark, _table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as directly addressable codes, then read from the files."""
     folder = scratch_folder(spark, "tokens")
@@ -42,6 +48,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op2_token_store": op2_token_store,
     "op4_bpe": op4_bpe,
     "op7_warc": op7_warc,
