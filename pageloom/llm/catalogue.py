@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.llm.bpe import encode_documents
+from pageloom.llm.ctph import fingerprint_with_next
 from pageloom.llm.licenses import scan_licenses
 from pageloom.llm.quality import judged
 from pageloom.llm.token_store import read_documents, write_tokens
@@ -35,6 +36,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(spark, _table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piecewise hashes of every document, its edited text and the next one."""
+    return fingerprint_with_next(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives with revisits, then read back."""
     folder = scratch_folder(spark, "warc")
@@ -51,6 +57,7 @@ QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_token_store": op2_token_store,
     "op4_bpe": op4_bpe,
+    "op5_fingerprints": op5_fingerprints,
     "op7_warc": op7_warc,
     "op10_quality": op10_quality,
 }
