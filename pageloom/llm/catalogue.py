@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.llm.bpe import encode_documents
 from pageloom.llm.ctph import fingerprint_with_next
+from pageloom.llm.html_text import extract
 from pageloom.llm.licenses import scan_licenses
 from pageloom.llm.quality import judged
 from pageloom.llm.token_store import read_documents, write_tokens
@@ -48,6 +49,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, folder).drop("url")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document."""
     return judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -59,6 +65,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_fingerprints": op5_fingerprints,
     "op7_warc": op7_warc,
+    "op9_html_text": op9_html_text,
     "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {
