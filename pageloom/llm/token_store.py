@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pageloom.llm.pieces import chunks
+from pageloom.llm.pieces import chunks, plain_pieces
 
 SEGMENT = 1 << 18  # tokens after which a segment is closed; a longer document makes a longer one
 BLOCK = 512  # bits for each entry of a rank directory
-CACHED = 400_000
+CACHED = 600_000  # chunks, and pieces, that a worker remembers: bounds memory, not the input
 _HEAD = struct.Struct("<4sQB")
 _LEVEL = struct.Struct("<Q")
 _MAGIC = b"DAC1"
@@ -111,21 +111,34 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(config)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(made.ids, "<u4").tobytes() for made in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        known, found = self.known, chunks(text)
-        if len(found) == 1 and len(text) >= 64:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        new = list(set(found).difference(known))
-        if new:
-            if len(known) + len(new) > CACHED:
-                known.clear()
-                new = list(set(found))
-            for chunk, made in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(made.ids, "<u4").tobytes()
-        return b"".join([known[c] for c in found])
+        """Little-endian unsigned 32-bit ids.
+
+        The library sees each distinct piece of plain chunks, and other texts whole.
+        """
+        known, found = self.chunks, chunks(text)
+        if len(found) == 1 and (found[0] is text or len(text) >= 64):
+            return self._ids([text])[0]
+        new = set(found).difference(known)
+        if not new:
+            return b"".join([known[c] for c in found])
+        cut = {c: plain_pieces(c) for c in new}
+        pieces = self.pieces
+        unseen = list({p for parts in cut.values() for p in parts}.difference(pieces))
+        fresh = dict(zip(unseen, self._ids(unseen), strict=True)) if unseen else {}
+        made = {c: b"".join([fresh[p] if p in fresh else pieces[p] for p in parts]) for c, parts in cut.items()}
+        if len(pieces) < CACHED:
+            pieces.update(fresh)
+        if len(known) < CACHED:
+            known.update(made)
+            return b"".join([known[c] for c in found])
+        return b"".join([made[c] if c in made else known[c] for c in found])
 
 
 _WORKER: dict[str, LibraryEncoder] = {}
