@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.llm.bpe import encode_documents
 from pageloom.llm.ctph import fingerprint_with_next
+from pageloom.llm.decontaminate import find_leaks
 from pageloom.llm.html_text import extract
 from pageloom.llm.licenses import scan_licenses
 from pageloom.llm.quality import judged
@@ -32,6 +33,11 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, folder)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, as pairs."""
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded, as digests."""
     return encode_documents(spark, _table(spark, sf_dir, "documents"), VOCABULARY)
@@ -62,6 +68,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_token_store": op2_token_store,
+    "op3_decontamination": op3_decontamination,
     "op4_bpe": op4_bpe,
     "op5_fingerprints": op5_fingerprints,
     "op7_warc": op7_warc,

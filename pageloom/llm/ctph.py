@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pageloom.llm.hashing import POWERS
 from pageloom.session import settle
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -26,36 +27,15 @@ LENGTH = 64  # letters at one block size; the last one stands for all that is le
 WINDOW = 7
 SHARED = 4  # letters in a row that two signatures must share to be alike at all
 _ROLL = np.uint32(0x01000193)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BACK = pow(_BASE, -1, 1 << 64)
 _TABLE = np.frombuffer(LETTERS.encode(), np.uint8)
 
 
-class _Powers:
-    """Powers of the chunk hash's base and of its inverse, as far as some text needed them."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def reach(self, n: int) -> None:
-        if n <= len(self.up):
-            return
-        size = max(n, 1 << 14)
-        with np.errstate(over="ignore"):
-            self.up = np.r_[np.uint64(1), np.full(size - 1, _BASE, np.uint64)].cumprod(dtype=np.uint64)
-            self.down = np.r_[np.uint64(1), np.full(size - 1, _BACK, np.uint64)].cumprod(dtype=np.uint64)
-
-
-_POWERS = _Powers()
-_PIECE = 1 << 22  # bytes hashed at once, which bounds memory for very long texts
-
-
 def _letters(sums: np.ndarray, cuts: np.ndarray) -> str:
     """A letter per chunk; ``cuts`` are the places after each chunk's last byte."""
     if len(cuts) > LENGTH:
         cuts = np.r_[cuts[: LENGTH - 1], cuts[-1:]]
     starts = np.r_[0, cuts[:-1]]
-    h = (sums[cuts] - sums[starts]) * _POWERS.down[starts]
+    h = (sums[cuts] - sums[starts]) * POWERS.down[starts]
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return _TABLE[(h >> np.uint64(58)).astype(np.int64)].tobytes().decode()
 
@@ -66,7 +46,7 @@ def fingerprint(raw: bytes) -> str:
     if not n:
         return "1::"
     x = np.frombuffer(raw, np.uint8)
-    _POWERS.reach(n + 1)
+    POWERS.reach(n + 1)
     with np.errstate(over="ignore"):
         roll = np.zeros(n, np.uint32)
         wide = x.astype(np.uint32) + np.uint32(1)
@@ -79,7 +59,7 @@ def fingerprint(raw: bytes) -> str:
         roll ^= roll >> np.uint32(13)
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
-        np.cumsum((x.astype(np.uint64) + np.uint64(1)) * _POWERS.up[:n], out=sums[1:])
+        np.cumsum((x.astype(np.uint64) + np.uint64(1)) * POWERS.up[:n], out=sums[1:])
         size = 1
         while size * LENGTH < n:
             size *= 2
