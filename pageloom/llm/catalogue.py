@@ -9,6 +9,7 @@ from pageloom.llm.ctph import fingerprint_with_next
 from pageloom.llm.decontaminate import find_leaks
 from pageloom.llm.html_text import extract
 from pageloom.llm.licenses import scan_licenses
+from pageloom.llm.near_dups import near_duplicates
 from pageloom.llm.quality import judged
 from pageloom.llm.token_store import read_documents, write_tokens
 from pageloom.llm.warc import read_archives, write_archives
@@ -48,6 +49,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives with revisits, then read back."""
     folder = scratch_folder(spark, "warc")
@@ -71,6 +77,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_bpe": op4_bpe,
     "op5_fingerprints": op5_fingerprints,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_warc": op7_warc,
     "op9_html_text": op9_html_text,
     "op10_quality": op10_quality,
