@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.llm.bpe import encode_documents
@@ -9,6 +10,7 @@ from pageloom.llm.ctph import fingerprint_with_next
 from pageloom.llm.decontaminate import find_leaks
 from pageloom.llm.html_text import extract
 from pageloom.llm.licenses import scan_licenses
+from pageloom.llm.lines import dedup_lines
 from pageloom.llm.near_dups import near_duplicates
 from pageloom.llm.quality import judged
 from pageloom.llm.token_store import read_documents, write_tokens
@@ -61,6 +63,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, folder).drop("url")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that stand earlier in the corpus."""
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return extract(_table(spark, sf_dir, "pages"))
@@ -79,8 +86,10 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_warc": op7_warc,
+    "op8_line_dedup": op8_line_dedup,
     "op9_html_text": op9_html_text,
     "op10_quality": op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {
     "op7_warc": """

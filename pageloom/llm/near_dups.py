@@ -16,9 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.llm.anchors import anchored_links
 from pageloom.llm.components import components
 from pageloom.llm.hashing import BASE, mix, shingles, word_hashes
 from pageloom.session import Scratch
@@ -182,43 +183,16 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, run: Scratch, least: float = SIMILAR) -> DataFrame:
-    """Verified pairs of different texts: columns u and v, keys of ``classes``.
-
-    In a bucket every text is compared with an anchor, not with every other. Texts
-    that are not like it stay, and are compared with eight times as many anchors
-    of those left in the next round, until no bucket has two of them.
-    """
+    """Verified pairs of different texts: columns u and v, keys of ``classes``."""
     members = classes.where("n_words > 0").select("key", "n_words", F.explode("sketches").alias("bucket"))
     crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    left = run.settle(members.join(crowded, "bucket").select("bucket", "key", "n_words"))
+    left = run.settle(members.join(crowded, "bucket").select("bucket", "key", F.struct("n_words").alias("info")))
     words = run.settle(_with_words(docs, classes.join(left.select("key").distinct(), "key").select("key", "row")))
-    found, tested, anchors = None, None, 1
-    while True:
-        order = F.struct(F.xxhash64("key", "bucket").alias("h"), F.col("key"), F.col("n_words"))
-        slot = F.pmod(F.xxhash64("key", F.lit(17)), F.lit(anchors))
-        heads = left.groupBy("bucket", slot.alias("slot")).agg(F.min(order).alias("head"))
-        heads = heads.select("bucket", F.col("head.key").alias("u"), F.col("head.n_words").alias("m"))
-        pairs = left.join(heads, "bucket").where("key <> u")
-        fits = F.least("m", "n_words") >= F.lit(least) * F.greatest("m", "n_words") - 1e-9
-        # A pair is written one way round, so that other buckets' copies of it fall together.
-        pairs = run.settle(pairs.select("bucket", "u", F.col("key").alias("v"), fits.alias("fits")))
-        new = pairs.where("fits").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        if tested is not None:
-            new = new.join(tested, ["u", "v"], "left_anti")
-        new = run.settle(new)
-        good = run.settle(_verified(new, words, least))
-        found = good if found is None else found.union(good)
-        tested = new if tested is None else tested.union(new)
-        # What is left of a bucket: no anchor, and like none of its anchors.
-        both = found.union(found.select("v", "u"))
-        linked = pairs.join(both, ["u", "v"], "left_semi").select("bucket", F.col("v").alias("key"))
-        settled = linked.union(heads.select("bucket", F.col("u").alias("key"))).distinct()
-        rest = left.join(settled, ["bucket", "key"], "left_anti")
-        crowded = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-        left = run.settle(rest.join(crowded, "bucket").select("bucket", "key", "n_words"))
-        if left.isEmpty():
-            return found
-        anchors = min(anchors * 8, 64)
+
+    def fits(a: Column, b: Column) -> Column:
+        return F.least(a["n_words"], b["n_words"]) >= F.lit(least) * F.greatest(a["n_words"], b["n_words"]) - 1e-9
+
+    return anchored_links(left, fits, lambda pairs: _verified(pairs, words, least), run)
 
 
 def _grouped(docs: DataFrame, least: float, run: Scratch) -> tuple[DataFrame, DataFrame]:
