@@ -18,6 +18,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def checked_limit(value: int | None, name: str) -> int | None:
+    """A limit as it was given: None is none; what is no count is refused, not moved into a range."""
+    if value is not None and value < 1:
+        raise ValueError(f"{name} must be at least 1, or None for no limit")
+    return value
+
+
+def first_of(items: Column, limit: int | None) -> Column:
+    return items if checked_limit(limit, "limit") is None else F.slice(items, 1, limit)
+
+
+def start_of(text: Column, length: int | None) -> Column:
+    return text if checked_limit(length, "length") is None else F.substring(text, 1, length)
+
+
 def empty_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 

@@ -91,7 +91,7 @@ _LEGACY = sorted(
     reverse=True,
 )
 _REFERENCE = (
-    rf"^(?:#[xX][0-9a-fA-F]{{1,7}};?|#[0-9]{{1,8}};?|[A-Za-z][A-Za-z0-9]*+;|(?:{'|'.join(_LEGACY)}))"
+    rf"^(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*+;|(?:{'|'.join(_LEGACY)}))"
 )
 _C1 = "".join(chr(i) for i in range(128, 160))
 _C1_AS_CP1252 = "".join(bytes([i]).decode("cp1252", "replace") for i in range(128, 160))
@@ -114,8 +114,10 @@ def _char(code: Column) -> Column:
 
 
 def _decode_number(seg: Column, number: Column) -> Column:
-    digits = F.regexp_replace(number, "[#xX;]", "")
-    value = F.when(number.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+    digits = F.regexp_replace(F.regexp_replace(number, "[#xX;]", ""), "^0+", "")
+    # More digits than any character has are read as far as it takes to know that.
+    short = F.when(F.length(digits) > 7, F.lit("9999999")).otherwise(digits)
+    value = F.when(number.rlike("^#[xX]"), F.conv(short, 16, 10)).otherwise(short).try_cast("long")
     return F.concat(let(value, _char), F.substr(seg, F.length(number) + 1))
 
 
@@ -158,7 +160,7 @@ def unescape(c: Column) -> Column:
 
 # ------------------------------------------------------------------ markup
 
-_COMMENT = r"<!--.*?(?:-->|\z)"
+_COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\z))"
 _ANY_TAG = rf"<(?:/?[a-zA-Z]{ATTRS}|[!?][^>]*+)>"
 
 

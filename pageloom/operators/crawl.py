@@ -11,26 +11,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import urls
+from pageloom.functions.base import checked_limit
 from pageloom.session import settle
 from pageloom.sources.captured import first_captures
 
-MAX_LEAD_PAGES = 10
+NO_LIMIT = (1 << 31) - 1
 
 
-def bounded(value: int, cap: int) -> int:
-    return max(1, min(value, cap))
-
-
-def walk_contacts(targets: DataFrame, pages: DataFrame, max_pages: int) -> DataFrame:
+def walk_contacts(targets: DataFrame, pages: DataFrame, max_pages: int | None) -> DataFrame:
     """``target_id, visit, page_id, page_url``: the pages each target visits.
 
     Breadth-first in document order, same origin only, at most ``max_pages``
-    pages. A queued URL that was not captured frees its place once it is
+    pages (a browser tool would stop at 10), or all that are reached. A queued URL that was not captured frees its place once it is
     reached. All targets advance together, one join per round; the state of a
-    start URL is one row with arrays of at most a few dozen URLs. Targets that
+    start URL is one row with arrays of the URLs of its own site. Targets that
     start at the same URL share one walk.
     """
-    limit = bounded(max_pages, MAX_LEAD_PAGES)
+    limit = checked_limit(max_pages, "max_pages") or NO_LIMIT
     starts = targets.select("target_id", urls.normalize_url(F.col("url")).alias("start"))
     starts = starts.where(F.col("start").isNotNull())
     unique = starts.select("start").distinct()

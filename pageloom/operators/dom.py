@@ -59,7 +59,7 @@ _ARROW_NODE = pa.struct(
 )
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>",
     re.S,
 )
@@ -69,7 +69,7 @@ _ATTR = re.compile(
 
 # Element groups of the HTML standard.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style xmp iframe noembed noframes".split())
+_RAW = frozenset("script style xmp iframe noembed noframes noscript".split())  # noscript: as with scripts on
 _RCDATA = frozenset("title textarea".split())
 _HEAD_ONLY = frozenset("base link meta noscript script style template title".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -274,6 +274,20 @@ class _Tree:
             self.pop_to(depth, at, to)
 
 
+_TEMPLATE = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)template(?=[\s/>])[^>]*+>", re.S | re.I)
+
+
+def _template_end(html: str, at: int) -> int:
+    """Where the template that was opened before ``at`` ends, inner ones skipped."""
+    depth = 1
+    for match in _TEMPLATE.finditer(html, at):
+        if match.group(1) is not None:
+            depth += -1 if match.group(1) else 1
+            if depth == 0:
+                return match.end()
+    return len(html)
+
+
 def build_tree(html: str) -> tuple[list[list], bytes]:
     """Rows (parent, stop_id, tag, attrs, text range, source range, counters) and text."""
     tree = _Tree()
@@ -301,7 +315,10 @@ def build_tree(html: str) -> tuple[list[list], bytes]:
             attrs.setdefault(key.lower(), unescape(value) if "&" in value else value)
         if not tree.start(tag, attrs, rest.endswith("/"), upto, at):
             continue
-        if tag in _RAW or tag in _RCDATA:
+        if tag == "template":  # its content is no part of the page
+            at = _template_end(html, at)
+            tree.pop(at)
+        elif tag in _RAW or tag in _RCDATA:
             closing = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(html, at)
             stop = closing.start() if closing else end
             data = html[at:stop]

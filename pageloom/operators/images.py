@@ -12,13 +12,12 @@ from pyspark.sql.window import Window as W
 
 from pageloom.functions import media, urls
 from pageloom.functions import text as tx
-from pageloom.functions.base import let, runs_by_key, unnest
+from pageloom.functions.base import checked_limit, first_of, let, runs_by_key, unnest
 from pageloom.operators import dom, select
-from pageloom.operators.crawl import bounded
 from pageloom.session import settle
 
-MAX_IMAGES = 1000
 MIN_BYTES = 1024
+_SALTS = 8
 # Digests and URLs of this many images fit a broadcast table of about 200 MB.
 _BROADCAST_URLS = 1_000_000
 
@@ -135,11 +134,12 @@ def page_images(pages: DataFrame) -> DataFrame:
 
 
 def image_candidates(
-    pages: DataFrame, min_width: int = 200, min_height: int = 200, max_images: int | None = 100
+    pages: DataFrame, min_width: int = 200, min_height: int = 200, max_images: int | None = None
 ) -> DataFrame:
     """Images large enough, biggest area first: ``page_id, rank, url, ...``.
 
-    ``max_images=None`` keeps all: a store caps after it has seen the bytes.
+    All of them: only the bytes tell which are good, so a cap belongs to
+    :func:`judged_images`. ``max_images`` is for a list of the largest.
     """
     parsed = dom.parse(pages.select("page_id", "url", "html"))
     kept = F.filter(
@@ -151,8 +151,7 @@ def image_candidates(
         return F.coalesce(c["width"], F.lit(0)).cast("long") * F.coalesce(c["height"], F.lit(0))
 
     ordered = F.array_sort(F.transform(kept, lambda c: F.struct((-area(c)).alias("order"), c["pos"], c.alias("c"))))
-    if max_images is not None:
-        ordered = F.slice(ordered, 1, bounded(max_images, MAX_IMAGES))
+    ordered = first_of(ordered, max_images)
     ranked = F.transform(
         ordered,
         lambda o, i: F.struct(
@@ -223,15 +222,22 @@ def _reject_reason(seen: Column, inline: Column) -> Column:
     )
 
 
-def judged_images(candidates: DataFrame, image_bytes: DataFrame, max_images: int = 100) -> DataFrame:
+def judged_images(candidates: DataFrame, image_bytes: DataFrame, max_images: int | None = None) -> DataFrame:
     """Each candidate with its digest and either ``file_name`` or ``reason``.
 
-    Per page and in rank order: the first of equal contents is kept, until
-    ``max_images`` are; what follows is not looked at.
+    Per page and in rank order: the first of equal contents is kept, all of
+    them or until ``max_images`` are (a browser tool would take 100 by default
+    and 1,000 at most); what follows is not looked at.
     """
-    limit = bounded(max_images, MAX_IMAGES)
+    limit = checked_limit(max_images, "max_images") or (1 << 31) - 1
     inline = F.col("url").startswith("data:")
-    joined = candidates.join(_digests(image_bytes), "url", "left").withColumn(
+    # Only bytes that some candidate asks for are hashed. A picture on very many
+    # pages is one row on one side; its candidates are dealt over salts.
+    asked = candidates.select("url").distinct()
+    digests = _digests(image_bytes.join(asked, "url", "left_semi"))
+    dealt = digests.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salted = candidates.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(_SALTS)).cast("int"))
+    joined = salted.join(dealt, ["url", "_salt"], "left").drop("_salt").withColumn(
         "seen", F.coalesce(_inline_digest(F.col("url")), "seen")
     )
     marked = joined.withColumn("reason", _reject_reason(F.col("seen"), inline)).withColumn(
@@ -281,7 +287,7 @@ def image_contents(kept: DataFrame, image_bytes: DataFrame) -> DataFrame:
     return from_pages.unionByName(stored.dropDuplicates(["sha1"]))
 
 
-def image_store(candidates: DataFrame, image_bytes: DataFrame, max_images: int = 100) -> DataFrame:
+def image_store(candidates: DataFrame, image_bytes: DataFrame, max_images: int | None = None) -> DataFrame:
     """The kept images of each page with their contents, ready to be written.
 
     Contents repeat for every page that shows them. To store them once, write
@@ -291,6 +297,6 @@ def image_store(candidates: DataFrame, image_bytes: DataFrame, max_images: int =
     return kept.drop("reason", "reported_url").join(image_contents(kept, image_bytes), "sha1")
 
 
-def image_skips(candidates: DataFrame, image_bytes: DataFrame, max_images: int = 100) -> DataFrame:
+def image_skips(candidates: DataFrame, image_bytes: DataFrame, max_images: int | None = None) -> DataFrame:
     judged = judged_images(candidates, image_bytes, max_images).where("reason is not null")
     return judged.select("page_id", F.col("reported_url").alias("url"), "reason")

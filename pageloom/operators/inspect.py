@@ -1,7 +1,7 @@
 """Which repeated element is the list? Ranked suggestions per page.
 
 All of it happens inside the page row: class tokens are grouped by sorting an
-array, and at most forty elements per token are looked at.
+array, and every element of a token is looked at unless a sample is asked for.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import prices
 from pageloom.functions import text as tx
-from pageloom.functions.base import let, runs_by_key, unnest
+from pageloom.functions.base import first_of, let, runs_by_key, unnest
 from pageloom.operators import dom
 
 # Limits and weights of the scoring.
 SKIPPED_TAGS = ("html", "body", "head", "script", "style", "noscript", "svg", "path", "option")
 TOKEN = r"^[a-zA-Z][a-zA-Z0-9_-]{1,40}$"
-MIN_COUNT, MAX_COUNT = 3, 2000
-SAMPLE, TITLES, TITLE_LENGTH, SHOWN = 40, 3, 80, 12
+MIN_COUNT = 3
+TITLES = 3  # example titles that a suggestion shows
 LINK_WEIGHT, IMAGE_WEIGHT, PRICE_WEIGHT = 0.4, 0.3, 0.3
 LONG_TEXT, SHORT_TEXT = 800, 15
 WEAK_SCORE = 10
@@ -43,8 +43,8 @@ def _tokens(tree: Column) -> Column:
     return F.flatten(F.transform(carriers, of_node))
 
 
-def _repeated(tree: Column, low: int, high: int) -> Column:
-    return F.filter(runs_by_key(_tokens(tree)), lambda run: F.size(run).between(low, high))
+def _repeated(tree: Column, low: int, high: int | None) -> Column:
+    return F.filter(runs_by_key(_tokens(tree)), lambda run: (F.size(run) >= low) & (F.lit(True) if high is None else F.size(run) <= high))
 
 
 def _signals(tree: Column, content: Column, hidden: Column, node: Column) -> Column:
@@ -83,7 +83,7 @@ def _scored(run: Column, samples: Column) -> Column:
         score = F.log10(F.size(run) + F.lit(1)) * mix * factor * 100
         titles = F.transform(
             F.slice(F.filter(samples, lambda s: s["text"] != ""), 1, TITLES),
-            lambda s: F.substring(s["text"], 1, TITLE_LENGTH),
+            lambda s: s["text"],
         )
         return F.struct(
             (-_js_round(score * 10) / 10).alias("order"),
@@ -109,22 +109,22 @@ def _scored(run: Column, samples: Column) -> Column:
     return let(ratios, with_ratios)
 
 
-def _all_scored(tree: Column, content: Column) -> Column:
+def _all_scored(tree: Column, content: Column, sample: int | None = None, high: int | None = None) -> Column:
     def judge(hidden: Column) -> Column:
         def of_run(run: Column) -> Column:
             samples = F.transform(
-                F.slice(run, 1, SAMPLE),
+                first_of(run, sample),
                 lambda t: let(dom.node_at(tree, t["id"]), lambda n: _signals(tree, content, hidden, n)),
             )
             return let(samples, lambda s: _scored(run, s))
 
-        return F.transform(_repeated(tree, MIN_COUNT, MAX_COUNT), of_run)
+        return F.transform(_repeated(tree, MIN_COUNT, high), of_run)
 
     return let(dom.hidden_ranges(tree), judge)
 
 
-def _ranked(scored: Column) -> Column:
-    return F.slice(F.array_sort(F.filter(scored, lambda s: s["exact"] > 0)), 1, SHOWN)
+def _ranked(scored: Column, shown: int | None = None) -> Column:
+    return first_of(F.array_sort(F.filter(scored, lambda s: s["exact"] > 0)), shown)
 
 
 _PUBLIC = (
@@ -132,7 +132,7 @@ _PUBLIC = (
 )
 
 
-def class_counts(pages: DataFrame, low: int = MIN_COUNT, high: int = MAX_COUNT) -> DataFrame:
+def class_counts(pages: DataFrame, low: int = MIN_COUNT, high: int | None = None) -> DataFrame:
     """``page_id, selector, count`` of the class tokens that repeat enough."""
     found = F.transform(
         _repeated(F.col("nodes"), low, high),
@@ -141,10 +141,14 @@ def class_counts(pages: DataFrame, low: int = MIN_COUNT, high: int = MAX_COUNT)
     return unnest(dom.parse(pages.select("page_id", "html")), ["page_id"], found)
 
 
-def selector_signals(pages: DataFrame) -> DataFrame:
-    """Signals of every repeated token, also of those that score nothing."""
+def selector_signals(pages: DataFrame, sample: int | None = None, high: int | None = None) -> DataFrame:
+    """Signals of every repeated token, also of those that score nothing.
+
+    A browser tool would look at the first 40 elements of a token and at no
+    token with more than 2,000.
+    """
     parsed = dom.parse(pages.select("page_id", "html"))
-    rows = unnest(parsed, ["page_id"], _all_scored(F.col("nodes"), F.col("content")))
+    rows = unnest(parsed, ["page_id"], _all_scored(F.col("nodes"), F.col("content"), sample, high))
     return rows.select("page_id", *_PUBLIC)
 
 
@@ -163,7 +167,7 @@ def _hint(best: Column) -> Column:
     )
 
 
-def inspect_pages(pages: DataFrame) -> DataFrame:
+def inspect_pages(pages: DataFrame, shown: int | None = None, sample: int | None = None, high: int | None = None) -> DataFrame:
     """One row per page: suggestions, JSON-LD products, elements, hint."""
     parsed = dom.parse(pages.select("page_id", "url", "html"))
     tree, content = F.col("nodes"), F.col("content")
@@ -183,15 +187,15 @@ def inspect_pages(pages: DataFrame) -> DataFrame:
         "page_id",
         "url",
         F.coalesce(tx.squash(dom.text_of(content, title_node)), F.lit("")).alias("title"),
-        _ranked(_all_scored(tree, content)).alias("suggestions"),
+        _ranked(_all_scored(tree, content, sample, high), shown).alias("suggestions"),
         products.alias("json_ld_products"),
         F.size(tree).alias("total_elements"),
     )
     return staged.withColumn("hint", _hint(F.get("suggestions", F.lit(0))))
 
 
-def suggest_selectors(pages: DataFrame) -> DataFrame:
-    """The twelve best suggestions of each page, by ``rank``."""
+def suggest_selectors(pages: DataFrame, shown: int | None = None, sample: int | None = None, high: int | None = None) -> DataFrame:
+    """The suggestions of each page, by ``rank``; a browser tool would show the best 12."""
     parsed = dom.parse(pages.select("page_id", "html"))
-    rows = unnest(parsed, ["page_id"], _ranked(_all_scored(F.col("nodes"), F.col("content"))), "pos")
+    rows = unnest(parsed, ["page_id"], _ranked(_all_scored(F.col("nodes"), F.col("content"), sample, high), shown), "pos")
     return rows.select("page_id", (F.col("pos") + 1).alias("rank"), *_PUBLIC)

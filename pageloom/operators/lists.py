@@ -17,7 +17,7 @@ from pyspark.sql.window import Window as W
 
 from pageloom.functions import media, prices, urls
 from pageloom.functions import text as tx
-from pageloom.functions.base import extract_or_null, let, select_where, unnest
+from pageloom.functions.base import extract_or_null, first_of, let, select_where, unnest
 from pageloom.operators import dom, select
 
 # Selectors tried, in order, when none is given.
@@ -38,11 +38,11 @@ AUTO_SELECTORS = (
     "article",
     ".item",
 )
+# Where the title and the price of an item are looked for.
 TITLE_SELECTOR = "h1, h2, h3, h4, h5, .title, [class*='title'], [class*='name'], a[title]"
 PRICE_SELECTOR = "[class*='price'], [itemprop='price'], .amount, bdi"
-SAMPLE = 40
 MIN_MATCHES = 3
-MAX_ITEMS = 10_000
+NO_LIMIT = (1 << 62) - 1
 
 GENERIC = ("title", "price", "price_value", "currency", "link", "image", "text")
 
@@ -62,16 +62,19 @@ def _meaningful(tree: Column, content: Column, node: Column) -> Column:
     return let(tx.collapse(dom.text_of(content, node)), judge)
 
 
-def detected(tree: Column, content: Column) -> Column:
-    """Best of the known selectors: ``struct<score, rank, selector, matches>`` or null."""
+def detected(tree: Column, content: Column, sample: int | None = None) -> Column:
+    """Best of the known selectors: ``struct<score, rank, selector, matches>`` or null.
+
+    Every match is judged, or the first ``sample``; a browser tool would look at 40.
+    """
 
     def score(rank: int, selector: str) -> Column:
         def judge(ids: Column) -> Column:
-            sample = F.slice(ids, 1, SAMPLE)
+            looked_at = first_of(ids, sample)
             good = F.size(
-                F.filter(sample, lambda i: let(dom.node_at(tree, i), lambda n: _meaningful(tree, content, n)))
+                F.filter(looked_at, lambda i: let(dom.node_at(tree, i), lambda n: _meaningful(tree, content, n)))
             )
-            value = good / F.size(sample) * F.log10(F.size(ids) + F.lit(1)) * 100
+            value = good / F.size(looked_at) * F.log10(F.size(ids) + F.lit(1)) * 100
             return F.when(
                 (F.size(ids) >= MIN_MATCHES),
                 F.struct(
@@ -91,10 +94,10 @@ def detected(tree: Column, content: Column) -> Column:
     return F.get(F.array_sort(usable), F.lit(0))
 
 
-def detect_selectors(pages: DataFrame) -> DataFrame:
+def detect_selectors(pages: DataFrame, sample: int | None = None) -> DataFrame:
     """``page_id, selector, matches, score``; a null selector where none fits."""
     parsed = dom.parse(pages.select("page_id", "html"))
-    best = parsed.select("page_id", detected(F.col("nodes"), F.col("content")).alias("best"))
+    best = parsed.select("page_id", detected(F.col("nodes"), F.col("content"), sample).alias("best"))
     return best.select("page_id", "best.selector", "best.matches", "best.score")
 
 
@@ -213,7 +216,11 @@ def _image(own_tag: Column) -> Column:
 
 
 def generic_columns(items: DataFrame, keys: list[str], extra: list[str]) -> tuple[DataFrame, list[Column]]:
-    """The seven columns every non-table item has, and the input they need."""
+    """The seven columns every non-table item has, and the input they need.
+
+    Texts are whole; a browser tool would cut them at 500 characters, and a
+    title that is a first line at 200.
+    """
     me = F.col("me")
     staged = items.select(
         *keys,
@@ -233,7 +240,7 @@ def generic_columns(items: DataFrame, keys: list[str], extra: list[str]) -> tupl
         tx.collapse(F.coalesce(in_price_node, prices.price_text(text))).alias("price"),
         urls.resolve(_attr(F.col("_link"), "href"), F.col("base")).alias("link"),
     )
-    first_line = F.substring(F.get(F.split(text, "\n"), F.lit(0)), 1, 200)
+    first_line = F.get(F.split(text, "\n"), F.lit(0))
     columns = [
         F.coalesce(
             F.nullif("_heading", F.lit("")),
@@ -245,7 +252,7 @@ def generic_columns(items: DataFrame, keys: list[str], extra: list[str]) -> tupl
         prices.currency(F.col("price")).alias("currency"),
         F.col("link"),
         F.col("image"),
-        F.substring(text, 1, 500).alias("text"),
+        text.alias("text"),
     ]
     return with_price, columns
 

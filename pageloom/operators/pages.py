@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import text as tx
 from pageloom.functions import urls
-from pageloom.functions.base import first_per_key, let, select_where, unnest
+from pageloom.functions.base import first_of, first_per_key, let, select_where, start_of, unnest
 from pageloom.operators import dom, select
 
-MAX_HEADINGS = 200
-MAX_LINKS = 1000
-LINK_TEXT = 200
-_HIDDEN = "script|style|template|iframe"
+_HIDDEN = "script|style|template|iframe|noscript"
+
+
+# What a capture may tell beyond the address asked for.
+CAPTURE = ("final_url", "status", "captured_at")
+
+
+def base_url(pages: DataFrame) -> Column:
+    """The address that a page's links are relative to."""
+    return F.coalesce("final_url", "url") if "final_url" in pages.columns else F.col("url")
 
 
 def markup(html: Column) -> Column:
@@ -49,8 +55,11 @@ def description(clean: Column) -> Column:
     )
 
 
-def headings(clean: Column) -> Column:
-    """Non-empty h1 to h3 in document order: ``array<struct<level, text>>``."""
+def headings(clean: Column, limit: int | None = None) -> Column:
+    """Non-empty h1 to h3 in document order: ``array<struct<level, text>>``.
+
+    All of them, or the first ``limit``; a browser tool would stop at 200.
+    """
     found = F.transform(
         tx.elements(clean, "h[1-6]"),
         lambda h: F.struct(
@@ -58,9 +67,7 @@ def headings(clean: Column) -> Column:
             tx.collapse(tx.fragment_text(tx.inner(h))).alias("text"),
         ),
     )
-    return F.slice(
-        F.filter(found, lambda h: (h["level"] <= 3) & (h["text"] != "")), 1, MAX_HEADINGS
-    )
+    return first_of(F.filter(found, lambda h: (h["level"] <= 3) & (h["text"] != "")), limit)
 
 
 def raw_links(clean: Column) -> Column:
@@ -76,8 +83,12 @@ def raw_links(clean: Column) -> Column:
     return F.filter(found, lambda a: a["href"].isNotNull())
 
 
-def links(clean: Column, url: Column) -> Column:
-    """Distinct absolute links, first seen first: ``array<struct<pos, text, url>>``."""
+def links(clean: Column, url: Column, limit: int | None = None, label_length: int | None = None) -> Column:
+    """Distinct absolute links, first seen first: ``array<struct<pos, text, url>>``.
+
+    All of them with their whole text, or the first ``limit`` with the first
+    ``label_length`` characters; a browser tool would take 1,000 and 200.
+    """
 
     def distinct(base: Column) -> Column:
         resolved = F.transform(
@@ -91,10 +102,10 @@ def links(clean: Column, url: Column) -> Column:
             F.transform(firsts, lambda a: F.struct(a["pos"], a["label"], a["key"].alias("url")))
         )
         return F.transform(
-            F.slice(ordered, 1, MAX_LINKS),
+            first_of(ordered, limit),
             lambda a, i: F.struct(
                 i.alias("pos"),
-                F.substring(tx.collapse(a["label"]), 1, LINK_TEXT).alias("text"),
+                start_of(tx.collapse(a["label"]), label_length).alias("text"),
                 a["url"].alias("url"),
             ),
         )
@@ -110,12 +121,12 @@ def page_descriptions(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", description(markup(F.col("html"))).alias("description"))
 
 
-def page_headings(pages: DataFrame) -> DataFrame:
-    return unnest(pages, ["page_id"], headings(markup(F.col("html"))), "pos")
+def page_headings(pages: DataFrame, max_headings: int | None = None) -> DataFrame:
+    return unnest(pages, ["page_id"], headings(markup(F.col("html")), max_headings), "pos")
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    return unnest(pages, ["page_id"], links(markup(F.col("html")), F.col("url")))
+def page_links(pages: DataFrame, max_links: int | None = None, label_length: int | None = None) -> DataFrame:
+    return unnest(pages, ["page_id"], links(markup(F.col("html")), base_url(pages), max_links, label_length))
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
@@ -164,8 +175,15 @@ def page_summary(
     selector: str | None = None,
     include_html: bool = False,
     include_links: bool = True,
+    max_headings: int | None = None,
+    max_links: int | None = None,
+    label_length: int | None = None,
 ) -> DataFrame:
-    """One row per page. ``selector`` narrows text and html, not the rest."""
+    """One row per page. ``selector`` narrows text and html, not the rest.
+
+    Links of a redirected page are resolved against its ``final_url``, where
+    there is such a column; it, ``status`` and ``captured_at`` are handed on.
+    """
     if selector is None:
         scoped = pages.withColumn("_scoped", F.col("html"))
     else:
@@ -175,9 +193,12 @@ def page_summary(
             .withColumnRenamed("html", "_scoped")
             .withColumnRenamed("_full", "html")
         )
+    captured = [c for c in CAPTURE if c in scoped.columns]
     staged = scoped.select(
         "page_id",
         "url",
+        *captured,
+        base_url(scoped).alias("_base"),
         "_scoped",
         markup(F.col("html")).alias("_clean"),
         tx.readable_text(F.col("_scoped")).alias("text"),
@@ -186,15 +207,16 @@ def page_summary(
     columns = [
         F.col("page_id"),
         F.col("url"),
+        *[F.col(c) for c in captured],
         title(clean).alias("title"),
         description(clean).alias("description"),
         F.col("text"),
         F.length("text").alias("text_length"),
         F.length("_scoped").alias("html_length"),
-        headings(clean).alias("headings"),
+        headings(clean, max_headings).alias("headings"),
     ]
     if include_links:
-        columns.append(links(clean, F.col("url")).alias("links"))
+        columns.append(links(clean, F.col("_base"), max_links, label_length).alias("links"))
     if include_html:
         columns.append(F.col("_scoped").alias("html"))
     return staged.select(*columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import urls
-from pageloom.functions.base import let, select_where
+from pageloom.functions.base import checked_limit, let, select_where
 from pageloom.operators import crawl, dom, lists, select
 from pageloom.session import settle
 from pageloom.sources.captured import first_captures
@@ -21,7 +21,6 @@ NEXT_SELECTORS = (
     "[aria-label='Next page']",
     "li.next > a",
 )
-MAX_LIST_PAGES = 50
 
 
 def next_links(pages: DataFrame, selector: str | None = None) -> DataFrame:
@@ -80,7 +79,9 @@ def list_pages(
 
     A numbered page that was not captured keeps its place with a null page_id.
     """
-    limit = crawl.bounded(max_pages, MAX_LIST_PAGES)
+    limit = checked_limit(max_pages, "max_pages")
+    if limit is None:
+        raise ValueError("a list needs a number of pages to follow")
     captures = first_captures(pages)
     if page_url_pattern is not None:
         chain = numbered_pages(targets, page_url_pattern, start_page, limit)
@@ -111,8 +112,8 @@ class ListExtraction:
     shared folder once; the three parts all read them.
     """
 
-    def __init__(self, targets: DataFrame, chain: DataFrame, selectors: DataFrame, rows: DataFrame, max_items: int):
-        limit = crawl.bounded(max_items, lists.MAX_ITEMS)
+    def __init__(self, targets: DataFrame, chain: DataFrame, selectors: DataFrame, rows: DataFrame, max_items: int | None):
+        limit = checked_limit(max_items, "max_items") or lists.NO_LIMIT
         distinct = settle(lists.distinct_items(rows))
         self._targets = targets
         self._selectors = selectors
@@ -122,7 +123,7 @@ class ListExtraction:
 
     @property
     def summary(self) -> DataFrame:
-        kept = F.least(F.col("added"), F.lit(self._limit) - F.col("before"))
+        kept = F.least(F.col("added"), F.lit(self._limit).cast("long") - F.col("before"))
         per_target = self._walked.groupBy("target_id").agg(
             F.sum(kept).alias("item_count"),
             F.count("*").alias("page_count"),
@@ -159,10 +160,13 @@ def extract_list(
     start_page: int = 1,
     next_page_selector: str | None = None,
     max_pages: int = 1,
-    max_items: int = 1000,
+    max_items: int | None = None,
 ) -> ListExtraction:
     """Rows of a repeated element, over the pages of each target's list.
 
+    ``max_pages`` and ``max_items`` (of a target) are used as given; a browser
+    tool would stop at 50 pages and 10,000 rows.
+
     Without ``item_selector`` it is detected on a target's first page and used
     on all its pages.
     """

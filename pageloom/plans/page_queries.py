@@ -203,7 +203,7 @@ ORACLE = {
         SELECT page_id, CAST(0 AS INTEGER) AS pos, CAST(1 AS INTEGER) AS level, text FROM (
             SELECT page_id, {_collapse(_unescape("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"))} AS text FROM pages)
         WHERE text <> ''""",
-    "page_links": f"SELECT page_id, pos, left(text, 200) AS text, url FROM ({_LINKS}) WHERE pos < 1000",
+    "page_links": f"SELECT page_id, pos, text, url FROM ({_LINKS})",
     "page_text": f"SELECT page_id, {_readable(_BODY)} AS text FROM {_PAGES}",
     "page_text_scoped": "SELECT page_id, "
     + _readable("regexp_extract(closed, '(?s)<article.*</article>')")
@@ -218,7 +218,7 @@ ORACLE = {
                CAST(CASE WHEN {_collapse("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} = '' THEN 0 ELSE 1 END AS INTEGER) AS heading_count,
                CAST(coalesce(link_count, 0) AS INTEGER) AS link_count
         FROM {_PAGES} LEFT JOIN (SELECT page_id, count(*) AS link_count FROM ({_LINKS}) GROUP BY page_id) USING (page_id)""",
-    "same_origin_links": f"SELECT page_id, url FROM ({_LINKS}) WHERE pos < 1000",
+    "same_origin_links": f"SELECT page_id, url FROM ({_LINKS})",
     "url_normalize": """
         SELECT page_id,
                CASE page_id % 4 WHEN 0 THEN 'https://' || lower(host) || path

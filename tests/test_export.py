@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.operators import leads, lists, runlog
-from pageloom.operators.crawl import bounded
+from pageloom.functions.base import checked_limit
 from pageloom.sources import captured
 from pageloom.sources import export as sink
 
@@ -105,4 +105,6 @@ def test_masking(spark):
 
 
 def test_bounds():
-    assert [bounded(v, 10) for v in (-1, 0, 5, 99)] == [1, 1, 5, 10]
+    assert checked_limit(None, "n") is None and checked_limit(99, "n") == 99
+    with pytest.raises(ValueError):
+        checked_limit(0, "n")
