@@ -157,13 +157,13 @@ def _hint(best: Column) -> Column:
     return (
         F.when(
             best.isNull(),
-            F.lit("No repeating pattern found. The list is probably rendered after the page was captured."),
+            F.lit("Nothing repeats on this page; its list may have been filled in after the capture."),
         )
         .when(
             best["score"] < WEAK_SCORE,
-            F.concat(F.lit('Weak match ("'), name, F.lit('", '), count, F.lit(" items). Check the sample titles.")),
+            F.concat(F.lit("Doubtful: "), name, F.lit(" stands "), count, F.lit(" times; look at its titles first.")),
         )
-        .otherwise(F.concat(F.lit('Try item_selector "'), name, F.lit('" ('), count, F.lit(" items on this page).")))
+        .otherwise(F.concat(F.lit("Likely list: "), name, F.lit(", "), count, F.lit(" times on this page.")))
     )
 
 

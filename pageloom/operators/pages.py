@@ -165,7 +165,7 @@ def scope_errors(pages: DataFrame, selector: str) -> DataFrame:
         F.col("page_id").alias("target_id"),
         F.lit("text").alias("op"),
         F.concat(
-            F.lit(f'Selector "{selector}" matched no elements on '), F.col("url")
+            F.lit(f"No element fits {selector} on "), F.col("url")
         ).alias("message"),
     )
 

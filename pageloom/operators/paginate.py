@@ -142,10 +142,10 @@ class ListExtraction:
             F.lit("list").alias("op"),
             F.when(
                 F.col("selector").isNull(),
-                F.lit("Could not auto-detect a repeating item selector on this page. Pass item_selector."),
+                F.lit("No known selector finds a list on the first page; name one with item_selector."),
             )
             .otherwise(
-                F.concat(F.lit('Selector "'), "selector", F.lit('" matched no usable items on '), "url")
+                F.concat(F.lit("No row came of the elements that "), "selector", F.lit(" finds on "), "url")
             )
             .alias("message"),
         )

@@ -84,13 +84,13 @@ ORACLE = {
         SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, selector) AS INTEGER) AS rank,
                selector, CAST(n AS INTEGER) AS count, score FROM ({_SCORE}) WHERE score > 0""",
     "selector_hint": f"""
-        SELECT page_id, 'Try item_selector "div.tile-2024" (' || n || ' items on this page).' AS hint
+        SELECT page_id, 'Likely list: div.tile-2024, ' || n || ' times on this page.' AS hint
         FROM ({_STATS}) WHERE selector = 'div.tile-2024'
         UNION ALL
-        SELECT -page_id - 1, 'Try item_selector "div.product-card" (' || n || ' items on this page).'
+        SELECT -page_id - 1, 'Likely list: div.product-card, ' || n || ' times on this page.'
         FROM (SELECT page_id, count(*) AS n FROM {_PARTS} GROUP BY page_id)
         UNION ALL
-        SELECT 1000000000 + p_partkey, 'No repeating pattern found. The list is probably rendered after the page was captured.' FROM part""",
+        SELECT 1000000000 + p_partkey, 'Nothing repeats on this page; its list may have been filled in after the capture.' FROM part""",
     "jsonld_products": f"""
         SELECT page_id, 'Parts' AS title, CAST(count(*) AS INTEGER) AS json_ld_products,
                CAST(count(*) * 7 + 7 + max(CASE WHEN no < 4 THEN 1 ELSE 0 END) AS INTEGER) AS total_elements

@@ -204,6 +204,6 @@ ORACLE = {
         FROM {_PARTS} GROUP BY shop""",
     "list_errors": """
         SELECT DISTINCT p_partkey // 100 AS target_id, 'list' AS op,
-               'Selector ".no-such-item" matched no usable items on https://shop.test/s' || p_partkey // 100 || '/list?page=1' AS message
+               'No row came of the elements that .no-such-item finds on https://shop.test/s' || p_partkey // 100 || '/list?page=1' AS message
         FROM part""",
 }
