@@ -1,7 +1,9 @@
 """Pairs within buckets, without pairing all with all.
 
 Every member of a bucket is compared with the bucket's anchor. Those that are
-not like it stay for another round with eight times as many anchors, each of
+not like it stay. They are dealt over smaller buckets by size: similar members
+differ in size by less than a known ratio, so each goes to two neighbouring size
+classes and no similar pair is parted. Further rounds take more anchors, each of
 which meets all that are left, until no bucket has two members left. A round
 makes at most so many pairs per member as there are anchors, so the work follows
 the number of members, not its square. Two members that are both like an anchor
@@ -10,6 +12,7 @@ are in one group through it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -17,19 +20,27 @@ from pyspark.sql import functions as F
 
 from pageloom.session import Scratch
 
-MOST = 64  # anchors of a bucket in one round; further ones come in further rounds
+ANCHORS = (1, 32, 256)  # of a bucket in each round; the last holds for all further rounds
 
 
-def anchored_links(left: DataFrame, fits: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame], run: Scratch) -> DataFrame:
+def _crowded(left: DataFrame) -> DataFrame:
+    several = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    return left.join(several, "bucket").select("bucket", "key", "info")
+
+
+def anchored_links(left: DataFrame, fits: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame], least: float, run: Scratch) -> DataFrame:
     """Verified pairs (u, v) of the members of common buckets.
 
-    ``left`` has bucket, key and info (a struct) of members of buckets of two or
-    more. ``fits`` is a cheap test of two infos that no similar pair fails;
+    ``left`` has bucket, key and info (a struct with n_words) of members of
+    buckets of two or more. ``fits`` is a cheap test of two infos that no similar
+    pair fails; similar members differ in n_words by the ratio ``least`` at most.
     ``verified`` keeps the similar ones of distinct pairs (u, v), u < v.
     """
-    found, tested, anchors = None, None, 1
+    found, tested, rounds = None, None, 0
     while True:
-        order = F.struct(F.xxhash64("key", "bucket").alias("h"), F.col("key"), F.col("info"))
+        anchors = ANCHORS[min(rounds, len(ANCHORS) - 1)]
+        # The same order in all buckets, so that a group's members meet the same few anchors.
+        order = F.struct(F.xxhash64("key").alias("h"), F.col("key"), F.col("info"))
         slot = F.pmod(F.xxhash64("key", F.lit(17)), F.lit(anchors))
         # The minimum is combined before the shuffle; the join with it can be split where a bucket is large.
         heads = left.groupBy("bucket", slot.alias("slot")).agg(F.min(order).alias("head"))
@@ -48,8 +59,10 @@ def anchored_links(left: DataFrame, fits: Callable[[Column, Column], Column], ve
         linked = pairs.join(both, ["u", "v"], "left_semi").select("bucket", F.col("v").alias("key"))
         done = linked.union(heads.select("bucket", F.col("u").alias("key"))).distinct()
         rest = left.join(done, ["bucket", "key"], "left_anti")
-        crowded = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-        left = run.settle(rest.join(crowded, "bucket").select("bucket", "key", "info"))
+        if rounds == 0:
+            class_ = F.floor(F.log(F.greatest(F.col("info.n_words"), F.lit(1))) / F.lit(math.log(1 / least)) + F.lit(1e-6))
+            rest = rest.select(F.explode(F.array(F.xxhash64("bucket", class_), F.xxhash64("bucket", class_ + 1))).alias("bucket"), "key", "info")
+        left = run.settle(_crowded(rest))
         if left.isEmpty():
             return found
-        anchors = min(anchors * 8, MOST)
+        rounds += 1

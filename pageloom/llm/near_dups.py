@@ -26,8 +26,8 @@ from pageloom.session import Scratch
 
 SHINGLE = 5
 SIMILAR = 0.8
-SKETCHES = 20
-KEPT = 5  # shingles in a sketch: texts with a share s of common shingles agree on one in about s ** 5
+SKETCHES = 24
+KEPT = 4  # shingles in a sketch: texts with a share s of common shingles agree on one in about s ** 4
 SALTS = 8
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
@@ -113,6 +113,18 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
     most = int((1 - least) * longer + 1e-9)
     if longer - min(len(a), len(b)) > most:
         return False
+    # What both begin or end with needs no edit.
+    shorter = min(len(a), len(b))
+    differ = np.flatnonzero(a[:shorter] != b[:shorter])
+    start = int(differ[0]) if len(differ) else shorter
+    a, b = a[start:], b[start:]
+    shorter = min(len(a), len(b))
+    differ = np.flatnonzero(a[::-1][:shorter] != b[::-1][:shorter])
+    stop = int(differ[0]) if len(differ) else shorter
+    a, b = a[: len(a) - stop], b[: len(b) - stop]
+    longer = max(len(a), len(b))
+    if longer <= most:
+        return True
     # Words that the other text lacks must each be edited: a cheap bound first.
     values, where = np.unique(np.concatenate([a, b]), return_inverse=True)
     shared = np.minimum(np.bincount(where[: len(a)], minlength=len(values)), np.bincount(where[len(a) :], minlength=len(values))).sum()
@@ -149,8 +161,8 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 def _rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``docs`` met with ``wanted`` by its column ``row``; ids are spread evenly, so no key is hot."""
-    met = (docs["doc_id"].cast("long").eqNullSafe(wanted["row.doc_id"])) & (F.xxhash64(docs["text"]) == wanted["row.mark"])
-    return docs.join(wanted, met)
+    met = F.col("_text.doc_id").cast("long").eqNullSafe(F.col("_want.row.doc_id")) & (F.xxhash64("_text.text") == F.col("_want.row.mark"))
+    return docs.alias("_text").join(wanted.alias("_want"), met)
 
 
 def _with_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -162,7 +174,7 @@ def _with_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["key", "words"])
 
     met = _rows_of(docs.select("doc_id", F.col("text").cast("string").alias("text")), wanted)
-    return met.select("key", "text").mapInArrow(run, "key binary, words binary").dropDuplicates(["key"])
+    return met.select("_want.key", "_text.text").mapInArrow(run, "key binary, words binary").dropDuplicates(["key"])
 
 
 def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
@@ -192,7 +204,7 @@ def links(docs: DataFrame, classes: DataFrame, run: Scratch, least: float = SIMI
     def fits(a: Column, b: Column) -> Column:
         return F.least(a["n_words"], b["n_words"]) >= F.lit(least) * F.greatest(a["n_words"], b["n_words"]) - 1e-9
 
-    return anchored_links(left, fits, lambda pairs: _verified(pairs, words, least), run)
+    return anchored_links(left, fits, lambda pairs: _verified(pairs, words, least), least, run)
 
 
 def _grouped(docs: DataFrame, least: float, run: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -236,8 +248,8 @@ def deduplicated(docs: DataFrame, least: float = SIMILAR, run: Scratch | None =
     rows, several = _grouped(docs, least, run)
     kept = _marked(rows, several).where(F.col("row") == F.col("first")).groupBy("row").agg(F.count(F.lit(1)).alias("n"))
     kept = run.settle(kept)
-    names = [F.col(c) if "." not in c else F.col(f"`{c}`") for c in docs.columns]
+    names = [F.col(f"_text.`{c}`").alias(c) for c in docs.columns]
     once = _rows_of(docs, kept.where("n = 1").select("row")).select(*names)
     # Rows that repeat id and text: one of them stays.
-    repeated = _rows_of(docs, kept.where("n > 1").select("row", F.xxhash64("row").alias("_one")))
-    return once.unionByName(repeated.dropDuplicates(["doc_id", "text"]).select(*names))
+    repeated = _rows_of(docs, kept.where("n > 1").select("row")).select(*names)
+    return once.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
