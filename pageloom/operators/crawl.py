@@ -69,12 +69,17 @@ def _without_fragment(url: Column | str) -> Column:
 def _walkable(starts: DataFrame, pages: DataFrame) -> DataFrame:
     """``fetch_key, page_id, candidates`` of every page a walk may visit.
 
-    The markup is read once. What a walk may visit is a start or the target of
+    Walks stay on their origin, so pages of other origins are left out before
+    their markup is looked at. The markup is read once. What a walk may visit is a start or the target of
     some contact link: a small part of a crawl, so the rounds move little.
     """
     from pageloom.operators.leads import contact_edges
 
-    edges = settle(contact_edges(pages))
+    origins = starts.select(urls.url_origin(F.col("start")).alias("_origin")).distinct()
+    # Counted: an origin is a short string, and beyond the bound pages are shuffled by it.
+    near = F.broadcast(origins) if origins.count() <= _BROADCAST_ORIGINS else origins
+    own = pages.join(near, urls.url_origin(F.col("url")) == F.col("_origin"), "left_semi")
+    edges = settle(contact_edges(own))
     linked = edges.select(F.explode("candidates").alias("url"))
     wanted = linked.unionByName(starts.select(F.col("start").alias("url")))
     keys = wanted.select(_without_fragment("url").alias("fetch_key")).distinct()
@@ -164,6 +169,8 @@ def chain_pages(starts: DataFrame, next_edges: DataFrame, max_pages: int) -> Dat
     return chain
 
 
+# Origins of this many sites fit a broadcast table of about 50 MB.
+_BROADCAST_ORIGINS = 500_000
 # Ids of this many pages fit a broadcast table of about 50 MB.
 _BROADCAST_PAGES = 2_000_000
 # From this share on it is cheaper to read all pages than to move their markup.

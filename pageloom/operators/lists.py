@@ -301,8 +301,8 @@ def with_table_columns(items: DataFrame, keys: list[str], is_row: Column) -> Dat
     return rows.withColumns({"keys": names, "values": values}).drop("_entries")
 
 
-def _field_value(spec: dict[str, str], name: str) -> Column:
-    node = F.col(f"_node_{name}")
+def _field_value(spec: dict[str, str], place: int) -> Column:
+    node = F.col(f"_node_{place}")
     if spec.get("attr"):
         value = _attr(node, spec["attr"].lower())
         if spec["attr"] in ("href", "src"):
@@ -322,9 +322,12 @@ def _regex_value(value: Column, pattern: str) -> Column:
 
 
 def with_field_columns(items: DataFrame, keys: list[str], fields: dict[str, dict[str, str]]) -> DataFrame:
-    """One column per field; rows without any value are dropped."""
+    """One column per field; rows without any value are dropped. Fields may have any name but those of the keys."""
+    taken = {k.lower() for k in (*keys, "item_idx", "target_id", "page_idx", "item_no")} & {n.lower() for n in fields}
+    if taken:
+        raise ValueError(f"Names of fields are those of keys: {', '.join(sorted(taken))}")
     nodes = []
-    for name, spec in fields.items():
+    for place, spec in enumerate(fields.values()):
         selector = spec.get("selector")
         if not selector:
             node = F.col("me")
@@ -333,12 +336,12 @@ def with_field_columns(items: DataFrame, keys: list[str], fields: dict[str, dict
         else:
             # Ids matched on the whole page, since ancestors may lie outside.
             hit = F.filter(
-                F.col(f"_ids_{name}"), lambda i: (i > F.col("me")["id"]) & (i <= F.col("me")["stop_id"])
+                F.col(f"_ids_{place}"), lambda i: (i > F.col("me")["id"]) & (i <= F.col("me")["stop_id"])
             )
             node = F.get(F.col("sub"), F.get(hit, F.lit(0)) - F.col("me")["id"] - 1)
-        nodes.append(node.alias(f"_node_{name}"))
+        nodes.append(node.alias(f"_node_{place}"))
     staged = items.select(*keys, "item_idx", "base", "me", "own", *nodes)
-    values = [_field_value(spec, name).alias(name) for name, spec in fields.items()]
+    values = [_field_value(spec, place).alias(name) for place, (name, spec) in enumerate(fields.items())]
     return select_where(
         staged,
         [*keys, "item_idx"],
@@ -369,8 +372,9 @@ def extract_items(
             ids = F.when(selector == known, select.match_ids(tree, known)).otherwise(ids)
     if fields:
         scoped = {n: s["selector"] for n, s in fields.items() if s.get("selector") and not select.is_local(s["selector"])}
-        extra = [f"_ids_{n}" for n in scoped]
-        parsed = parsed.select("*", *[select.match_ids(tree, s).alias(f"_ids_{n}") for n, s in scoped.items()])
+        places = {n: i for i, n in enumerate(fields)}
+        extra = [f"_ids_{places[n]}" for n in scoped]
+        parsed = parsed.select("*", *[select.match_ids(tree, s).alias(f"_ids_{places[n]}") for n, s in scoped.items()])
         items = explode_items(parsed, ids, [*keys, *extra], tables=False)
         return with_field_columns(items, keys, fields)
     items = explode_items(parsed, ids, keys)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,6 +76,21 @@ def runs(results: DataFrame) -> DataFrame:
     return given.withColumn("duration_ms", F.floor(took).cast("long")).where(known)
 
 
+def append_runs(results: DataFrame, folder: str) -> None:
+    """Write complete rows to the log, a Parquet folder by type of run."""
+    runs(results).write.mode("append").partitionBy("type").parquet(folder)
+
+
+def read_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(RUN_LOG).parquet(folder).select(*RUN_LOG.names)
+
+
+def datasets(run_log: DataFrame) -> DataFrame:
+    """What runs have left to export: id, tool, url, time and counts of those that are done."""
+    done = run_log.where("status = 'done'")
+    return done.select(F.col("run_id").alias("dataset_id"), F.col("type").alias("tool"), "url", F.col("finished_at").alias("made_at"), "counts")
+
+
 def recent(run_log: DataFrame, limit: int = 50) -> DataFrame:
     """The newest runs; a top-k, so no full sort of the log."""
     return run_log.orderBy(F.col("started_at").desc(), F.col("run_id").desc()).limit(limit)

@@ -17,6 +17,17 @@ PAGES = T.StructType(
 )
 
 
+# What a crawler may also know about a capture. Links are relative to final_url.
+CAPTURED = T.StructType(
+    [
+        *PAGES.fields,
+        T.StructField("final_url", T.StringType()),
+        T.StructField("status", T.IntegerType()),
+        T.StructField("captured_at", T.TimestampType()),
+    ]
+)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use every core on an input that arrives in fewer pieces than cores.
 

@@ -32,14 +32,24 @@ class Receipt:
 
 
 def plain_number(c: Column) -> Column:
-    """A double without exponent and without a needless ``.0``."""
+    """A double with the fewest digits that give it back; plain from 1e-6 up to 1e21."""
     text = c.cast("string")
-    spelled = F.regexp_replace(
-        F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ""
+    parts = F.split(text, "E")
+    power = F.get(parts, F.lit(1)).try_cast("int")
+    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    digits = F.regexp_replace(F.regexp_replace(F.get(parts, F.lit(0)), "[-.]", ""), "(?<=.)0+$", "")
+    whole = F.rpad(F.substr(digits, F.lit(1), power + 1), power + 1, F.lit("0"))
+    rest = F.substr(digits, power + 2)
+    large = F.concat(sign, whole, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(F.lit("")))
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    mantissa = F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(F.lit("")))
+    scientific = F.concat(sign, mantissa, F.when(power > 0, F.lit("e+")).otherwise(F.lit("e")), power.cast("string"))
+    return (
+        F.when(power.isNull(), F.regexp_replace(text, r"\.0$", ""))
+        .when(power.between(0, 20), large)
+        .when(power.between(-6, -1), small)
+        .otherwise(scientific)
     )
-    size = F.abs(c)
-    ordinary = (size < 1e19) & ((size >= 1e-6) | (c == 0))
-    return F.when(ordinary, spelled).otherwise(text)
 
 
 def _as_text(c: Column, kind: T.DataType) -> Column:
@@ -104,20 +114,35 @@ def unwrap(df: DataFrame, payload: str, keys: list[str]) -> DataFrame:
 def unwrap_typed(df: DataFrame) -> DataFrame:
     """The same for typed results: explode the payload array of a wrapper row.
 
-    The choice is by column, in payload order, so a table of results of one
-    kind keeps one schema.
+    Each row gives the entries of its first payload array that is not empty.
+    Rows can only be of one table if all those arrays hold the same type.
     """
-    for name in PAYLOADS:
-        if name in df.columns and isinstance(df.schema[name].dataType, T.ArrayType):
-            kind = df.schema[name].dataType.elementType
-            entry = df.select(F.explode(name).alias("value"))
-            return entry.select("value.*") if isinstance(kind, T.StructType) else entry
-    return df
+    arrays = [n for n in PAYLOADS if n in df.columns and isinstance(df.schema[n].dataType, T.ArrayType)]
+    if not arrays:
+        return df
+    kinds = {df.schema[n].dataType.elementType.simpleString() for n in arrays}
+    if len(kinds) > 1:
+        raise ValueError(f"Payload arrays of different types: {', '.join(arrays)}. Select one of them.")
+    kind = df.schema[arrays[0]].dataType.elementType
+    entries = F.coalesce(*[F.when(F.size(f"`{n}`") > 0, F.col(f"`{n}`")) for n in arrays])
+    entry = df.select(F.explode(entries).alias("value"))
+    return entry.select("value.*") if isinstance(kind, T.StructType) else entry
 
 
 # ------------------------------------------------------------------ ragged rows
 
 
+# A quoted name, or a type in the place of a type: a name may be any of these words.
+_VARIANT_TYPE = re.compile(r"`(?:[^`]|``)*`|(?:(?<=: )|(?<=<)|^)(OBJECT(?=<)|VOID(?=[,>]|$)|DECIMAL\(\d+, *\d+\)(?=[,>]|$))")
+
+
+def _as_ddl(match: re.Match) -> str:
+    word = match.group(1)
+    if word is None:
+        return match.group(0)
+    return {"O": "STRUCT", "V": "STRING", "D": "DOUBLE"}[word[0]]
+
+
 def first_seen_names(df: DataFrame, names: str, order: list[str]) -> list[str]:
     """Distinct names over all rows, in the order they first appear."""
     seen = df.select(*order, F.posexplode(names).alias("_pos", "_name"))
@@ -142,8 +167,7 @@ def records_table(df: DataFrame, record: str, order: list[str]) -> DataFrame:
     order.
     """
     merged = df.agg(F.schema_of_variant_agg(F.parse_json(record)).alias("schema")).first()["schema"]
-    ddl = merged.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
-    schema = T.DataType.fromDDL(re.sub(r"DECIMAL\(\d+, *\d+\)", "DOUBLE", ddl))
+    schema = T.DataType.fromDDL(_VARIANT_TYPE.sub(_as_ddl, merged))
     top = first_seen_names(df.withColumn("_names", F.json_object_keys(record)), "_names", order)
     typed = T.StructType([schema[n] for n in top])
     parsed = df.select(*order, F.from_json(record, typed).alias("_r"))

@@ -15,13 +15,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pageloom.functions.base import unnest
 from pageloom.operators import lists, pages
-from pageloom.sources.captured import PAGES
+from pageloom.sources.captured import CAPTURED, PAGES
 
 Transform = Callable[[DataFrame], DataFrame]
 
 
-def page_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def page_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000, keep_for: str | None = None) -> DataFrame:
+    """Pages as they land. With ``keep_for``, such as "7 days", they have a capture
+    time, and what looks across batches forgets what is older than that."""
+    schema = PAGES if keep_for is None else CAPTURED
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    return stream if keep_for is None else stream.withWatermark("captured_at", keep_for)
 
 
 def extract_stream(stream: DataFrame, transform: Transform, out: str, state: str) -> StreamingQuery:
@@ -45,7 +49,7 @@ def distinct_links(stream: DataFrame) -> DataFrame:
     """
     timed = "captured_at" in stream.columns
     keys = ["captured_at"] if timed else []
-    found = unnest(stream, keys, pages.links(pages.markup(F.col("html")), F.col("url")))
+    found = unnest(stream, keys, pages.links(pages.markup(F.col("html")), pages.base_url(stream)))
     seen = found.select(*keys, "url")
     return seen.dropDuplicatesWithinWatermark(["url"]) if timed else seen.dropDuplicates(["url"])
 

@@ -64,6 +64,36 @@ def test_ragged_records(spark):
     assert [tuple(r) for r in table.orderBy("i").collect()] == [(1, "x", "1", ""), (2, "y", "2.5", "v")]
 
 
+def test_ragged_names(spark):
+    rows = [(1, '{"AVOID":1,"VOID":null,"OBJECT":{"VOID":[{"a b":2}]}}'), (2, '{"AVOID":2.5,"x":[null]}')]
+    table = sink.records_table(spark.createDataFrame(rows, "i int, r string"), "r", ["i"])
+    got = [r.asDict() for r in table.orderBy("i").collect()]
+    assert [g["AVOID"] for g in got] == ["1", "2.5"] and got[0]["OBJECT.VOID"] == '{"a b":2}'
+
+
+def test_numbers(spark):
+    cases = {1.2345678901234567e-5: "0.000012345678901234568", 1e20: "100000000000000000000", 1.5e21: "1.5e+21", 1e-7: "1e-7", -2.5e-6: "-0.0000025", 0.0: "0", 12345678.5: "12345678.5", 1.0: "1", 123456789012345680.0: "123456789012345680", 0.1: "0.1"}
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(cases)], "i int, x double")
+    assert [r.x for r in sink.flatten(df).orderBy(F.col("i").cast("int")).collect()] == list(cases.values())
+
+
+def test_unwrap_rows_choose(spark):
+    df = spark.createDataFrame([([], ["b"]), (["a"], ["c"])], "items array<string>, rows array<string>")
+    assert sorted(r.value for r in sink.unwrap_typed(df).collect()) == ["a", "b"]
+    with pytest.raises(ValueError):
+        sink.unwrap_typed(spark.sql("SELECT array(1) AS items, array('x') AS rows"))
+
+
+def test_field_names(spark):
+    fields = {"price.value": {"selector": ".price"}, "a`b": {"selector": "a", "attr": "href"}}
+    html = '<div class=i><a href=/x>x</a><b class=price>2,00 TL</b></div>'
+    df = spark.createDataFrame([(1, "https://a.test/", html)], "page_id long, url string, html string")
+    row = lists.extract_items(df, ".i", fields).first().asDict()
+    assert (row["price.value"], row["a`b"]) == ("2,00 TL", "https://a.test/x")
+    with pytest.raises(ValueError):
+        lists.extract_items(df, ".i", {"page_id": {"selector": "a"}})
+
+
 def test_formats(spark, tmp_path):
     assert [sink.format_of(p) for p in ("a.csv", "b.JSON", "c", "d.txt")] == ["csv", "json", "json", "json"]
     path = str(tmp_path / "out")
@@ -99,6 +129,14 @@ def test_run_log(spark):
     assert log.schema == runlog.RUN_LOG
 
 
+def test_run_log_on_disk(spark, tmp_path):
+    rows = [("1", "list", "u", "done", "2024-01-01 00:00:00", "2024-01-01 00:00:02", None, {"items": 3}), ("2", "text", "v", "error", None, None, "x", None)]
+    df = spark.createDataFrame(rows, "run_id string, type string, url string, status string, started_at string, finished_at string, error string, counts map<string,bigint>")
+    runlog.append_runs(df, str(tmp_path / "log"))
+    log = runlog.read_runs(spark, str(tmp_path / "log"))
+    assert log.count() == 2 and [(d.dataset_id, d.tool, d.url, d.counts) for d in runlog.datasets(log).collect()] == [("1", "list", "u", {"items": 3})]
+
+
 def test_masking(spark):
     rows = leads.page_leads(fx.pages_df(spark, [2]))
     assert not [r for r in leads.masked(rows).collect() if "@" in r.value]

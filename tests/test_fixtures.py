@@ -190,6 +190,32 @@ def test_long_walks(spark):
     assert found.items.count() == 240 and found.summary.first().page_count == 60
 
 
+def test_walk_reads_its_own_sites_only(spark):
+    """Pages of other origins go before any pattern looks at their markup."""
+    from pageloom.operators.leads import contact_edges
+    from pageloom.functions import urls
+
+    site = [(1, "https://a.test/", '<a href="/contact">contact</a>'), (2, "https://a.test/contact", ""), (3, "https://b.test/contact", "")]
+    df = spark.createDataFrame(site, "page_id long, url string, html string")
+    target = spark.createDataFrame([(1, "https://a.test/")], "target_id long, url string")
+    assert sorted(r.page_id for r in crawl.walk_contacts(target, df, None).collect()) == [1, 2]
+    own = df.join(F.broadcast(target.select(urls.url_origin(F.col("url")).alias("o"))), urls.url_origin(F.col("url")) == F.col("o"), "left_semi")
+    plan = contact_edges(own)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("candidates") < plan.index("LeftSemi")
+
+
+def test_watermarked_stream(spark, tmp_path):
+    from pageloom.streaming import incremental
+
+    rows = [(1, "https://a.test/", '<a href="/x">x</a>', None, 200, "2024-01-01 00:00:00"), (2, "https://a.test/2", '<a href="/x">x</a><a href=y>y</a>', "https://b.test/", 200, "2024-01-01 00:01:00")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, final_url string, status int, captured_at string")
+    df.withColumn("captured_at", F.col("captured_at").cast("timestamp")).write.parquet(str(tmp_path / "in"))
+    stream = incremental.page_stream(spark, str(tmp_path / "in"), keep_for="1 day")
+    query = incremental.extract_stream(stream, incremental.distinct_links, str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["https://a.test/x", "https://b.test/x", "https://b.test/y"]
+
+
 def test_redirects(spark):
     rows = [(1, "https://a.test/old", "https://b.test/new/", 200, "<a href=x>x</a>"), (2, "https://a.test/q", None, 404, "<a href=x>x</a>")]
     df = spark.createDataFrame(rows, "page_id long, url string, final_url string, status int, html string")
