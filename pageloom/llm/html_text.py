@@ -336,9 +336,12 @@ def _training(pages: list[str], layouts: int = 3) -> tuple[np.ndarray, np.ndarra
 def train(pages: DataFrame, sample: int = SAMPLE) -> Boosted:
     """Fit on layouts made from at most ``sample`` pages, picked by a hash of their markup."""
     picked = pages.select(F.col("html").cast("string").alias("html")).where("html IS NOT NULL")
-    # A top-k: bounded on the driver. Markup of a training page is cut at a size no layout needs.
-    top = picked.select(F.xxhash64("html").alias("h"), F.substring("html", 1, 100_000).alias("html")).orderBy("h", "html").limit(sample)
-    rows, labels = _training([r["html"] for r in top.collect()] or [""])
+    # A top-k of hashes, so that tasks send numbers; then the markup of those pages alone,
+    # cut at a size that no layout needs.
+    hashed = picked.select(F.xxhash64("html").alias("h"), F.substring("html", 1, 100_000).alias("html"))
+    chosen = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]
+    top = hashed.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("html").alias("html")) if chosen else None
+    rows, labels = _training([r["html"] for r in sorted(top.collect(), key=lambda r: r["h"])] if chosen else [""])
     return boost(rows, labels, trees=40, depth=4, rate=0.3, least=8)
 
 
