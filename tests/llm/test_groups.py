@@ -122,10 +122,10 @@ def _brute_lines(texts):
     keys = list(dict.fromkeys(n for t in texts if t for n in map(_normal, t.split("\n")) if n))
     prints = []
     for key in keys:
-        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in key.split()]
-        if len(hashes) % 2 == 0:
-            hashes.append(min(hashes, key=lambda h: h - (1 << 64) if h >> 63 else h))
-        prints.append(sum(1 << b for b in range(63) if sum(h >> b & 1 for h in hashes) > len(hashes) / 2))
+        votes = [(xxhash.xxh64_intdigest(w.encode(), 42), len(w)) for w in key.split()]
+        if sum(n for _, n in votes) % 2 == 0:
+            votes.append((min((h for h, _ in votes), key=lambda h: h - (1 << 64) if h >> 63 else h), 1))
+        prints.append(sum(1 << b for b in range(63) if 2 * sum(n for h, n in votes if h >> b & 1) > sum(n for _, n in votes)))
     parent = {k: k for k in keys}
 
     def find(k):
