@@ -68,8 +68,8 @@ def image_content_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def image_store(spark: SparkSession, sf: str) -> DataFrame:
-    """Kept images with contents, at most ten to a page."""
-    stored = images.image_store(*_document_images(spark, sf), max_images=10)
+    """Kept images with contents."""
+    stored = images.image_store(*_document_images(spark, sf))
     return stored.select("page_id", "file_name", "content_type", "bytes", F.md5("content").alias("digest"))
 
 
@@ -141,6 +141,6 @@ ORACLE = {
     "image_reject_reasons": f"SELECT page_id, url, verdict AS reason FROM ({_JUDGED}) WHERE verdict IS NOT NULL",
     "image_content_dedupe": f"SELECT page_id, url, sha1(text) AS sha1, file_name FROM ({_KEPT})",
     "image_store": f"""
-        SELECT page_id, file_name, 'image/png' AS content_type, bytes, md5(text) AS digest FROM ({_KEPT}) WHERE no <= 10""",
+        SELECT page_id, file_name, 'image/png' AS content_type, bytes, md5(text) AS digest FROM ({_KEPT})""",
     "image_total_bytes": f"SELECT page_id, CAST(sum(bytes) AS BIGINT) AS total_bytes, count(*) AS images FROM ({_KEPT}) GROUP BY page_id",
 }

@@ -45,12 +45,12 @@ def leads_crawl(spark: SparkSession, sf: str) -> DataFrame:
 
 def site_leads(spark: SparkSession, sf: str) -> DataFrame:
     """Leads merged over each site's walk, with the page that had them first."""
-    merged = leads.site_leads(*_sites(spark, sf), 3)
+    merged = leads.site_leads(*_sites(spark, sf), None)
     return merged.select("target_id", "kind", "value", "raw", "source", "network", "first_url")
 
 
 def phone_order(spark: SparkSession, sf: str) -> DataFrame:
-    merged = leads.site_leads(*_sites(spark, sf), 3)
+    merged = leads.site_leads(*_sites(spark, sf), None)
     return leads.phones_for_display(merged).select("target_id", "value", "raw")
 
 
@@ -140,12 +140,16 @@ ORACLE = {
         UNION ALL SELECT k, 'email', 'sales' || k || '@s' || k || '.shop', NULL, NULL, NULL, site || '/contact' FROM s
         UNION ALL SELECT k, 'phone', tel, tel, 'tel-link', NULL, site || '/contact' FROM s
         UNION ALL SELECT k, 'phone', '+' || k, lpad(CAST(k AS VARCHAR), 9, '0'), 'text', NULL, site || '/' FROM s WHERE k > 0
+        -- Text content runs on from one paragraph into the next: the address takes in "Fax".
+        UNION ALL SELECT k, 'email', 'sales' || k || '@s' || k || '.shopfax', NULL, NULL, NULL, site || '/imprint' FROM s
+        UNION ALL SELECT k, 'phone', '0532' || lpad(CAST(k AS VARCHAR), 7, '0'), '0532) ' || lpad(CAST(k AS VARCHAR), 7, '0'), 'text', NULL, site || '/imprint' FROM s
         UNION ALL SELECT k, 'social', 'https://www.linkedin.com/company/s' || k, NULL, NULL, 'linkedin', site || '/contact' FROM s
         UNION ALL SELECT k, 'address', s_name || ' Street ' || k || ', Istanbul', NULL, NULL, NULL, site || '/contact' FROM s""",
     "phone_order": """
         SELECT s_suppkey AS target_id, '+90212' || lpad(CAST(s_suppkey AS VARCHAR), 7, '0') AS value,
                '+90212' || lpad(CAST(s_suppkey AS VARCHAR), 7, '0') AS raw FROM supplier
-        UNION ALL SELECT s_suppkey, '+' || s_suppkey, lpad(CAST(s_suppkey AS VARCHAR), 9, '0') FROM supplier WHERE s_suppkey > 0""",
+        UNION ALL SELECT s_suppkey, '+' || s_suppkey, lpad(CAST(s_suppkey AS VARCHAR), 9, '0') FROM supplier WHERE s_suppkey > 0
+        UNION ALL SELECT s_suppkey, '0532' || lpad(CAST(s_suppkey AS VARCHAR), 7, '0'), '0532) ' || lpad(CAST(s_suppkey AS VARCHAR), 7, '0') FROM supplier""",
     "walk_errors": """
         SELECT s_suppkey AS target_id, 'leads' AS op,
                CASE s_suppkey % 3 WHEN 0 THEN 'Only http/https URLs are supported, got "ftp:"'

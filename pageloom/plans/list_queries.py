@@ -60,8 +60,8 @@ def _paged(spark: SparkSession, sf: str, card, **options) -> paginate.ListExtrac
 
 
 def paginate_next(spark: SparkSession, sf: str) -> DataFrame:
-    """Next links followed for four of five pages, selector detected on the first."""
-    found = _paged(spark, sf, synth.part_card(), max_pages=4)
+    """Next links followed to the last page, selector detected on the first."""
+    found = _paged(spark, sf, synth.part_card(), max_pages=99)
     return found.items.select("target_id", "page_idx", "item_no", "title", "price_value", "currency")
 
 
@@ -102,7 +102,7 @@ def list_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def list_summary(spark: SparkSession, sf: str) -> DataFrame:
-    found = _paged(spark, sf, synth.part_card(), max_pages=5, max_items=50)
+    found = _paged(spark, sf, synth.part_card(), max_pages=99)
     return found.summary.select(
         "target_id",
         "selector",
@@ -114,7 +114,7 @@ def list_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def list_errors(spark: SparkSession, sf: str) -> DataFrame:
-    found = _paged(spark, sf, synth.part_card(), item_selector=".no-such-item")
+    found = _paged(spark, sf, synth.part_card(), item_selector=".no-such-item", max_pages=99)
     return found.errors
 
 
@@ -179,7 +179,7 @@ ORACLE = {
     "paginate_next": f"""
         SELECT shop AS target_id, no AS page_idx, CAST(no * 20 + item_idx + 1 AS BIGINT) AS item_no, title, cents / 100 AS price_value,
                CASE WHEN cents % 2 = 0 THEN 'USD' ELSE 'TRY' END AS currency
-        FROM {_PARTS} WHERE no < 4""",
+        FROM {_PARTS}""",
     "paginate_pattern": f"""
         SELECT shop AS target_id, no - 1 AS page_idx, CAST((no - 1) * 20 + item_idx + 1 AS BIGINT) AS item_no, title FROM {_PARTS} WHERE no > 0""",
     "list_dedupe": f"""
@@ -197,9 +197,9 @@ ORACLE = {
     "list_cap": f"""
         SELECT shop AS target_id, no AS page_idx, CAST(no * 20 + item_idx + 1 AS BIGINT) AS item_no, title FROM {_PARTS} WHERE no * 20 + item_idx < 50""",
     "list_summary": f"""
-        SELECT shop AS target_id, '.product-card' AS selector, true AS auto_detected, least(count(*), 50) AS item_count,
-               CAST(least(max(no) + 1, 3) AS BIGINT) AS page_count,
-               array_to_string(list_transform(range(1, least(max(no) + 1, 3) + 1),
+        SELECT shop AS target_id, '.product-card' AS selector, true AS auto_detected, count(*) AS item_count,
+               CAST(max(no) + 1 AS BIGINT) AS page_count,
+               array_to_string(list_transform(range(1, max(no) + 2),
                    lambda i: 'https://shop.test/s' || shop || '/list?page=' || i), ' ') AS pages_scraped
         FROM {_PARTS} GROUP BY shop""",
     "list_errors": """
