@@ -1,13 +1,13 @@
 """Pairs within buckets, without pairing all with all.
 
 Every member of a bucket is compared with the bucket's anchor. Those that are
-not like it stay. They are dealt over smaller buckets by size: similar members
-differ in size by less than a known ratio, so each goes to two neighbouring size
-classes and no similar pair is parted. Further rounds take more anchors, each of
-which meets all that are left, until no bucket has two members left. A round
-makes at most so many pairs per member as there are anchors, so the work follows
-the number of members, not its square. Two members that are both like an anchor
-are in one group through it.
+not like it stay, and are dealt over smaller buckets: by size, or by pairs of the
+buckets they are left in; those already linked to one anchor have one speaker in
+a bucket. Further rounds take more anchors, each of which meets
+all that are left, until no bucket has two members left. A round makes at most
+so many pairs per member as there are anchors, so the work follows the number of
+members, not its square. Two members that are both like an anchor are in one
+group through it.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pageloom.session import Scratch
 
-ANCHORS = (1, 32, 256)  # of a bucket in each round; the last holds for all further rounds
+ANCHORS = (1, 8, 32)  # of a bucket in each round; the last holds for all further rounds
 
 
 def _crowded(left: DataFrame) -> DataFrame:
@@ -28,23 +29,44 @@ def _crowded(left: DataFrame) -> DataFrame:
     return left.join(several, "bucket").select("bucket", "key", "info")
 
 
-def anchored_links(left: DataFrame, fits: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame], least: float, run: Scratch) -> DataFrame:
+def by_size(least: float) -> Callable[[DataFrame], DataFrame]:
+    """Buckets parted by n_words: similar members differ by the ratio ``least`` at most, so
+    each goes to two neighbouring classes and no similar pair is parted."""
+
+    def refine(left: DataFrame) -> DataFrame:
+        class_ = F.floor(F.log(F.greatest(F.col("info.n_words"), F.lit(1))) / F.lit(math.log(1 / least)) + F.lit(1e-6))
+        return left.select(F.explode(F.array(F.xxhash64("bucket", class_), F.xxhash64("bucket", class_ + 1))).alias("bucket"), "key", "info")
+
+    return refine
+
+
+def by_two(left: DataFrame) -> DataFrame:
+    """Members that are left in the same two buckets. Texts that share one passage meet in
+    a bucket by chance; similar ones share several. A member has few buckets, so few pairs."""
+    listed = left.groupBy("key").agg(F.array_sort(F.collect_list("bucket")).alias("b"), F.first("info").alias("info"))
+    pairs = F.flatten(F.transform("b", lambda x, i: F.transform(F.slice("b", i + 2, F.size("b")), lambda y: F.xxhash64(x, y))))
+    return listed.select(F.explode(pairs).alias("bucket"), "key", "info")
+
+
+def anchored_links(
+    left: DataFrame, fits: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame], run: Scratch
+) -> DataFrame:
     """Verified pairs (u, v) of the members of common buckets.
 
-    ``left`` has bucket, key and info (a struct with n_words) of members of
-    buckets of two or more. ``fits`` is a cheap test of two infos that no similar
-    pair fails; similar members differ in n_words by the ratio ``least`` at most.
+    ``left`` has bucket, key and info (a struct) of members of buckets of two or
+    more. ``fits`` is a cheap test of two infos that no similar pair fails;
+    ``refine`` deals what the first round leaves over smaller buckets;
     ``verified`` keeps the similar ones of distinct pairs (u, v), u < v.
     """
     found, tested, rounds = None, None, 0
     while True:
         anchors = ANCHORS[min(rounds, len(ANCHORS) - 1)]
         # The same order in all buckets, so that a group's members meet the same few anchors.
-        order = F.struct(F.xxhash64("key").alias("h"), F.col("key"), F.col("info"))
-        slot = F.pmod(F.xxhash64("key", F.lit(17)), F.lit(anchors))
-        # The minimum is combined before the shuffle; the join with it can be split where a bucket is large.
-        heads = left.groupBy("bucket", slot.alias("slot")).agg(F.min(order).alias("head"))
-        heads = heads.select("bucket", F.col("head.key").alias("u"), F.col("head.info").alias("of_u"))
+        # Every task passes on the first few of its part of a bucket; the join with
+        # the anchors can be split where a bucket is large.
+        first = Window.partitionBy("bucket").orderBy(F.xxhash64("key"), "key")
+        heads = left.withColumn("place", F.row_number().over(first)).where(F.col("place") <= anchors)
+        heads = heads.select("bucket", F.col("key").alias("u"), F.col("info").alias("of_u"))
         pairs = left.join(heads, "bucket").where("key <> u")
         pairs = run.settle(pairs.select("bucket", "u", F.col("key").alias("v"), fits(F.col("of_u"), F.col("info")).alias("fits")))
         new = pairs.where("fits").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -60,8 +82,10 @@ def anchored_links(left: DataFrame, fits: Callable[[Column, Column], Column], ve
         done = linked.union(heads.select("bucket", F.col("u").alias("key"))).distinct()
         rest = left.join(done, ["bucket", "key"], "left_anti")
         if rounds == 0:
-            class_ = F.floor(F.log(F.greatest(F.col("info.n_words"), F.lit(1))) / F.lit(math.log(1 / least)) + F.lit(1e-6))
-            rest = rest.select(F.explode(F.array(F.xxhash64("bucket", class_), F.xxhash64("bucket", class_ + 1))).alias("bucket"), "key", "info")
+            # Of members that were linked to one anchor elsewhere, one speaks for all in a bucket.
+            label = found.union(found.select("v", "u")).toDF("key", "u").groupBy("key").agg(F.min("u").alias("label"))
+            spoken = rest.join(label, "key", "left").groupBy("bucket", F.least(F.coalesce("label", "key"), F.col("key")).alias("label"))
+            rest = refine(spoken.agg(F.min(F.struct("key", "info")).alias("m")).select("bucket", "m.key", "m.info"))
         left = run.settle(_crowded(rest))
         if left.isEmpty():
             return found
