@@ -39,6 +39,9 @@ NODE = T.StructType(
         T.StructField("src_to", T.IntegerType()),
         T.StructField("links_seen", T.IntegerType()),
         T.StructField("images_seen", T.IntegerType()),
+        T.StructField("nth", T.IntegerType()),  # place among its siblings, from 1
+        T.StructField("siblings", T.IntegerType()),  # how many there are, itself included
+        T.StructField("previous", T.IntegerType()),  # the sibling before it, or -1
     ]
 )
 _ARROW_NODE = pa.struct(
@@ -55,6 +58,9 @@ _ARROW_NODE = pa.struct(
         ("src_to", pa.int32()),
         ("links_seen", pa.int32()),
         ("images_seen", pa.int32()),
+        ("nth", pa.int32()),
+        ("siblings", pa.int32()),
+        ("previous", pa.int32()),
     ]
 )
 
@@ -331,6 +337,20 @@ def build_tree(html: str) -> tuple[list[list], bytes]:
     return tree.rows, b"".join(tree.text)
 
 
+def _places(rows: list[list]) -> tuple[list[int], list[int], list[int]]:
+    """Of each element: place among its siblings, their number, and the one before."""
+    last: dict[int, int] = {}
+    count: dict[int, int] = {}
+    nth, previous = [], []
+    for i, row in enumerate(rows):
+        parent = row[0]
+        count[parent] = count.get(parent, 0) + 1
+        nth.append(count[parent])
+        previous.append(last.get(parent, -1))
+        last[parent] = i
+    return nth, [count[row[0]] for row in rows], previous
+
+
 def _nodes_array(pages: list[list[list]]) -> pa.Array:
     """One list of element structs per page, built column by column."""
     offsets, ids, flat = [0], [], []
@@ -344,6 +364,8 @@ def _nodes_array(pages: list[list[list]]) -> pa.Array:
     attrs = pa.array([list(r[3].items()) for r in flat], pa.map_(pa.string(), pa.string()))
     tags = pa.array([r[2] for r in flat], pa.string())
     columns = [pa.array(ids, pa.int32()), i32[0], i32[1], tags, classes, attrs, *i32[2:]]
+    places = [_places(rows) for rows in pages]
+    columns += [pa.array([v for p in places for v in p[k]], pa.int32()) for k in range(3)]
     struct = pa.StructArray.from_arrays(columns, fields=list(_ARROW_NODE))
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)
 

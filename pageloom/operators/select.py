@@ -1,7 +1,9 @@
 """CSS selectors as array expressions over a page's elements.
 
-Type, ``*``, ``.class``, ``#id``, ``[a]``, ``[a=v]`` and the ``* ^ $ ~``
-variants, descendant and child combinators, and comma lists.
+Type, ``*``, ``.class``, ``#id``, ``[a]``, ``[a=v]`` and the ``* ^ $ ~ |``
+variants, escaped names, ``:not() :has() :is()`` of simple selectors,
+``:first-child :last-child :only-child :nth-child() :nth-last-child()``,
+descendant, child and sibling combinators, and comma lists.
 """
 
 from __future__ import annotations
@@ -15,17 +17,65 @@ from pyspark.sql import functions as F
 from pageloom.functions.base import let, unnest
 from pageloom.operators import dom
 
+_NAME = r"(?:[\w-]|[^\x00-\x7f]|\\[0-9a-fA-F]{1,6}\s?|\\[^0-9a-fA-F])+"
 _SIMPLE = re.compile(
-    r"""(?P<type>\*|[a-zA-Z][\w-]*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)"""
-    r"""|\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[*^$~]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[\w-]+))\s*)?\]"""
+    rf"""(?P<type>\*|(?!-?\d){_NAME})|\.(?P<cls>{_NAME})|\#(?P<id>{_NAME})"""
+    rf"""|\[\s*(?P<attr>(?:[\w:-]|\\.)+)\s*(?:(?P<op>[*^$~|]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>{_NAME}))\s*)?\]"""
+    r"""|:(?P<pseudo>[a-z-]+)"""
 )
-_GAP = re.compile(r"\s*([>,])\s*|\s+")
+_GAP = re.compile(r"\s*([>,+~])\s*|\s+")
+_ESCAPE = re.compile(r"\\([0-9a-fA-F]{1,6})\s?|\\(.)")
+_STEP = re.compile(r"([+-]?\d*)n\s*(?:([+-])\s*(\d+))?$|([+-]?\d+)$")
+_PLACES = {"first-child": ("nth", 0, 1), "last-child": ("last", 0, 1)}
 
 
 class SelectorError(ValueError):
     """The selector uses something outside the supported subset."""
 
 
+def _unescaped(name: str | None) -> str | None:
+    return name and _ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else m[2], name)
+
+
+def _argument(text: str, pos: int) -> tuple[str, int]:
+    """What stands in the parentheses that open at ``pos``, and the place after them."""
+    depth = 0
+    for i in range(pos, len(text)):
+        depth += (text[i] == "(") - (text[i] == ")")
+        if depth == 0:
+            return text[pos + 1 : i].strip(), i + 1
+    raise SelectorError(f"Unclosed parenthesis in {text!r}")
+
+
+def _nth(argument: str) -> tuple[int, int]:
+    """``an+b`` as (a, b)."""
+    word = {"odd": "2n+1", "even": "2n"}.get(argument.lower(), argument.lower())
+    m = _STEP.match(word)
+    if not m:
+        raise SelectorError(f"Unsupported place: {argument!r}")
+    if m[4]:
+        return 0, int(m[4])
+    a = int(m[1] + "1") if m[1] in ("", "+", "-") else int(m[1])
+    return a, int((m[2] or "+") + (m[3] or "0"))
+
+
+def _pseudo(name: str, text: str, pos: int) -> tuple[dict, int]:
+    if name in _PLACES:
+        return {"place": _PLACES[name]}, pos
+    if name == "only-child":
+        return {"place": ("only", 0, 1)}, pos
+    if pos < len(text) and text[pos] == "(":
+        argument, pos = _argument(text, pos)
+        if name in ("nth-child", "nth-last-child"):
+            return {"place": ("nth" if name == "nth-child" else "last", *_nth(argument))}, pos
+        if name in ("not", "has", "is"):
+            inner = _parse(argument)
+            if any(len(steps) > 1 for steps in inner):
+                raise SelectorError(f"Combinators are not allowed in :{name}()")
+            return {name: [steps[0][1] for steps in inner]}, pos
+    raise SelectorError(f"Unsupported selector: {text!r} at :{name}")
+
+
 def _parse(selector: str) -> list[list[tuple[str, list[dict]]]]:
     """Alternatives, each a list of (combinator, simple selectors)."""
     text = selector.strip()
@@ -50,11 +100,35 @@ def _parse(selector: str) -> list[list[tuple[str, list[dict]]]]:
         part = _SIMPLE.match(text, pos)
         if not part:
             raise SelectorError(f"Unsupported selector: {selector!r} at {text[pos:]!r}")
-        compound.append(part.groupdict())
+        found = part.groupdict()
         pos = part.end()
-
-
-def _simple(node: Column, part: dict) -> Column:
+        if found["pseudo"]:
+            found, pos = _pseudo(found["pseudo"], text, pos)
+        else:
+            found = {k: _unescaped(v) if k in ("type", "cls", "id", "attr", "bare") else v for k, v in found.items()}
+        compound.append(found)
+
+
+def _at_place(node: Column, kind: str, a: int, b: int) -> Column:
+    if kind == "only":
+        return node["siblings"] == 1
+    n = node["nth"] if kind == "nth" else node["siblings"] - node["nth"] + 1
+    if a == 0:
+        return n == b
+    return ((n - b) % a == 0) & ((n - b) * (1 if a > 0 else -1) >= 0)
+
+
+def _simple(node: Column, part: dict, tree: Column | None) -> Column:
+    if "place" in part:
+        return _at_place(node, *part["place"])
+    if "not" in part or "is" in part:
+        held = reduce(lambda a, b: a | b, [_compound(node, p, tree) for p in part.get("not") or part["is"]])
+        return ~held if "not" in part else held
+    if "has" in part:
+        if tree is None:
+            raise SelectorError(":has() is not allowed here")
+        below = F.slice(tree, node["id"] + 2, node["stop_id"] - node["id"])
+        return F.exists(below, lambda n: reduce(lambda a, b: a | b, [_compound(n, p, tree) for p in part["has"]]))
     if part["type"]:
         return F.lit(True) if part["type"] == "*" else node["tag"] == part["type"].lower()
     if part["cls"]:
@@ -67,6 +141,8 @@ def _simple(node: Column, part: dict) -> Column:
     value = next((part[k] for k in ("dq", "sq", "bare") if part[k] is not None), "")
     if part["op"] == "~=":
         test = F.array_contains(F.split(attr, r"\s+"), value)
+    elif part["op"] == "|=":
+        test = (attr == value) | attr.startswith(value + "-")
     elif value == "" and part["op"] != "=":
         return F.lit(False)
     else:
@@ -79,38 +155,50 @@ def _simple(node: Column, part: dict) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def _compound(node: Column, parts: list[dict]) -> Column:
-    return reduce(lambda a, b: a & b, [_simple(node, p) for p in parts])
+def _compound(node: Column, parts: list[dict], tree: Column | None = None) -> Column:
+    return reduce(lambda a, b: a & b, [_simple(node, p, tree) for p in parts])
+
+
+def _needs_tree(parts: list[dict]) -> bool:
+    return any("has" in p or any(_needs_tree(q) for k in ("not", "is") for q in p.get(k) or []) for p in parts)
 
 
 def is_local(selector: str) -> bool:
-    """No combinator: the element alone decides."""
-    return all(len(steps) == 1 for steps in _parse(selector))
+    """No combinator and no look below: the element alone decides."""
+    return all(len(steps) == 1 and not _needs_tree(steps[0][1]) for steps in _parse(selector))
 
 
-def node_predicate(selector: str):
+def node_predicate(selector: str, tree: Column | None = None):
     """Predicate on one element, for selectors without combinators."""
     alternatives = _parse(selector)
     if any(len(steps) > 1 for steps in alternatives):
         raise SelectorError(f"Combinators are not allowed here: {selector!r}")
-    return lambda node: reduce(lambda a, b: a | b, [_compound(node, s[0][1]) for s in alternatives])
+    return lambda node: reduce(lambda a, b: a | b, [_compound(node, s[0][1], tree) for s in alternatives])
+
 
+Chain = list[tuple[str, list[dict]]]  # (how the element is reached from the one before, its simple selectors)
 
-def _chain_holds(tree: Column, node: Column, chain: list[list[dict]]) -> Column:
-    """``node`` matches the last link of an ``a > b > c`` chain and so upward."""
-    test = _compound(node, chain[-1])
-    for above in reversed(chain[:-1]):
-        node = dom.node_at(tree, node["parent"])
-        test = test & F.coalesce(_compound(node, above), F.lit(False))
-    return test
+
+def _chain_holds(tree: Column, node: Column, chain: Chain) -> Column:
+    """``node`` matches the last link of an ``a > b + c`` chain, and so back to its first."""
+    hop, parts = chain[-1]
+    test = _compound(node, parts, tree)
+    if len(chain) == 1:
+        return test
+    if hop == "~":
+        before = F.exists(tree, lambda n: (n["parent"] == node["parent"]) & (n["id"] < node["id"]) & _chain_holds(tree, n, chain[:-1]))
+    else:
+        before = _chain_holds(tree, dom.node_at(tree, node["previous" if hop == "+" else "parent"]), chain[:-1])
+    return test & F.coalesce(before, F.lit(False))
 
 
-def _chain_below(tree: Column, chain: list[list[dict]], inside: Column) -> Column:
+def _chain_below(tree: Column, chain: Chain, inside: Column) -> Column:
     """Ids that end a ``a > b`` chain whose ``a`` is one of ``inside``."""
 
     def top(node: Column) -> Column:
-        for _ in chain[1:]:
-            node = dom.node_at(tree, node["parent"])
+        for hop, _ in chain[1:]:
+            if hop == ">":  # siblings are inside the same elements
+                node = dom.node_at(tree, node["parent"])
         return node["id"]
 
     def pick(found: Column) -> Column:
@@ -123,12 +211,12 @@ def _chain_below(tree: Column, chain: list[list[dict]], inside: Column) -> Colum
 
 
 def _matching_ids(tree: Column, steps: list[tuple[str, list[dict]]]) -> Column:
-    chains: list[list[list[dict]]] = []
+    chains: list[Chain] = []
     for combinator, parts in steps:
-        if combinator == ">":
-            chains[-1].append(parts)
+        if combinator in (">", "+", "~"):
+            chains[-1].append((combinator, parts))
         else:
-            chains.append([parts])
+            chains.append([("", parts)])
 
     def ids(chain) -> Column:
         return F.transform(F.filter(tree, lambda n: _chain_holds(tree, n, chain)), lambda n: n["id"])
@@ -154,7 +242,7 @@ def match_ids(tree: Column, selector: str) -> Column:
     """Ids of the matching elements, in document order."""
     alternatives = _parse(selector)
     if all(len(steps) == 1 for steps in alternatives):
-        test = node_predicate(selector)
+        test = node_predicate(selector, tree)
         return F.transform(F.filter(tree, test), lambda n: n["id"])
     ids = [_matching_ids(tree, steps) for steps in alternatives]
     if len(ids) == 1:

@@ -140,6 +140,36 @@ def test_selectors_against_plain_matcher(spark):
 
 
 def test_unsupported_selectors_are_named():
-    for bad in ["a:hover", "a + b", "a >", "", "[x|=1]"]:
+    for bad in ["a:hover", "a + + b", "a >", "", "[x!=1]"]:
         with pytest.raises(select.SelectorError):
             select.match_ids(F.lit(None), bad)
+
+
+SIBLINGS = """<main><p class="md:flex">a</p><p lang="de-AT">b</p><div><i>c</i></div><p id="1x">d</p><span><p>e</p><b>f</b><b>g</b></span></main>"""
+
+
+@pytest.mark.parametrize(
+    "selector, texts",
+    [
+        ("p:first-child", "ae"), ("p:not(:first-child)", "bd"), ("b:last-child", "g"), ("i:only-child", "c"), ("main > :nth-child(2)", "b"),
+        ("main > :nth-child(odd):not(div)", ["a", "efg"]), ("main > p:nth-last-child(-n+3)", "d"), ("p + p", "b"), ("p + div i", "c"), ("div ~ p", "d"),
+        ("p ~ span > b", "fg"), ("main > p:nth-child(1) + p", "b"), ("div:has(i)", "c"), ("main > :has(b)", ["efg"]), ("[lang|=de]", "b"), ("[lang|=d]", ""),
+        (r".md\:flex", "a"), (r"#\31 x", "d"), ("p:is(.x, [lang])", "b"), ("b:not(.x):nth-child(2n)", "f"),
+    ],
+)
+def test_siblings_and_pseudo_classes(spark, selector, texts):
+    df = spark.createDataFrame([(1, SIBLINGS)], "page_id long, html string")
+    assert [r.text for r in select.selector_match(df, selector).orderBy("pos").collect()] == list(texts)
+
+
+@pytest.mark.parametrize("bad", ["p:hover", "a:nth-child(x)", "a:not(b c)", "a:not(", "> a"])
+def test_unsupported_selectors(bad):
+    with pytest.raises(select.SelectorError):
+        select.match_ids(None, bad)
+
+
+def test_browser_only_parts(spark):
+    html = "<p>a</p><noscript><p>no</p></noscript><template><p>no<template></template></p></template><!--><p>b</p><!---><p>c</p><!-- x --!><p>d</p>"
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert [r.text for r in select.selector_match(df, "p").orderBy("pos").collect()] == ["a", "b", "c", "d"]
+    assert {r.tag for r in dom.nodes(df).collect()} >= {"noscript", "template"}
