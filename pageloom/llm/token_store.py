@@ -18,6 +18,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -115,7 +116,10 @@ class LibraryEncoder:
         self.pieces: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(made.ids, "<u4").tobytes() for made in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        raw = np.fromiter(chain.from_iterable(made), "<u4").tobytes()
+        ends = list(accumulate((4 * len(ids) for ids in made), initial=0))
+        return [raw[a:b] for a, b in pairwise(ends)]
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids.
