@@ -24,9 +24,10 @@ from pageloom.session import Scratch
 ANCHORS = (1, 8, 32)  # of a bucket in each round; the last holds for all further rounds
 
 
-def _crowded(left: DataFrame) -> DataFrame:
-    several = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    return left.join(several, "bucket").select("bucket", "key", "info")
+def several(left: DataFrame) -> DataFrame:
+    """The members of buckets of two or more."""
+    crowded = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    return left.join(crowded, "bucket").select("bucket", "key", "info")
 
 
 def by_size(least: float) -> Callable[[DataFrame], DataFrame]:
@@ -86,7 +87,7 @@ def anchored_links(
             label = found.union(found.select("v", "u")).toDF("key", "u").groupBy("key").agg(F.min("u").alias("label"))
             spoken = rest.join(label, "key", "left").groupBy("bucket", F.least(F.coalesce("label", "key"), F.col("key")).alias("label"))
             rest = refine(spoken.agg(F.min(F.struct("key", "info")).alias("m")).select("bucket", "m.key", "m.info"))
-        left = run.settle(_crowded(rest))
+        left = run.settle(several(rest))
         if left.isEmpty():
             return found
         rounds += 1
