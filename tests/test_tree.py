@@ -139,7 +139,7 @@ def test_selectors_against_plain_matcher(spark):
             assert row[f"s{i}"] == want, (selector, pages[row.page_id])
 
 
-def test_unsupported_selectors_are_named():
+def test_unsupported_selectors_are_named(spark):
     for bad in ["a:hover", "a + + b", "a >", "", "[x!=1]"]:
         with pytest.raises(select.SelectorError):
             select.match_ids(F.lit(None), bad)
@@ -163,7 +163,7 @@ def test_siblings_and_pseudo_classes(spark, selector, texts):
 
 
 @pytest.mark.parametrize("bad", ["p:hover", "a:nth-child(x)", "a:not(b c)", "a:not(", "> a"])
-def test_unsupported_selectors(bad):
+def test_unsupported_selectors(spark, bad):
     with pytest.raises(select.SelectorError):
         select.match_ids(None, bad)
 
