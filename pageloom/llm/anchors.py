@@ -1,13 +1,11 @@
 """Pairs within buckets, without pairing all with all.
 
-Every member of a bucket is compared with the bucket's anchor. Those that are
-not like it stay, and are dealt over smaller buckets: by size, or by pairs of the
-buckets they are left in; those already linked to one anchor have one speaker in
-a bucket. Further rounds take more anchors, each of which meets
-all that are left, until no bucket has two members left. A round makes at most
-so many pairs per member as there are anchors, so the work follows the number of
-members, not its square. Two members that are both like an anchor are in one
-group through it.
+Every member of a bucket is compared with the bucket's anchors; those that are
+linked leave, in a few rounds of more anchors. Members that came into one group,
+here or in any other bucket, need no further comparison with each other. All
+others do: in a bucket, those outside its largest group are compared with every
+member of another group, linked or not. So no similar pair of a bucket stays
+apart, and a large group of copies costs as many pairs as it has members.
 """
 
 from __future__ import annotations
@@ -19,9 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pageloom.llm.components import components
 from pageloom.session import Scratch
 
-ANCHORS = (1, 8, 32)  # of a bucket in each round; the last holds for all further rounds
+ANCHORS = (1, 8)  # of a bucket in each round, before groups are compared
 
 
 def several(left: DataFrame) -> DataFrame:
@@ -41,27 +40,33 @@ def by_size(least: float) -> Callable[[DataFrame], DataFrame]:
     return refine
 
 
-def by_two(left: DataFrame) -> DataFrame:
-    """Members that are left in the same two buckets. Texts that share one passage meet in
-    a bucket by chance; similar ones share several. A member has few buckets, so few pairs."""
-    listed = left.groupBy("key").agg(F.array_sort(F.collect_list("bucket")).alias("b"), F.first("info").alias("info"))
-    pairs = F.flatten(F.transform("b", lambda x, i: F.transform(F.slice("b", i + 2, F.size("b")), lambda y: F.xxhash64(x, y))))
-    return listed.select(F.explode(pairs).alias("bucket"), "key", "info")
+def _apart(left: DataFrame, found: DataFrame, fits: Callable[[Column, Column], Column], run: Scratch) -> DataFrame:
+    """Pairs (u, v), u < v, of members of a bucket that ``found`` leaves in different groups.
 
-
-def anchored_links(
-    left: DataFrame, fits: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame], run: Scratch
-) -> DataFrame:
-    """Verified pairs (u, v) of the members of common buckets.
+    One of the two is outside the largest group of the bucket.
+    """
+    label = components(found, run).select(F.col("node").alias("key"), F.col("root").alias("label"))
+    named = left.join(label, "key", "left").select("bucket", "key", "info", F.coalesce("label", "key").alias("label"))
+    groups = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = groups.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    named = run.settle(named.join(mixed, "bucket").select("bucket", "key", "info", "label", "main"))
+    others = named.where("label <> main").select("bucket", F.col("key").alias("u"), F.col("info").alias("of_u"), F.col("label").alias("group"))
+    # Two outside the main group meet once, from the smaller key.
+    once = F.col("group") != F.col("label")
+    once &= (F.col("label") == F.col("main")) | (F.col("u") < F.col("key"))
+    pairs = named.join(others, "bucket").where(once & fits(F.col("of_u"), F.col("info")))
+    return pairs.select(F.least("u", "key").alias("u"), F.greatest("u", "key").alias("v")).distinct()
+
+
+def anchored_links(left: DataFrame, fits: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame], run: Scratch) -> DataFrame:
+    """Verified pairs (u, v) that join all similar members of common buckets into groups.
 
     ``left`` has bucket, key and info (a struct) of members of buckets of two or
     more. ``fits`` is a cheap test of two infos that no similar pair fails;
-    ``refine`` deals what the first round leaves over smaller buckets;
     ``verified`` keeps the similar ones of distinct pairs (u, v), u < v.
     """
-    found, tested, rounds = None, None, 0
-    while True:
-        anchors = ANCHORS[min(rounds, len(ANCHORS) - 1)]
+    whole, found, tested = left, None, None
+    for anchors in ANCHORS:
         # The same order in all buckets, so that a group's members meet the same few anchors.
         # Every task passes on the first few of its part of a bucket; the join with
         # the anchors can be split where a bucket is large.
@@ -69,8 +74,8 @@ def anchored_links(
         heads = left.withColumn("place", F.row_number().over(first)).where(F.col("place") <= anchors)
         heads = heads.select("bucket", F.col("key").alias("u"), F.col("info").alias("of_u"))
         pairs = left.join(heads, "bucket").where("key <> u")
-        pairs = run.settle(pairs.select("bucket", "u", F.col("key").alias("v"), fits(F.col("of_u"), F.col("info")).alias("fits")))
-        new = pairs.where("fits").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        pairs = run.settle(pairs.where(fits(F.col("of_u"), F.col("info"))).select("bucket", "u", F.col("key").alias("v")))
+        new = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         if tested is not None:
             new = new.join(tested, ["u", "v"], "left_anti")
         new = run.settle(new)
@@ -81,13 +86,8 @@ def anchored_links(
         both = found.union(found.select("v", "u"))
         linked = pairs.join(both, ["u", "v"], "left_semi").select("bucket", F.col("v").alias("key"))
         done = linked.union(heads.select("bucket", F.col("u").alias("key"))).distinct()
-        rest = left.join(done, ["bucket", "key"], "left_anti")
-        if rounds == 0:
-            # Of members that were linked to one anchor elsewhere, one speaks for all in a bucket.
-            label = found.union(found.select("v", "u")).toDF("key", "u").groupBy("key").agg(F.min("u").alias("label"))
-            spoken = rest.join(label, "key", "left").groupBy("bucket", F.least(F.coalesce("label", "key"), F.col("key")).alias("label"))
-            rest = refine(spoken.agg(F.min(F.struct("key", "info")).alias("m")).select("bucket", "m.key", "m.info"))
-        left = run.settle(several(rest))
+        left = run.settle(several(left.join(done, ["bucket", "key"], "left_anti")))
         if left.isEmpty():
-            return found
-        rounds += 1
+            break
+    new = run.settle(_apart(whole, found, fits, run).join(tested, ["u", "v"], "left_anti"))
+    return found if new.isEmpty() else found.union(run.settle(verified(new)))

@@ -4,8 +4,8 @@ Runs of five words are labelled with how often they occurred before in the text.
 Per sketch, the few that a hash puts first are kept in the order of the text: two
 texts agree on them the more, the less one must be edited to get the other. Texts
 that agree on a whole sketch meet in a bucket. There each is compared, by an
-alignment within a band of diagonals, with the bucket's anchor; those unlike it
-go on with those they share two sketches with, until none is left. Verified pairs are joined into groups.
+alignment within a band of diagonals, with the bucket's anchors, and with members
+of other groups. Verified pairs are joined into groups.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.anchors import anchored_links, by_two
+from pageloom.llm.anchors import anchored_links
 from pageloom.llm.components import components
 from pageloom.llm.hashing import BASE, mix, shingles, word_hashes
 from pageloom.session import Scratch
@@ -204,7 +204,7 @@ def links(docs: DataFrame, classes: DataFrame, run: Scratch, least: float = SIMI
     def fits(a: Column, b: Column) -> Column:
         return F.least(a["n_words"], b["n_words"]) >= F.lit(least) * F.greatest(a["n_words"], b["n_words"]) - 1e-9
 
-    return anchored_links(left, fits, lambda pairs: _verified(pairs, words, least), by_two, run)
+    return anchored_links(left, fits, lambda pairs: _verified(pairs, words, least), run)
 
 
 def _grouped(docs: DataFrame, least: float, run: Scratch) -> tuple[DataFrame, DataFrame]:

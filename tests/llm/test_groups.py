@@ -248,3 +248,21 @@ def test_pipeline_stages(spark):
         before = set(ids)
     assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()} == before
     run.drop()
+
+
+def test_links_of_a_hot_bucket(spark):
+    """Members of one bucket, like their neighbours only, come into the groups that all pairs give."""
+    from pageloom.llm.anchors import anchored_links
+
+    rng = np.random.default_rng(9)
+    values = sorted(int(v) for v in rng.choice(2000, 300, replace=False))
+    left = spark.createDataFrame([(1, v, (v,)) for v in values] + [(2, v, (v,)) for v in values[:9]], "bucket long, key long, info struct<at: int>")
+    near = lambda a, b: F.abs(a["at"] - b["at"]) <= 6
+    run = Scratch(spark)
+    roots = {r.node: r.root for r in components(anchored_links(left, near, lambda pairs: pairs.where("v - u <= 6"), run), run).collect()}
+    want, root = {}, values[0]
+    for before, v in zip(values, values[1:], strict=False):
+        root = root if v - before <= 6 else v
+        want |= {v: root} if v != root else {}
+    assert roots == want
+    run.drop()
