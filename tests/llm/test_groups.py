@@ -266,3 +266,50 @@ def test_links_of_a_hot_bucket(spark):
         want |= {v: root} if v != root else {}
     assert roots == want
     run.drop()
+
+
+def _groups(normals, least=0.8):
+    """The first of each line's group by edit similarity of words alone."""
+    parent = list(range(len(normals)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(normals):
+        for j in range(i):
+            x, y = a.split(), normals[j].split()
+            if abs(len(x) - len(y)) <= 0.2 * max(len(x), len(y)) and _edit(x, y) <= (1 - least) * max(len(x), len(y)) + 1e-9:
+                p, q = find(i), find(j)
+                parent[max(p, q)] = min(p, q)
+    return [find(i) for i in range(len(normals))]
+
+
+def _scattered(rng, base, edits):
+    """``base`` with so many words changed, dropped or put in at random places."""
+    copy = list(base)
+    for _ in range(edits):
+        at, what = int(rng.integers(len(copy))), rng.random()
+        if what < 0.6:
+            copy[at] = "n%d" % rng.integers(10**6)
+        elif what < 0.8:
+            del copy[at]
+        else:
+            copy.insert(at, "n%d" % rng.integers(10**6))
+    return copy
+
+
+def test_lines_recall(spark):
+    """Against edit similarity alone, at all edits that 0.8 allows."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for n in (4, 5, 7, 10, 15, 30, 62, 120):
+        for _ in range(4):
+            base = [str(w) for w in rng.choice(["w%d" % i for i in range(2000)], n)]
+            texts += [" ".join(base)] + [" ".join(_scattered(rng, base, e)) for e in sorted({1, n // 10, n // 6, n // 5} - {0})]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = _groups(texts)
+    assert sum(i != root for i, root in enumerate(want)) > 60
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+    assert [i for i in got if bool(got[i]) != (want[i] == i)] == []
