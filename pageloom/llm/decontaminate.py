@@ -1,6 +1,7 @@
 """Benchmark passages in documents.
 
-Windows as long as an item get a SimHash of their shingles. Blocks of the
+Windows as long as an item, or the whole of a shorter text, get a SimHash of
+their shingles. Blocks of the
 fingerprint are looked up within a small distance of the items' blocks, which
 finds every item within the radius; for those the weighted similarity of the
 shingle multisets decides. A window without any shingle of an item has
@@ -116,6 +117,9 @@ class Index:
         span = group.size - k + 1  # shingles in a window
         last = len(all_) - span
         if last < 0:
+            # A text shorter than the items is one window; it can't share more shingles than it has.
+            if len(all_) >= self.similar * span - 1e-9:
+                self._judge(all_, np.zeros(1, np.int64), len(all_), group, best, len(all_) + k - 1)
             return
         lows, highs = np.maximum(hits - span + 1, 0), np.minimum(hits, last) + 1
         marks = np.zeros(len(all_) + 2, np.int32)
@@ -123,9 +127,9 @@ class Index:
         np.add.at(marks, np.maximum(highs, lows), -1)
         starts = np.flatnonzero(np.cumsum(marks)[: last + 1] > 0)
         for at in range(0, len(starts), 4096):
-            self._judge(all_, starts[at : at + 4096], span, group, best)
+            self._judge(all_, starts[at : at + 4096], span, group, best, group.size)
 
-    def _judge(self, all_: np.ndarray, starts: np.ndarray, span: int, group: Group, best: dict) -> None:
+    def _judge(self, all_: np.ndarray, starts: np.ndarray, span: int, group: Group, best: dict, n_words: int) -> None:
         if not len(starts):
             return
         low, high = int(starts[0]), int(starts[-1]) + span
@@ -148,7 +152,7 @@ class Index:
                 continue
             value = _weighted(Counter(all_[start : start + span].tolist()), self.counts[member])
             if value >= self.similar and (member not in best or value > best[member][0]):
-                best[member] = (value, start, group.size)
+                best[member] = (value, start, n_words)
 
 
 def indexes(benchmark: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR, per_pass: int = PER_PASS) -> Iterator[Index]:

@@ -196,6 +196,15 @@ def test_leaks(spark):
     assert decontaminate.without_leaks(docs.limit(0), benchmark).count() == 0
 
 
+def test_leaks_of_short_texts():
+    words = ["w%d" % i for i in range(50)]
+    index = decontaminate.Index([(1, " ".join(words)), (2, " ".join(words[:16])), (3, "only three words")])
+    assert [(i, round(v, 2), at, n) for i, v, at, n in index.leaks(" ".join(words[:15]))] == [(2, 0.92, 0, 15)]
+    assert [(i, round(v, 2), at, n) for i, v, at, n in index.leaks(" ".join(words[:45]))] == [(1, 0.89, 0, 45), (2, 1.0, 0, 16)]
+    assert [i for i, *_ in index.leaks(" ".join(words[5:]))] == [1]
+    assert index.leaks(" ".join(words[20:50])) == index.leaks("only three") == index.leaks("w1") == []
+
+
 PAGE = """<!doctype html><html><head><title>No</title><style>p{}</style><script>var a="<p>no</p>"</script></head><body>
 <nav><ul><li><a href=/a>Home</a></li><li><a href=/b>About</a></li><li><a href=/c>News</a></li></ul></nav><!-- <p>no</p> -->
 <div class="cookie-notice"><p>We use cookies.</p></div><article><h1>A &amp; B</h1><p><b>First   one,<br><p>second&nbsp;one with a <a href=/x>link</a> in it.
