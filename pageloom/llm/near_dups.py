@@ -1,11 +1,12 @@
-"""Near-duplicate documents by Order MinHash.
-
-Runs of five words are labelled with how often they occurred before in the text.
-Per sketch, the few that a hash puts first are kept in the order of the text: two
-texts agree on them the more, the less one must be edited to get the other. Texts
-that agree on a whole sketch meet in a bucket. There each is compared, by an
-alignment within a band of diagonals, with the bucket's anchors, and with members
-of other groups. Verified pairs are joined into groups.
+"""Near-duplicate documents by edit similarity of their words.
+
+Two texts of edit similarity ``least`` differ in a bounded number of words, so with
+the words of both in one order, the first few of the one and of the other have a
+word in common. The order is by how often words occur, rare ones first. Texts that
+have such a word in common meet in a bucket. There each is compared with the
+bucket's anchors, and with members of other groups: first by the parities of its
+words, then by an alignment within a band of diagonals. No similar pair is missed.
+Verified pairs are joined into groups.
 """
 
 from __future__ import annotations
@@ -19,51 +20,47 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.anchors import anchored_links
+from pageloom.llm.anchors import anchored_links, by_size, several
 from pageloom.llm.components import components
-from pageloom.llm.hashing import BASE, mix, shingles, word_hashes
+from pageloom.llm.hashing import word_hashes
 from pageloom.session import Scratch
 
-SHINGLE = 5
 SIMILAR = 0.8
-SKETCHES = 24
-KEPT = 4  # shingles in a sketch: texts with a share s of common shingles agree on one in about s ** 4
 SALTS = 8
-_SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
-
-
-def labelled(found: np.ndarray) -> np.ndarray:
-    """Hashes of (shingle, number of times it occurred before)."""
-    order = np.argsort(found, kind="stable")
-    ranked = found[order]
-    each = np.arange(len(found))
-    new = np.r_[True, ranked[1:] != ranked[:-1]]
-    again = each - np.maximum.accumulate(np.where(new, each, 0))
-    out = np.empty(len(found), np.uint64)
-    out[order] = ranked + again.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(out)
-
-
-def sketches(words: np.ndarray, count: int = SKETCHES, kept: int = KEPT, shingle: int = SHINGLE) -> np.ndarray:
-    """One hash per sketch: of its shingles, in the order of the text."""
-    if not len(words):
-        return np.zeros(0, np.uint64)
-    x = labelled(shingles(words, shingle))
-    n = len(x)
-    rows = []
-    step = max(1, (1 << 19) // n)  # sketches at once, to bound memory for long texts
-    for at in range(0, count, step):
-        seeds = _SEEDS[at : min(at + step, count), None]
-        h = (x[None, :] ^ seeds) * np.uint64(0x9FB21C651E98DF25)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(BASE)
-        first = np.argpartition(h, kept - 1, axis=1)[:, :kept] if n > kept else np.broadcast_to(np.arange(n), h.shape)
-        picked = x[np.sort(first, axis=1)]
-        total = seeds[:, 0].copy()
-        for j in range(picked.shape[1]):
-            total = mix(total * np.uint64(BASE) + picked[:, j])
-        rows.append(total)
-    return np.concatenate(rows)
+SLOTS = 1 << 17  # words are counted by hash in so many places
+PARITIES = 2048  # bits
+
+
+def _levels(docs: DataFrame) -> np.ndarray:
+    """By slot of the words' hashes, how often they occur, as a logarithm in a byte."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(counts, (word_hashes(text) % np.uint64(SLOTS)).astype(np.int64), 1)
+        slots = np.flatnonzero(counts)
+        if len(slots):
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "n"])
+
+    made = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "slot long, n long")
+    levels = np.zeros(SLOTS, np.uint8)
+    for slot, n in made.groupBy("slot").agg(F.sum("n")).collect():
+        levels[slot] = min(255, int(6 * np.log2(n)))
+    return levels
+
+
+def tokens(words: np.ndarray, levels: np.ndarray, least: float = SIMILAR) -> np.ndarray:
+    """The rarest words of a text: one more than may differ from any text similar to it."""
+    distinct = np.unique(words)
+    rank = levels[(distinct % np.uint64(SLOTS)).astype(np.int64)]
+    return distinct[np.lexsort((distinct, rank))[: int((1 - least) * len(words) + 1e-9) + 1]]
+
+
+def parities(words: np.ndarray) -> bytes:
+    """For every place, whether an odd number of words fall on it: an edit changes two places at most."""
+    places = np.bincount((words >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES)
+    return np.packbits(places & 1).tobytes()
 
 
 def distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -135,28 +132,28 @@ def _key(words: np.ndarray) -> bytes:
     return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """Who a row is (``row``: id, nulls last, and a hash of the text), key of its words, their number, sketches."""
+def sketched(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Who a row is (``row``: id, nulls last, and a hash of the text), key of its words, their number, tokens, parities."""
+    shared = docs.sparkSession.sparkContext.broadcast(_levels(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, marks = [], [], []
+            keys, sizes, marks, flips = [], [], [], []
             for text in batch.column(2).to_pylist():
                 words = word_hashes(text)
                 keys.append(_key(words))
                 sizes.append(len(words))
-                marks.append(sketches(words).view(np.int64))
+                marks.append(tokens(words, shared.value, least).view(np.int64))
+                flips.append(parities(words))
             offsets = np.r_[0, np.cumsum([len(m) for m in marks])].astype(np.int32)
             flat = np.concatenate(marks) if marks else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "mark", "key", "n_words", "sketches"],
-            )
+            columns = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(flips, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "mark", "key", "n_words", "tokens", "flips"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
-    made = rows.mapInArrow(run, "doc_id long, mark long, key binary, n_words int, sketches array<long>")
+    made = rows.mapInArrow(run, "doc_id long, mark long, key binary, n_words int, tokens array<long>, flips binary")
     who = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "mark").alias("row")
-    return made.select(who, "key", "n_words", "sketches")
+    return made.select(who, "key", "n_words", "tokens", "flips")
 
 
 def _rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -177,8 +174,33 @@ def _with_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.select("_want.key", "_text.text").mapInArrow(run, "key binary, words binary").dropDuplicates(["key"])
 
 
+def _met(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """Pairs (u, v) with the values a and b of both. An anchor in very many pairs is dealt over salts."""
+    anchors = pairs.select(F.col("u").alias("key")).distinct().join(values, "key")
+    anchors = anchors.select(F.col("key").alias("u"), F.col("value").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    others = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    met = others.join(values.select(F.col("key").alias("v"), F.col("value").alias("b")), "v").join(anchors, ["u", "salt"])
+    return met.drop("salt")
+
+
+def _possible(pairs: DataFrame, told: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) whose parities don't rule out that they are similar. ``told`` has key, n_words and flips."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, PARITIES // 8) for i in (3, 4))
+            flipped = np.bitwise_count(one ^ other).sum(axis=1, dtype=np.int64)
+            most = np.floor((1 - least) * batch.column(2).to_numpy() + 1e-9)
+            mask = pa.array(flipped <= 2 * most)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
+
+    met = _met(pairs, told.select("key", F.struct("n_words", "flips").alias("value")))
+    longer = F.greatest("a.n_words", "b.n_words").alias("longer")
+    return met.select("u", "v", longer, F.col("a.flips").alias("a"), F.col("b.flips").alias("b")).mapInArrow(run, "u binary, v binary")
+
+
 def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) whose texts are similar. An anchor in very many pairs is dealt over salts."""
+    """The pairs (u, v) whose texts are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,31 +209,34 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
-    anchors = pairs.select(F.col("u").alias("key")).distinct().join(words, "key")
-    anchors = anchors.select(F.col("key").alias("u"), F.col("words").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    others = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    met = others.join(words.select(F.col("key").alias("v"), F.col("words").alias("b")), "v").join(anchors, ["u", "salt"])
+    met = _met(pairs, words.select("key", F.col("words").alias("value")))
     return met.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
 def links(docs: DataFrame, classes: DataFrame, run: Scratch, least: float = SIMILAR) -> DataFrame:
     """Verified pairs of different texts: columns u and v, keys of ``classes``."""
-    members = classes.where("n_words > 0").select("key", "n_words", F.explode("sketches").alias("bucket"))
+    members = classes.where("n_words > 0").select("key", F.explode("tokens").alias("bucket"))
     crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    left = run.settle(members.join(crowded, "bucket").select("bucket", "key", F.struct("n_words").alias("info")))
-    words = run.settle(_with_words(docs, classes.join(left.select("key").distinct(), "key").select("key", "row")))
+    told = members.join(crowded, "bucket").join(classes.select("key", F.struct("n_words").alias("info")), "key").select("bucket", "key", "info")
+    left = run.settle(several(by_size(least)(told)))
 
     def fits(a: Column, b: Column) -> Column:
         return F.least(a["n_words"], b["n_words"]) >= F.lit(least) * F.greatest(a["n_words"], b["n_words"]) - 1e-9
 
-    return anchored_links(left, fits, lambda pairs: _verified(pairs, words, least), run)
+    def verified(pairs: DataFrame) -> DataFrame:
+        likely = run.settle(_possible(pairs, classes, least))
+        wanted = likely.select(F.col("u").alias("key")).union(likely.select("v")).distinct()
+        words = run.settle(_with_words(docs, classes.join(wanted, "key").select("key", "row")))
+        return _verified(likely, words, least)
+
+    return anchored_links(left, fits, verified, run)
 
 
 def _grouped(docs: DataFrame, least: float, run: Scratch) -> tuple[DataFrame, DataFrame]:
     """Narrow rows of ``docs``, and per key of a group of several rows: first row and size of the group."""
-    rows = run.settle(sketched(docs))
+    rows = run.settle(sketched(docs, least))
     classes = rows.groupBy("key").agg(
-        F.min("row").alias("row"), F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches")
+        F.min("row").alias("row"), F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words"), F.first("tokens").alias("tokens"), F.first("flips").alias("flips")
     )
     classes = run.settle(classes)
     roots = components(links(docs, classes, run, least), run)

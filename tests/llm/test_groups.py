@@ -313,3 +313,16 @@ def test_lines_recall(spark):
     assert sum(i != root for i, root in enumerate(want)) > 60
     got = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
     assert [i for i in got if bool(got[i]) != (want[i] == i)] == []
+
+
+def test_near_duplicates_recall(spark):
+    """Against edit similarity alone, edits scattered over the text."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for n in (5, 20, 60, 200):
+        for share in (0.05, 0.1, 0.15, 0.2):
+            base = [str(w) for w in rng.choice(["w%d" % i for i in range(3000)], n)]
+            texts += [" ".join(base)] + [" ".join(_scattered(rng, base, int(share * n + 1e-9))) for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dups.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == _groups(texts)
