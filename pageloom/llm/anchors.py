@@ -29,15 +29,11 @@ def several(left: DataFrame) -> DataFrame:
     return left.join(crowded, "bucket").select("bucket", "key", "info")
 
 
-def by_size(least: float) -> Callable[[DataFrame], DataFrame]:
-    """Buckets parted by n_words: similar members differ by the ratio ``least`` at most, so
-    each goes to two neighbouring classes and no similar pair is parted."""
-
-    def refine(left: DataFrame) -> DataFrame:
-        class_ = F.floor(F.log(F.greatest(F.col("info.n_words"), F.lit(1))) / F.lit(math.log(1 / least)) + F.lit(1e-6))
-        return left.select(F.explode(F.array(F.xxhash64("bucket", class_), F.xxhash64("bucket", class_ + 1))).alias("bucket"), "key", "info")
-
-    return refine
+def size_classes(n_words: Column, least: float) -> Column:
+    """The two classes of a size: similar members differ by the ratio ``least`` at most, so with
+    two neighbouring classes for each no similar pair is parted."""
+    class_ = F.floor(F.log(F.greatest(n_words, F.lit(1))) / F.lit(math.log(1 / least)) + F.lit(1e-6))
+    return F.array(class_, class_ + 1)
 
 
 def _apart(left: DataFrame, found: DataFrame, fits: Callable[[Column, Column], Column], run: Scratch) -> DataFrame:

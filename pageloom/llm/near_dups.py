@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.anchors import anchored_links, by_size, several
+from pageloom.llm.anchors import anchored_links, several, size_classes
 from pageloom.llm.components import components
 from pageloom.llm.hashing import word_hashes
 from pageloom.session import Scratch
@@ -215,10 +215,10 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, run: Scratch, least: float = SIMILAR) -> DataFrame:
     """Verified pairs of different texts: columns u and v, keys of ``classes``."""
-    members = classes.where("n_words > 0").select("key", F.explode("tokens").alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    told = members.join(crowded, "bucket").join(classes.select("key", F.struct("n_words").alias("info")), "key").select("bucket", "key", "info")
-    left = run.settle(several(by_size(least)(told)))
+    members = classes.where("n_words > 0").select("key", "n_words", F.explode("tokens").alias("token"))
+    crowded = members.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
+    sized = members.join(crowded, "token").select("token", "key", F.struct("n_words").alias("info"), F.explode(size_classes(F.col("n_words"), least)).alias("size"))
+    left = run.settle(several(sized.select(F.xxhash64("token", "size").alias("bucket"), "key", "info")))
 
     def fits(a: Column, b: Column) -> Column:
         return F.least(a["n_words"], b["n_words"]) >= F.lit(least) * F.greatest(a["n_words"], b["n_words"]) - 1e-9
