@@ -326,3 +326,13 @@ def test_near_duplicates_recall(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in near_dups.near_duplicates(docs).collect()}
     assert [got[i] for i in range(len(texts))] == _groups(texts)
+
+
+def test_lines_of_repeated_rows(spark):
+    """A row that is there many times has lines as long as they are, and is like its neighbours."""
+    words = [f"word{i}" for i in range(20)]
+    rows = [(5, " ".join(words))] * 9 + [(6, " ".join([*words[:7], "other", *words[8:]])), (7, "not like these at all")] + [(8, "alone in here\nsame\nsame")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in lines.dedup_lines(docs, counts=True).collect()]
+    want = [(5, rows[0][1], 1, 1)] * 9 + [(6, "", 1, 0), (7, rows[10][1], 1, 1)] + [(8, "alone in here\nsame", 3, 2)] * 2
+    assert sorted(got) == sorted(want)
