@@ -336,3 +336,11 @@ def test_lines_of_repeated_rows(spark):
     got = [tuple(r) for r in lines.dedup_lines(docs, counts=True).collect()]
     want = [(5, rows[0][1], 1, 1)] * 9 + [(6, "", 1, 0), (7, rows[10][1], 1, 1)] + [(8, "alone in here\nsame", 3, 2)] * 2
     assert sorted(got) == sorted(want)
+
+
+def test_lines_of_any_length(spark):
+    """Lines beyond a million letters are compared like all others."""
+    words = [f"{i}" + "x" * 60_000 for i in range(20)]
+    texts = [" ".join(words), " ".join([*words[:9], "other", *words[10:]]), "short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.text for r in sorted(lines.dedup_lines(docs).collect())] == [texts[0], "", "short"]
