@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.functions.base import let
 from pageloom.llm.trees import boost, lasso_logistic, sigmoid
 
 SAMPLE = 4000  # labelled rows that training looks at, at every size of the corpus
@@ -57,11 +58,11 @@ class RuleEnsemble:
     bias: float
     rules: list[tuple[Rule, float]]
 
-    def column(self) -> Column:
-        """The score over columns of these names."""
+    def column(self, stats: Column) -> Column:
+        """The score over a struct with fields of these names."""
 
         def holds(rule: Rule) -> Column:
-            tests = [F.col(self.names[f]) <= t if op == "<=" else F.col(self.names[f]) > t for f, op, t in rule]
+            tests = [stats[self.names[f]] <= t if op == "<=" else stats[self.names[f]] > t for f, op, t in rule]
             return reduce(lambda a, b: a & b, tests)
 
         total = reduce(lambda a, b: a + b, [F.when(holds(r), F.lit(w)).otherwise(F.lit(0.0)) for r, w in self.rules], F.lit(self.bias))
@@ -122,16 +123,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 def score(docs: DataFrame, model: RuleEnsemble, column: str = "score") -> DataFrame:
     """``docs`` with a score between 0 and 1; existing columns keep their names and values.
 
-    The statistics live in one struct, so no name of the input can clash with them.
+    The statistics are bound once to a struct that all rules look at, so a filter on
+    the score does not compute them again for each rule, and no name can clash.
     """
-    taken = {c.lower() for c in docs.columns}
-    holder = "_stats"
-    while holder in taken:
-        holder += "_"
     stats = statistics(F.col("text"))
-    inner = RuleEnsemble([f"{holder}.{n}" for n in model.names], model.bias, model.rules)
-    with_stats = docs.withColumn(holder, F.struct(*[c.alias(n) for n, c in stats.items()]))
-    return with_stats.withColumn(column, inner.column()).drop(holder)
+    return docs.withColumn(column, let(F.struct(*[stats[n].alias(n) for n in model.names]), model.column))
 
 
 def judged(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
