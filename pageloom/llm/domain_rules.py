@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.base import let
 
 SLOTS = 1 << 16
+PRIOR = 5.0  # added to both counts of a place
 CUT = -0.1  # scores from here on are kept
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # per cent of the words
@@ -82,7 +83,8 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row with ``weights``: for each place, the log ratio of its shares in trusted texts and in all.
 
-    Both counts have one added, so that places that neither knows weigh next to nothing.
+    The corpus is scaled to the trusted total, and both get ``PRIOR`` added, so that
+    places which neither knows weigh nothing and rare ones little.
     """
     mine = trusted.withColumn("trusted", F.lit(1))
     if trusted.limit(BROADCAST + 1).count() <= BROADCAST:
@@ -92,10 +94,10 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     counts = places.groupBy("slot").agg(F.count("trusted").alias("t"), F.count(F.lit(1)).alias("r"))
     # SLOTS rows, whatever the size of the corpus.
     every = docs.sparkSession.range(0, SLOTS, 1, 1).select(F.col("id").cast("int").alias("slot"))
-    filled = every.join(counts, "slot", "left").select("slot", (F.coalesce("t", F.lit(0)) + 1).alias("t"), (F.coalesce("r", F.lit(0)) + 1).alias("r"))
+    filled = every.join(counts, "slot", "left").select("slot", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("r", F.lit(0)).alias("r"))
     made = filled.agg(F.sort_array(F.collect_list(F.struct("slot", "t", "r"))).alias("all"), F.sum("t").alias("ts"), F.sum("r").alias("rs"))
-    shift = F.log(F.col("rs") / F.col("ts"))
-    return made.select(F.transform("all", lambda x: F.log(x["t"] / x["r"]) + shift).alias("weights"))
+    share = F.when(F.col("rs") > 0, F.col("ts") / F.col("rs")).otherwise(F.lit(0.0))
+    return made.select(let(share, lambda s: F.transform("all", lambda x: F.log((x["t"] + PRIOR) / (x["r"] * s + PRIOR)))).alias("weights"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:

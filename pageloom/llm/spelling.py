@@ -4,9 +4,9 @@ The words that occur often enough are counted, and their trie is a table of edge
 a node is a prefix where words part or end, known by a hash of its letters, and an
 edge carries the letters from one such node to the next. All words walk down that
 trie at once. A state is (word, position in it, node, edits); a step joins the states
-with the edges below their nodes and keeps those that need one edit at most. States
-that end together with a word of the trie after one edit are its neighbours. The
-number of steps is that of nodes on the longest path, not of letters.
+with the edges below their nodes and keeps those that need one edit at most and can go
+on. States that end together with a word of the trie after one edit are its neighbours.
+The number of steps is that of nodes on the longest path, not of letters.
 """
 
 from __future__ import annotations
@@ -25,10 +25,9 @@ LEAST_LETTERS = 6
 LEAST_TIMES = 5
 RATIO = 5  # a form occurs so many times as often as the word
 EVERY = 199  # one run in so many loses a letter
-ROOT = 0
+ROOT, BACK = 0, 1  # of the words, and of the words read backwards
 END = -1
 PIECE = 1 << 16  # prefixes in an Arrow batch
-SALTS = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RUN = f"[a-zÀ-ÿ]{{{LEAST_LETTERS},}}"
 
@@ -49,99 +48,125 @@ def vocabulary(docs: DataFrame, every: int = EVERY) -> DataFrame:
     return made.where(F.length("word") >= LEAST_LETTERS).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TIMES)
 
 
-def _prefixes(word: str) -> tuple[np.ndarray, np.ndarray]:
-    """The letters of a word, and a hash for each of its prefixes, the empty one first; linear in its length."""
-    letters = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4")
+def _prefixes(text: str, root: int) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of a text, and a hash for each of its prefixes, the empty one first; linear in its length."""
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     POWERS.reach(len(letters) + 1)
     sums = np.zeros(len(letters) + 1, np.uint64)
     np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * POWERS.up[: len(letters)], out=sums[1:])
-    nodes = mix(sums + np.arange(len(sums), dtype=np.uint64)).view(np.int64)
-    nodes[0] = ROOT
+    nodes = mix(mix(sums + np.arange(len(sums), dtype=np.uint64)) + np.uint64(root)).view(np.int64)
+    nodes[0] = root
     return letters.astype(np.int32), nodes
 
 
-def _places(words: DataFrame) -> DataFrame:
-    """word_node, at, node and letter: every prefix of every word, and the letter that follows it."""
+def _places(texts: DataFrame) -> DataFrame:
+    """text_node, at, node and letter: every prefix of every text, and the letter that follows it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(parts: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["text_node", "at", "node", "letter"])
+
+        parts, held = [], 0
         for batch in batches:
-            parts: list[tuple[np.ndarray, ...]] = []
-            for word in [*batch.column(0).to_pylist(), None]:
-                if word is None or sum(len(p[0]) for p in parts[-1:]) > PIECE or len(parts) > PIECE >> 4:
-                    if parts:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["word_node", "at", "node", "letter"])
-                    parts = []
-                if word is not None:
-                    letters, nodes = _prefixes(word)
-                    parts.append((np.full(len(nodes), nodes[-1]), np.arange(len(nodes), dtype=np.int32), nodes, np.r_[letters, np.int32(END)].astype(np.int32)))
-
-    return words.select("word").mapInArrow(run, "word_node long, at int, node long, letter int")
-
-
-def trie(words: DataFrame, run: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Edges (parent, letter, label, child), and words with their nodes (word, n, node)."""
-    places = run.settle(_places(words))
-    parting = places.groupBy("node").agg(F.min("letter").alias("low"), F.max("letter").alias("high")).where("low < high").select("node")
-    inner = places.where(f"at > 0 AND letter <> {END}").select("word_node", "at", "node").join(parting, "node")
-    inner = inner.groupBy("word_node").agg(F.sort_array(F.collect_set(F.struct("at", "node"))).alias("inner"))
+            for text, root in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                letters, nodes = _prefixes(text, root)
+                parts.append((np.full(len(nodes), nodes[-1]), np.arange(len(nodes), dtype=np.int32), nodes, np.r_[letters, np.int32(END)].astype(np.int32)))
+                held += len(nodes)
+                if held > PIECE:
+                    yield made(parts)
+                    parts, held = [], 0
+        if parts:
+            yield made(parts)
+
+    return texts.select("text", "root").mapInArrow(run, "text_node long, at int, node long, letter int")
+
 
-    # The node of a word is that of its longest prefix: itself.
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_nodes(texts: DataFrame) -> DataFrame:
+    """text, root and n with ``node``, that of the whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = [int(_prefixes(word)[1][-1]) for word in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64())], names=["word", "n", "node"])
+            nodes = [int(_prefixes(text, root)[1][-1]) for text, root in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=["text", "root", "n", "node"])
+
+    return texts.select("text", "root", "n").mapInArrow(run, "text string, root long, n long, node long")
 
-    ends = run.settle(words.select("word", "n").mapInArrow(named, "word string, n long, node long"))
+
+def trie(texts: DataFrame, run: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Edges of the tries below all roots, and the texts with their nodes.
+
+    An edge has parent, letter (its first), label, child, ``follow`` (the first letters
+    of the edges below its child) and ``ends`` (whether its child is a text).
+    """
+    places = run.settle(_places(texts))
+    parting = places.groupBy("node").agg(F.min("letter").alias("low"), F.max("letter").alias("high")).where("low < high").select("node")
+    inner = places.where(f"at > 0 AND letter <> {END}").select("text_node", "at", "node").join(parting, "node")
+    inner = inner.groupBy("text_node").agg(F.sort_array(F.collect_set(F.struct("at", "node"))).alias("inner"))
+    ends = run.settle(_with_nodes(texts))
     stop = lambda at, node: F.struct(at.cast("int").alias("at"), node.cast("long").alias("node"))
-    path = F.concat(F.array(stop(F.lit(0), F.lit(ROOT))), F.coalesce("inner", F.array().cast("array<struct<at:int,node:bigint>>")), F.array(stop(F.length("word"), F.col("node"))))
-    rows = ends.join(inner, ends["node"] == inner["word_node"], "left").select("word", path.alias("path"))
+    path = F.concat(F.array(stop(F.lit(0), F.col("root"))), F.coalesce("inner", F.array().cast("array<struct<at:int,node:bigint>>")), F.array(stop(F.length("text"), F.col("node"))))
+    rows = ends.join(inner, ends["node"] == inner["text_node"], "left").select("text", path.alias("path"))
     steps = F.transform(F.slice("path", 2, F.size("path") - 1), lambda to, i: F.struct(
-        F.get("path", i)["node"].alias("parent"), F.substr("word", F.get("path", i)["at"] + 1, to["at"] - F.get("path", i)["at"]).alias("label"), to["node"].alias("child")
+        F.get("path", i)["node"].alias("parent"), F.substr("text", F.get("path", i)["at"] + 1, to["at"] - F.get("path", i)["at"]).alias("label"), to["node"].alias("child")
     ))
     edges = rows.select(F.explode(steps).alias("edge")).select("edge.*").distinct()
-    return run.settle(edges.select("parent", F.substr("label", F.lit(1), F.lit(1)).alias("letter"), "label", "child")), ends
+    edges = run.settle(edges.select("parent", F.substr("label", F.lit(1), F.lit(1)).alias("letter"), "label", "child"))
+    # A node has no more edges than there are letters.
+    below = edges.groupBy("parent").agg(F.array_join(F.collect_set("letter"), "").alias("follow")).withColumnRenamed("parent", "child")
+    words = ends.select(F.col("node").alias("child"), F.lit(True).alias("ends"))
+    edges = edges.join(below, "child", "left").join(words, "child", "left")
+    return run.settle(edges.select("parent", "letter", "label", "child", F.coalesce("follow", F.lit("")).alias("follow"), F.coalesce("ends", F.lit(False)).alias("ends"))), ends
 
 
-def _steps(word: Column, at: Column, label: Column) -> Column:
-    """Where a state without edits comes to along an edge: as it is, or with its one edit inside the edge."""
+def _moves(edits: Column, text: Column, at: Column, label: Column) -> Column:
+    """Where a state comes to along an edge: as it is, or with its one edit inside the edge."""
     size = F.length(label)
-    moves = [F.when(F.substr(word, at + 1, size) == label, F.struct((at + size).alias("at"), F.lit(0).alias("edits")))]
-    # A changed letter, one that the word lacks, one that it has more: by how much of the word is taken.
+    moves = [F.when(F.substr(text, at + 1, size) == label, F.struct((at + size).alias("at"), edits.alias("edits")))]
+    # A changed letter, one that the text lacks, one that it has more: by how much of the text is taken.
     for more in (0, -1, 1):
-        part = F.substr(word, at + 1, size + more)
-        one = (F.length(part) == size + more) & (F.call_function("levenshtein", part, label, F.lit(1)) == 1)
+        part = F.substr(text, at + 1, size + more)
+        one = (edits == 0) & (F.length(part) == size + more) & (F.call_function("levenshtein", part, label, F.lit(1)) == 1)
         moves.append(F.when(one, F.struct((at + size + more).alias("at"), F.lit(1).alias("edits"))))
     return F.filter(F.array(*moves), lambda m: m.isNotNull())
 
 
 def neighbours(words: DataFrame, run: Scratch) -> DataFrame:
-    """word, near and near_n: all pairs of words, both ways, that differ by exactly one letter."""
-    edges, ends = trie(words, run)
-    # The nodes near the root stand below very many words: their edges are dealt over salts.
-    salted = run.settle(edges.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    of_node = ends.select("node", F.col("word").alias("near"), F.col("n").alias("near_n"))
-    states = ends.select("word", F.lit(0).alias("at"), F.lit(ROOT).cast("long").alias("node"), F.lit(0).alias("edits"))
+    """word, near and near_n: all pairs of words, both ways, that differ by exactly one letter.
+
+    What two such words share before and after their edit is half of either or more.
+    So each word is walked forwards and, in a second trie, backwards, and may spend
+    its edit only once half of its letters are behind it, where few edges part.
+    """
+    both = F.explode(F.array(F.struct(F.col("word").alias("text"), F.lit(ROOT).cast("long").alias("root")), F.struct(F.reverse("word").alias("text"), F.lit(BACK).cast("long").alias("root")))).alias("x")
+    edges, ends = trie(words.select("n", both).select("x.text", "x.root", "n"), run)
+    states = ends.select("text", F.lit(0).alias("at"), F.col("root").alias("node"), F.lit(0).alias("edits"))
     found = None
     while True:
-        salt = F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int")
-        clean = states.where("edits = 0").select("word", "at", F.col("node").alias("parent"), salt.alias("salt")).join(salted, ["parent", "salt"])
-        clean = clean.select("word", "child", F.explode(_steps(F.col("word"), F.col("at"), F.col("label"))).alias("to"))
-        # With its edit spent, a word follows the one edge that begins with its next letter.
-        spent = states.where("edits = 1").select("word", "at", F.col("node").alias("parent"), F.substr("word", F.col("at") + 1, F.lit(1)).alias("letter"), salt.alias("salt"))
-        spent = spent.join(salted, ["parent", "letter", "salt"]).where(F.substr("word", F.col("at") + 1, F.length("label")) == F.col("label"))
-        moved = clean.select("word", F.col("to.at").alias("at"), F.col("child").alias("node"), F.col("to.edits").alias("edits"))
-        moved = moved.union(spent.select("word", (F.col("at") + F.length("label")).alias("at"), F.col("child").alias("node"), F.lit(1).alias("edits")))
-        states = run.settle(moved)
+        free = (F.col("edits") == 0) & (F.col("at") >= F.floor(F.length("text") / 2))
+        rows = states.withColumnRenamed("node", "parent")
+        # Before its half, and after its edit, a text follows the one edge that begins with its next letter.
+        bound = rows.where(~free).withColumn("letter", F.substr("text", F.col("at") + 1, F.lit(1))).join(edges, ["parent", "letter"])
+        open_ = rows.where(free).join(edges.drop("letter"), "parent")
+        moved = bound.select("text", "child", "follow", "ends", _moves(F.col("edits"), F.col("text"), F.col("at"), F.col("label")).alias("to"))
+        moved = moved.union(open_.select("text", "child", "follow", "ends", _moves(F.col("edits"), F.col("text"), F.col("at"), F.col("label")).alias("to")))
+        moved = moved.select("text", F.col("child").alias("node"), "follow", "ends", F.explode("to").alias("to")).select("text", "to.at", "node", "to.edits", "follow", "ends")
+        # With its edit spent, a text must end here, or go on by its next letter.
+        over = F.col("at") == F.length("text")
+        goes_on = (F.col("edits") == 0) | F.when(over, F.col("ends")).otherwise(F.instr("follow", F.substr("text", F.col("at") + 1, F.lit(1))) > 0)
+        states = run.settle(moved.where(goes_on).select("text", "at", "node", "edits"))
         if states.isEmpty():
             break
-        ended = states.where((F.col("edits") == 1) & (F.col("at") == F.length("word"))).select("word", "node")
-        # Hashes only lead here; the words themselves decide.
-        pairs = ended.join(of_node, "node").where(F.call_function("levenshtein", F.col("word"), F.col("near"), F.lit(1)) == 1)
-        pairs = run.settle(pairs.select("word", "near", "near_n"))
-        found = pairs if found is None else found.union(pairs)
+        over = (F.col("edits") == 1) & (F.col("at") == F.length("text"))
+        ended = states.where(over).select("text", "node")
+        found = ended if found is None else found.union(ended)
+        states = states.where(~over)
     if found is None:
         return words.select("word", F.col("word").alias("near"), F.col("n").alias("near_n")).limit(0)
-    return found.distinct()
+    of_node = ends.select("node", F.col("text").alias("other"), "root", F.col("n").alias("near_n"))
+    # Hashes only lead here; the letters themselves decide.
+    pairs = found.join(of_node, "node").where(F.call_function("levenshtein", F.col("text"), F.col("other"), F.lit(1)) == 1)
+    forward = lambda c: F.when(F.col("root") == ROOT, F.col(c)).otherwise(F.reverse(c))
+    return run.settle(pairs.select(forward("text").alias("word"), forward("other").alias("near"), "near_n").distinct())
 
 
 def roots(forms: DataFrame, run: Scratch) -> DataFrame:
