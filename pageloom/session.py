@@ -6,8 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows per Arrow batch: a page can be megabytes, so batches stay short.
+# Rows per Arrow batch: a page can be megabytes, so batches stay short. Shuffle files
+# go when the query that wrote them has ended, not when the driver happens to collect
+# its garbage: an operator of many written steps would pile them up.
 _DEFAULTS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.sql.session.timeZone": "UTC",
 }
