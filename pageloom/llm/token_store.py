@@ -31,7 +31,9 @@ from pageloom.llm.pieces import chunks, plain_pieces
 
 SEGMENT = 1 << 18  # tokens after which a segment is closed; a longer document makes a longer one
 BLOCK = 512  # bits for each entry of a rank directory
-CACHED = 600_000  # chunks, and pieces, that a worker remembers: bounds memory, not the input
+CACHED = 1_000_000  # chunks, and pieces, that a worker remembers: bounds memory, not the input
+PIECES_AT_ONCE = 50_000  # new pieces in one call of the library
+CHARS_AT_ONCE = 1 << 22  # letters of the texts that are encoded together, unless one text has more
 _HEAD = struct.Struct("<4sQB")
 _LEVEL = struct.Struct("<Q")
 _MAGIC = b"DAC1"
@@ -103,7 +105,13 @@ class Packed:
 
 
 class LibraryEncoder:
-    """Ids of a text by the tokenizers library, which sees every distinct chunk once."""
+    """Ids of texts by the tokenizers library, which sees every distinct piece once.
+
+    A piece is encoded on its own, whatever stands around it, so the new pieces of many
+    texts go to the library as one text with spaces between, and its ids are cut after
+    each token that ends a word. Chunks and pieces are remembered up to ``CACHED`` each;
+    then the memory starts anew.
+    """
 
     def __init__(self, config: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
@@ -112,6 +120,10 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(config)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -121,34 +133,43 @@ class LibraryEncoder:
         ends = list(accumulate((4 * len(ids) for ids in made), initial=0))
         return [raw[a:b] for a, b in pairwise(ends)]
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids.
+    def _ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(stops) != len(pieces):  # a vocabulary without word ends
+            return self._ids(pieces)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in pairwise([0, *stops.tolist()])]
 
-        The library sees each distinct piece of plain chunks, and other texts whole.
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; a null is empty.
+
+        The library sees pieces of plain chunks, and other texts whole.
         """
-        known, found = self.chunks, chunks(text)
-        if len(found) == 1 and (found[0] is text or len(text) >= 64):
-            return self._ids([text])[0]
-        new = set(found).difference(known)
-        if not new:
-            return b"".join([known[c] for c in found])
-        cut = {c: plain_pieces(c) for c in new}
-        pieces = self.pieces
-        unseen = list({p for parts in cut.values() for p in parts}.difference(pieces))
-        fresh = dict(zip(unseen, self._ids(unseen), strict=True)) if unseen else {}
-        made = {c: b"".join([fresh[p] if p in fresh else pieces[p] for p in parts]) for c, parts in cut.items()}
-        if len(pieces) < CACHED:
-            pieces.update(fresh)
-        if len(known) < CACHED:
-            known.update(made)
-            return b"".join([known[c] for c in found])
-        return b"".join([made[c] if c in made else known[c] for c in found])
+        found = [chunks(text) if text else [] for text in texts]
+        whole = [i for i, parts in enumerate(found) if len(parts) == 1 and (parts[0] is texts[i] or len(texts[i]) >= 64)]
+        alone = dict(zip(whole, self._ids([texts[i] for i in whole]), strict=True)) if whole else {}
+        known, pieces = self.chunks, self.pieces
+        new = set().union(*[parts for i, parts in enumerate(found) if i not in alone]).difference(known)
+        if new:
+            cut = {c: plain_pieces(c) for c in new}
+            if len(known) + len(new) > CACHED:
+                old = set().union(*[parts for i, parts in enumerate(found) if i not in alone]).intersection(known)
+                self.chunks = known = {c: known[c] for c in old}
+            unseen = list({p for parts in cut.values() for p in parts}.difference(pieces))
+            if len(pieces) + len(unseen) > CACHED:
+                self.pieces = pieces = {p: pieces[p] for parts in cut.values() for p in parts if p in pieces}
+            for at in range(0, len(unseen), PIECES_AT_ONCE):
+                some = unseen[at : at + PIECES_AT_ONCE]
+                pieces.update(zip(some, self._ids_of_pieces(some), strict=True))
+            known.update((c, b"".join([pieces[p] for p in parts])) for c, parts in cut.items())
+        return [alone[i] if i in alone else b"".join([known[c] for c in parts]) for i, parts in enumerate(found)]
 
 
 _WORKER: dict[str, LibraryEncoder] = {}
 
-SEGMENTS = "part int, seq int, token_start long, n_tokens long, docs array<struct<doc_id: long, n_tokens: long>>, payload binary"
-_DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64())]))
+SEGMENTS = "part int, seq int, token_start long, n_tokens long, docs array<struct<doc_id: long, n_tokens: long, first: long>>, payload binary"
+_DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("first", pa.int64())]))
 _ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("token_start", pa.int64()), ("n_tokens", pa.int64()), ("docs", _DOCS), ("payload", pa.binary())])
 
 
@@ -163,10 +184,20 @@ def write_tokens(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: s
         shared = spark.sparkContext.broadcast(file.read())
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
         if tokenizer not in _WORKER:
             _WORKER[tokenizer] = LibraryEncoder(shared.value)
         encode = _WORKER[tokenizer].encode
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            start, chars = 0, 0
+            for i, text in enumerate(texts):
+                chars += len(text or "")
+                if chars > CHARS_AT_ONCE or i == len(texts) - 1:
+                    yield from zip(ids[start : i + 1], encode(texts[start : i + 1]), strict=True)
+                    start, chars = i + 1, 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, start = TaskContext.get().partitionId(), 0, 0
         held: list[bytes] = []
         names: list[dict] = []
@@ -177,17 +208,16 @@ def write_tokens(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: s
             row = {"part": part, "seq": seq, "token_start": start, "n_tokens": len(ids), "docs": list(names), "payload": pack(ids)}
             return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = (encode(text) if text else b"") + end
-                held.append(raw)
-                names.append({"doc_id": doc_id, "n_tokens": len(raw) // 4})
-                size += len(raw) // 4
-                if size >= SEGMENT:
-                    yield close()
-                    seq, start, size = seq + 1, start + size, 0
-                    held.clear()
-                    names.clear()
+        for doc_id, ids in encoded(batches):
+            raw = ids + end
+            held.append(raw)
+            names.append({"doc_id": doc_id, "n_tokens": len(raw) // 4, "first": size})
+            size += len(raw) // 4
+            if size >= SEGMENT:
+                yield close()
+                seq, start, size = seq + 1, start + size, 0
+                held.clear()
+                names.clear()
         if names:
             yield close()
 
@@ -234,25 +264,22 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 def tokens_at(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
     """The token at each (doc_id, position) of ``wanted``, read by address.
 
-    Positions outside their document, and ids that the store lacks, give no row.
+    Positions outside their document, and ids that the store lacks, give no row; a
+    repeated position gives as many. A segment is read once for all that is asked of
+    it, and no more can be asked than it has tokens.
     """
     segments = spark.read.schema(SEGMENTS).parquet(f"{folder}/segments")
-    before = F.aggregate(F.slice("docs", 1, F.col("i")), F.lit(0).cast("long"), lambda a, d: a + d["n_tokens"])
-    listed = segments.select("part", "seq", "docs", F.posexplode("docs").alias("i", "doc"))
-    listed = listed.select("part", "seq", F.col("doc.doc_id").alias("doc_id"), F.col("doc.n_tokens").alias("n"), before.alias("first"))
-    asked = wanted.select("doc_id", "position").join(listed, "doc_id").where("position >= 0 AND position < n")
-    asked = asked.select("part", "seq", "doc_id", "position", (F.col("first") + F.col("position")).alias("at"))
+    listed = segments.select("part", "seq", F.explode("docs").alias("doc")).select("part", "seq", "doc.*")
+    times = wanted.select("doc_id", "position").groupBy("doc_id", "position").agg(F.count(F.lit(1)).alias("times"))
+    asked = times.join(listed, "doc_id").where("position >= 0 AND position < n_tokens")
+    asked = asked.groupBy("part", "seq").agg(F.collect_list(F.struct((F.col("first") + F.col("position")).alias("at"), "doc_id", "position", "times")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, code = None, None
         for batch in batches:
-            ids = []
             for row in range(batch.num_rows):
-                key = (batch.column(0)[row].as_py(), batch.column(1)[row].as_py())
-                if key != held:
-                    held, code = key, Packed(batch.column(5)[row].as_py())
-                ids.append(code[batch.column(4)[row].as_py()])
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(ids, pa.int64())], names=["doc_id", "position", "token_id"])
+                code, rows = Packed(batch.column(1)[row].as_py()), batch.column(0)[row].as_py()
+                out = [(x["doc_id"], x["position"], code[x["at"]]) for x in rows for _ in range(x["times"])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "position", "token_id"])
 
-    found = asked.join(segments.select("part", "seq", "payload"), ["part", "seq"]).select("part", "seq", "doc_id", "position", "at", "payload")
+    found = segments.select("part", "seq", "payload").join(asked, ["part", "seq"]).select("asked", "payload")
     return found.mapInArrow(run, "doc_id long, position long, token_id long")
