@@ -10,7 +10,6 @@ apart, and a large group of copies costs as many pairs as it has members.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -29,13 +28,6 @@ def several(left: DataFrame) -> DataFrame:
     return left.join(crowded, "bucket").select("bucket", "key", "info")
 
 
-def size_classes(n_words: Column, least: float) -> Column:
-    """The two classes of a size: similar members differ by the ratio ``least`` at most, so with
-    two neighbouring classes for each no similar pair is parted."""
-    class_ = F.floor(F.log(F.greatest(n_words, F.lit(1))) / F.lit(math.log(1 / least)) + F.lit(1e-6))
-    return F.array(class_, class_ + 1)
-
-
 def _apart(left: DataFrame, found: DataFrame, fits: Callable[[Column, Column], Column], run: Scratch) -> DataFrame:
     """Pairs (u, v), u < v, of members of a bucket that ``found`` leaves in different groups.
 

@@ -1,17 +1,16 @@
 """Near-duplicate documents by edit similarity of their words.
 
-Two texts of edit similarity ``least`` differ in a bounded number of words, so with
-the words of both in one order, the first few of the one and of the other have a
-word in common. The order is by how often words occur, rare ones first. Texts that
-have such a word in common meet in a bucket. There each is compared with the
-bucket's anchors, and with members of other groups: first by the parities of its
-words, then by an alignment within a band of diagonals. No similar pair is missed.
-Verified pairs are joined into groups.
+Texts are sketched by Order MinHash. Every pair of neighbouring words is labelled with
+its number among its equals; a sketch hashes the labelled pairs with a seed of its own,
+takes the two smallest, and is the hash of these two in the order of the text. Texts
+of high edit similarity share many pairs in the same order, so most likely one sketch,
+and texts that share one meet in a bucket. There each is compared with the bucket's
+anchors, and with members of other groups: first by the parities of its words, then
+by an alignment within a band of diagonals. Verified pairs are joined into groups.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -20,41 +19,44 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.anchors import anchored_links, several, size_classes
+from pageloom.llm.anchors import anchored_links, several
 from pageloom.llm.components import components
-from pageloom.llm.hashing import word_hashes
+from pageloom.llm.hashing import mix, shingles, word_hashes
 from pageloom.session import Scratch
 
 SIMILAR = 0.8
 SALTS = 8
-SLOTS = 1 << 17  # words are counted by hash in so many places
+SKETCHES = 20
+GRAM = 2  # words that are hashed together
+PICKED = 2  # of them in a sketch, in the order of the text
 PARITIES = 2048  # bits
-
-
-def _levels(docs: DataFrame) -> np.ndarray:
-    """By slot of the words' hashes, how often they occur, as a logarithm in a byte."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                np.add.at(counts, (word_hashes(text) % np.uint64(SLOTS)).astype(np.int64), 1)
-        slots = np.flatnonzero(counts)
-        if len(slots):
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "n"])
-
-    made = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "slot long, n long")
-    levels = np.zeros(SLOTS, np.uint8)
-    for slot, n in made.groupBy("slot").agg(F.sum("n")).collect():
-        levels[slot] = min(255, int(6 * np.log2(n)))
-    return levels
-
-
-def tokens(words: np.ndarray, levels: np.ndarray, least: float = SIMILAR) -> np.ndarray:
-    """The rarest words of a text: one more than may differ from any text similar to it."""
-    distinct = np.unique(words)
-    rank = levels[(distinct % np.uint64(SLOTS)).astype(np.int64)]
-    return distinct[np.lexsort((distinct, rank))[: int((1 - least) * len(words) + 1e-9) + 1]]
+BAND = 4096  # words: longer texts are aligned row by row, shorter ones bit by bit
+_SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64))
+
+
+def sketches(words: np.ndarray) -> np.ndarray:
+    """A key for each sketch of a text; none without words."""
+    grams = shingles(words, GRAM)
+    if not len(grams):
+        return grams
+    # The number of each gram among its equals, so that repeats count.
+    order = np.argsort(grams, kind="stable")
+    first = np.r_[True, grams[order][1:] != grams[order][:-1]]
+    place = np.arange(len(grams))
+    times = np.empty(len(grams), np.uint64)
+    times[order] = place - np.maximum.accumulate(np.where(first, place, 0))
+    labelled = mix(grams + mix(times))
+    if len(grams) <= PICKED:
+        at = np.tile(place, (SKETCHES, 1))
+    else:
+        # A few sketches at a time, as many as a bounded table takes.
+        step = max(1, (1 << 16) // len(grams))
+        at = [np.argpartition(mix(labelled ^ _SEEDS[i : i + step, None]), PICKED - 1)[:, :PICKED] for i in range(0, SKETCHES, step)]
+        at = np.sort(np.concatenate(at), axis=1)
+    keys = _SEEDS.copy()
+    for k in range(at.shape[1]):
+        keys = mix(keys * np.uint64(31) + grams[at[:, k]])
+    return keys
 
 
 def parities(words: np.ndarray) -> bytes:
@@ -63,43 +65,54 @@ def parities(words: np.ndarray) -> bytes:
     return np.packbits(places & 1).tobytes()
 
 
-def distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Edit distance of two sequences if it is at most ``most``.
+def _by_bits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """Edit distance with a row of the table in the bits of whole numbers: differences of neighbours, up or down."""
+    where: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        where[x] = where.get(x, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for left, y in zip(range(len(b) - 1, -1, -1), b.tolist(), strict=True):
+        same = where.get(y, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        rises, falls = down | (full & ~(level | up)), level & up
+        score += bool(rises & last) - bool(falls & last)
+        if score - left > most:  # each word to come can take one off
+            return None
+        rises = (rises << 1 | 1) & full
+        up, down = (falls << 1 | full & ~(level | rises)) & full, rises & level
+    return score if score <= most else None
+
+
+def _by_rows(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """Edit distance row by row over the diagonals of the band; memory goes with the band."""
+    side = np.arange(2 * most + 1)
+    far = np.int64(1) << 40
+    row = np.where(side >= most, side - most, far)
+    # What lies outside b equals nothing.
+    values, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = codes[: len(a)], np.concatenate([np.full(most + 1, -1), codes[len(a) :], np.full(2 * most + 2, -1)])
+    for i, x in enumerate(a):
+        step = row + (b[i + 1 : i + 2 + 2 * most] != x)
+        step[:-1] = np.minimum(step[:-1], row[1:] + 1)
+        row = np.minimum.accumulate(step - side) + side
+        if row.min() > most:
+            return None
+    return int(row[len(b) - 3 * most - 3 - len(a) + most])
 
-    Works along the diagonals of the band: for each number of edits, how far each
-    diagonal gets. Equal stretches are jumped over by the list of mismatches.
-    """
+
+def distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """Edit distance of two sequences if it is at most ``most``."""
     if len(a) > len(b):
         a, b = b, a
-    n, m = len(a), len(b)
-    goal = m - n
-    if goal > most:
+    if len(b) - len(a) > most:
         return None
-    ends: dict[int, list[int]] = {}
-
-    def slide(k: int, i: int) -> int:
-        if k not in ends:
-            span = min(n, m - k) if k >= 0 else min(n, m - k)
-            low = max(0, -k)
-            ends[k] = (np.flatnonzero(a[low:span] != b[low + k : span + k]) + low).tolist() + [span]
-        stops = ends[k]
-        return stops[min(bisect.bisect_left(stops, i), len(stops) - 1)] if i < stops[-1] else i
-
-    reach = {0: slide(0, 0)}
-    for edits in range(most + 1):
-        if reach.get(goal, -1) >= n:
-            return edits
-        new = {}
-        for k in range(-edits - 1, edits + 2):
-            if k < -n or k > m:
-                continue
-            # Along the diagonal: a changed word; from beside it: one more in b, one more in a.
-            i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2), reach.get(k + 1, -2) + 1)
-            if i < 0 or i < -k:
-                continue
-            new[k] = slide(k, min(i, n, m - k))
-        reach = new
-    return None
+    if not len(a):
+        return len(b)
+    if len(a) <= BAND:
+        return _by_bits(a, b, most)
+    found = _by_rows(a, b, most)
+    return found if found is not None and found <= most else None
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
@@ -132,9 +145,8 @@ def _key(words: np.ndarray) -> bytes:
     return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
 
 
-def sketched(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Who a row is (``row``: id, nulls last, and a hash of the text), key of its words, their number, tokens, parities."""
-    shared = docs.sparkSession.sparkContext.broadcast(_levels(docs))
+def sketched(docs: DataFrame) -> DataFrame:
+    """Who a row is (``row``: id, nulls last, and a hash of the text), key of its words, their number, sketches, parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,17 +155,17 @@ def sketched(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
                 words = word_hashes(text)
                 keys.append(_key(words))
                 sizes.append(len(words))
-                marks.append(tokens(words, shared.value, least).view(np.int64))
+                marks.append(sketches(words).view(np.int64))
                 flips.append(parities(words))
             offsets = np.r_[0, np.cumsum([len(m) for m in marks])].astype(np.int32)
             flat = np.concatenate(marks) if marks else np.zeros(0, np.int64)
             columns = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(flips, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "mark", "key", "n_words", "tokens", "flips"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "mark", "key", "n_words", "sketches", "flips"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
-    made = rows.mapInArrow(run, "doc_id long, mark long, key binary, n_words int, tokens array<long>, flips binary")
+    made = rows.mapInArrow(run, "doc_id long, mark long, key binary, n_words int, sketches array<long>, flips binary")
     who = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "mark").alias("row")
-    return made.select(who, "key", "n_words", "tokens", "flips")
+    return made.select(who, "key", "n_words", "sketches", "flips")
 
 
 def _rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -215,10 +227,8 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, run: Scratch, least: float = SIMILAR) -> DataFrame:
     """Verified pairs of different texts: columns u and v, keys of ``classes``."""
-    members = classes.where("n_words > 0").select("key", "n_words", F.explode("tokens").alias("token"))
-    crowded = members.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
-    sized = members.join(crowded, "token").select("token", "key", F.struct("n_words").alias("info"), F.explode(size_classes(F.col("n_words"), least)).alias("size"))
-    left = run.settle(several(sized.select(F.xxhash64("token", "size").alias("bucket"), "key", "info")))
+    members = classes.where("n_words > 0").select(F.explode(F.array_distinct("sketches")).alias("bucket"), "key", F.struct("n_words").alias("info"))
+    left = run.settle(several(members))
 
     def fits(a: Column, b: Column) -> Column:
         return F.least(a["n_words"], b["n_words"]) >= F.lit(least) * F.greatest(a["n_words"], b["n_words"]) - 1e-9
@@ -234,16 +244,19 @@ def links(docs: DataFrame, classes: DataFrame, run: Scratch, least: float = SIMI
 
 def _grouped(docs: DataFrame, least: float, run: Scratch) -> tuple[DataFrame, DataFrame]:
     """Narrow rows of ``docs``, and per key of a group of several rows: first row and size of the group."""
-    rows = run.settle(sketched(docs, least))
+    rows = run.settle(sketched(docs))
     classes = rows.groupBy("key").agg(
-        F.min("row").alias("row"), F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words"), F.first("tokens").alias("tokens"), F.first("flips").alias("flips")
+        F.min("row").alias("row"), F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"), F.first("flips").alias("flips")
     )
     classes = run.settle(classes)
-    roots = components(links(docs, classes, run, least), run)
+    held = Scratch(docs.sparkSession)
+    roots = components(links(docs, classes, held, least), held)
     named = classes.select("key", "row", "n").join(roots.withColumnRenamed("node", "key"), "key", "left")
     named = named.withColumn("root", F.coalesce("root", "key"))
     groups = named.groupBy("root").agg(F.min("row").alias("first"), F.sum("n").alias("size")).where("size > 1")
-    return rows.select("row", "key"), run.settle(named.select("key", "root").join(groups, "root").select("key", "first", "size"))
+    made = run.settle(named.select("key", "root").join(groups, "root").select("key", "first", "size"))
+    held.drop()
+    return rows.select("row", "key"), made
 
 
 def _marked(rows: DataFrame, several: DataFrame) -> DataFrame:
