@@ -22,8 +22,9 @@ def components(edges: DataFrame, run: Scratch | None = None) -> DataFrame:
     and null ends are ignored; no edges give no rows.
     """
     run = run or Scratch(edges.sparkSession)
+    step = Scratch(edges.sparkSession)
     low, high = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
-    current = run.settle(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(low, high).distinct())
+    current = step.settle(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(low, high).distinct())
     before = None
     while True:
         # Large star: neighbours above a node are tied to the smallest node it knows.
@@ -34,8 +35,11 @@ def components(edges: DataFrame, run: Scratch | None = None) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         joined = large.join(least, "v")
         small = joined.select(F.col("m").alias("a"), F.col("u").alias("b")).union(joined.select("m", "v")).where("a < b")
-        current = run.settle(small.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        done, step = step, Scratch(edges.sparkSession)
+        current = step.settle(small.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        done.drop()
         now = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
+            run.folders += step.folders
             return current.select(F.col("v").alias("node"), F.col("u").alias("root"))
         before = now
