@@ -17,33 +17,36 @@ from pageloom.functions.base import let
 
 SLOTS = 1 << 16
 PRIOR = 5.0  # added to both counts of a place
-CUT = -0.1  # scores from here on are kept
+CUT = -0.15  # scores from here on are kept
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # per cent of the words
 WINDOW = 8  # words
 BROADCAST = 200_000  # ids that may be sent to every executor; more are joined by a shuffle
-_SPACES = " \t\n\x0b\f\r"
-_SYMBOLS = "#*$%&|<>"
+_SPACES = r"[\x20\x09-\x0D]+"
+_SYMBOLS = "[#*$%&|<>]"
 
 
 def words(text: Column) -> Column:
     """The words of a text, between spaces of ASCII; none of a null."""
-    plain = F.translate(F.coalesce(text, F.lit("")), _SPACES, " " * len(_SPACES))
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), _SPACES), lambda w: w != "")
+
+
+def hashes(found: Column) -> Column:
+    return F.transform(found, lambda w: F.xxhash64(w))
 
 
 def slots(found: Column) -> Column:
-    """A place for each word, then one for each pair of neighbours."""
+    """A place for each word, then one for each pair of neighbours. ``found`` has the hashes of the words."""
 
-    def place(*columns: Column) -> Column:
-        return F.pmod(F.xxhash64(*columns), F.lit(SLOTS)).cast("int")
+    def place(value: Column) -> Column:
+        return F.pmod(value, F.lit(SLOTS)).cast("int")
 
-    pairs = F.transform(F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), lambda w, i: place(F.get(found, i), w))
-    return F.concat(F.transform(found, lambda w: place(w)), pairs)
+    pairs = F.transform(F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), lambda h, i: place(F.xxhash64(F.get(found, i), h)))
+    return F.concat(F.transform(found, place), pairs)
 
 
 def repeated_words(found: Column) -> Column:
-    """Words that stand in a window of ``WINDOW`` words found twice or more in the text, compared by 64-bit hash.
+    """Of the words with hashes ``found``, those that stand in a window of ``WINDOW`` words found twice or more in the text, compared by 64-bit hash.
 
     Windows are sorted with their places, so that long repetitive texts cost n log n.
     """
@@ -71,10 +74,6 @@ def repeated_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.length(F.translate(F.coalesce(text, F.lit("")), characters, "")).cast("long")
-
-
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """The ids of documents that are labelled good, each once."""
     return labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
@@ -89,7 +88,7 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     mine = trusted.withColumn("trusted", F.lit(1))
     if trusted.limit(BROADCAST + 1).count() <= BROADCAST:
         mine = F.broadcast(mine)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("found")).join(mine, "doc_id", "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashes(words(F.col("text"))).alias("found")).join(mine, "doc_id", "left")
     places = rows.select("trusted", F.explode(let(F.col("found"), slots)).alias("slot"))
     counts = places.groupBy("slot").agg(F.count("trusted").alias("t"), F.count(F.lit(1)).alias("r"))
     # SLOTS rows, whatever the size of the corpus.
@@ -118,11 +117,14 @@ def judged(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
         total = F.aggregate(places, F.lit(0.0), lambda a, slot: a + F.get("weights", slot))
         return F.when(F.size(places) > 0, total / F.size(places)).otherwise(F.lit(0.0))
 
-    told = let(F.col("found"), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"), let(slots(w), score).alias("score")))
-    symbols = F.length(F.coalesce(text, F.lit(""))).cast("long") - _without(text, _SYMBOLS)
-    rows = found.select("doc_id", told.alias("told"), _without(text, _SPACES).alias("word_chars"), symbols.alias("n_symbols"), repeated_lines(text).alias("n_dup_lines"))
+    def of_hashes(h: Column, chars: Column) -> Column:
+        return F.struct(F.size(h).cast("long").alias("n_words"), chars.alias("word_chars"), repeated_words(h).alias("n_repeat_words"), let(slots(h), score).alias("score"))
+
+    told = let(F.col("found"), lambda w: let(hashes(w), lambda h: of_hashes(h, F.length(F.array_join(w, "")).cast("long"))))
+    symbols = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(_SYMBOLS)).cast("long")
+    rows = found.select("doc_id", told.alias("told"), symbols.alias("n_symbols"), repeated_lines(text).alias("n_dup_lines"))
     failed = (F.col("told.n_words") < LEAST_WORDS) | (100 * F.col("told.n_repeat_words") > MOST_REPEATED * F.col("told.n_words"))
     return rows.select(
-        "doc_id", "told.n_words", "word_chars", "n_symbols", "n_dup_lines", "told.n_repeat_words",
+        "doc_id", "told.n_words", "told.word_chars", "n_symbols", "n_dup_lines", "told.n_repeat_words",
         failed.alias("base_failed"), "told.score", (~failed & (F.col("told.score") >= cut)).alias("kept"),
     )
