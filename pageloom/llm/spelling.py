@@ -29,7 +29,7 @@ ROOT, BACK = 0, 1  # of the words, and of the words read backwards
 END = -1
 PIECE = 1 << 16  # prefixes in an Arrow batch
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_RUN = f"[a-zÀ-ÿ]{{{LEAST_LETTERS},}}"
+_RUN = f"[A-Za-zÀ-ÿ]{{{LEAST_LETTERS},}}"
 
 
 def vocabulary(docs: DataFrame, every: int = EVERY) -> DataFrame:
@@ -39,8 +39,9 @@ def vocabulary(docs: DataFrame, every: int = EVERY) -> DataFrame:
     loses the letter that the same number names. A null id counts as an empty one.
     """
     # Shorter runs can give no word, so they are not looked at.
-    runs = F.regexp_extract_all(F.translate(F.col("text").cast("string"), _UPPER, _LOWER), F.lit(f"({_RUN})"), 1)
+    runs = F.regexp_extract_all(F.col("text").cast("string"), F.lit(_RUN), 0)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(runs).alias("run"))
+    rows = rows.select("id", F.when(F.col("run").rlike("[A-Z]"), F.translate("run", _UPPER, _LOWER)).otherwise(F.col("run")).alias("run"))
     rows = rows.select("run", F.crc32(F.concat("id", F.lit(":"), "run")).alias("h"))
     place = F.pmod("h", F.length("run")).cast("int")
     less = F.concat(F.substr("run", F.lit(1), place), F.substr("run", place + 2))
