@@ -1,12 +1,14 @@
 """Tree rules, and selectors against a plain matcher."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from pageloom.operators import dom, select
 from pageloom.operators.dom import build_tree
+from pageloom.session import settle
 
 
 def shape(html):
@@ -168,6 +170,52 @@ def test_unsupported_selectors(spark, bad):
         select.match_ids(None, bad)
 
 
+def test_selectors_as_data(spark):
+    """A column of plans, another one in each row, finds what the same selectors find in the plan."""
+    both = [*SELECTORS, "p:first-child", "p:not(:first-child, .a)", "main > :nth-child(odd):not(div)", "main > p:nth-last-child(-n+3)", "p ~ span > b", "main > :has(b, .a)", "[lang|=de]", "[lang|='']", "[x*='']", "b:only-child, * + * i", "p:is(.x, [lang])", "div ~ div p"]
+    rng = random.Random(5)
+    pages = [(0, SIBLINGS)]
+    for n in range(1, 6):
+        html = "".join(f"<{t} {rng.choice(['class=a', 'x=1', 'lang=de-x', ''])}>" if rng.random() < 0.6 else f"</{t}>" for t in rng.choices(["div", "p", "b", "i", "ul", "li", "a", "main", "span"], k=60))
+        pages.append((n, html))
+    plans = select.with_plans(spark.createDataFrame([(s,) for s in both], "selector string"))
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    each = spark.createDataFrame([(*page, s) for page in pages for s in both], "page_id long, html string, selector string")
+    rows = dom.parse(each.join(plans, "selector"))
+    got = {(r.page_id, r.selector): r.ids for r in rows.select("page_id", "selector", select.match_ids_by(F.col("nodes"), F.col("plan")).alias("ids")).collect()}
+    want = dom.parse(df).select("page_id", *[select.match_ids(F.col("nodes"), s).alias(f"s{i}") for i, s in enumerate(both)]).collect()
+    for row in want:
+        for i, s in enumerate(both):
+            assert got[(row.page_id, s)] == row[f"s{i}"], (s, pages[row.page_id])
+    bad = {r.selector: (r.plan, r.problem) for r in select.with_plans(spark.createDataFrame([("a:hover",), ("p",), ("",)], "selector string")).collect()}
+    assert bad["a:hover"][0] is None and "hover" in bad["a:hover"][1] and bad["p"][1] is None and bad[""][0] is None
+
+
+@pytest.mark.parametrize("shape", ["wide", "deep"])
+def test_chains_on_a_large_page(spark, shape):
+    """16,000 links: every chain takes no more than twice as long as looking for the links alone, and finds the right ones."""
+    n = 16_000
+    html = "<nav><p>x</p>" + "<p>y</p><li><a href=x>l</a></li>" * n + "</nav>" if shape == "wide" else "<nav><p>x</p>" + "<div>" * 400 + "<li><a href=x>l</a></li>" * n + "</div>" * 400 + "</nav>"
+    df = settle(dom.parse(spark.createDataFrame([(1, html)], "page_id long, html string")))
+
+    def taken(selector):
+        best = None
+        for _ in range(3):
+            start = time.perf_counter()
+            count = df.select(F.size(select.match_ids(F.col("nodes"), selector)).alias("n")).first().n
+            best = min(best or 99, time.perf_counter() - start)
+        return best, count
+
+    plain, count = taken("a")
+    assert count == n
+    wanted = {"li > a": n, "nav li > a": n, "p ~ li": n if shape == "wide" else 0, "li:has(a)": n, "nav li a": n, "p ~ li > a": n if shape == "wide" else 0, "li + p": n - 1 if shape == "wide" else 0}
+    for selector, found in wanted.items():
+        seconds, count = taken(selector)
+        print(shape, selector, round(seconds, 2), "alone", round(plain, 2))
+        assert count == found, selector
+        assert seconds < 2 * plain + 1.5, selector
+
+
 def test_browser_only_parts(spark):
     html = "<p>a</p><noscript><p>no</p></noscript><template><p>no<template></template></p></template><!--><p>b</p><!---><p>c</p><!-- x --!><p>d</p>"
     df = spark.createDataFrame([(1, html)], "page_id long, html string")
