@@ -49,35 +49,38 @@ def vocabulary(docs: DataFrame, every: int = EVERY) -> DataFrame:
     return made.where(F.length("word") >= LEAST_LETTERS).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TIMES)
 
 
-def _prefixes(text: str, root: int) -> tuple[np.ndarray, np.ndarray]:
-    """The letters of a text, and a hash for each of its prefixes, the empty one first; linear in its length."""
-    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    POWERS.reach(len(letters) + 1)
-    sums = np.zeros(len(letters) + 1, np.uint64)
-    np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * POWERS.up[: len(letters)], out=sums[1:])
-    nodes = mix(mix(sums + np.arange(len(sums), dtype=np.uint64)) + np.uint64(root)).view(np.int64)
-    nodes[0] = root
-    return letters.astype(np.int32), nodes
+def _prefixes(texts: list[str], roots: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For every prefix of every text, the empty one first: which text, its length, its node, and the letter after it.
+
+    A node is a hash of the letters and the root; all are computed at once, linear in the letters.
+    """
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    starts = np.cumsum(sizes) - sizes
+    POWERS.reach(int(sizes.max(initial=0)) + 1)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * POWERS.up[np.arange(len(codes)) - np.repeat(starts, sizes)], out=sums[1:])
+    row = np.repeat(np.arange(len(texts)), sizes + 1)
+    at = np.arange(len(row)) - np.repeat(starts + np.arange(len(texts)), sizes + 1)
+    place = starts[row] + at
+    nodes = mix(mix(sums[place] - sums[starts[row]] + at.astype(np.uint64)) + roots.astype(np.uint64)[row]).view(np.int64)
+    nodes[at == 0] = roots
+    letters = np.where(at < sizes[row], np.r_[codes, np.uint32(0)].astype(np.int32)[place], END)
+    return row, at.astype(np.int32), nodes, letters.astype(np.int32)
 
 
 def _places(texts: DataFrame) -> DataFrame:
     """text_node, at, node and letter: every prefix of every text, and the letter that follows it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(parts: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["text_node", "at", "node", "letter"])
-
-        parts, held = [], 0
         for batch in batches:
-            for text, root in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                letters, nodes = _prefixes(text, root)
-                parts.append((np.full(len(nodes), nodes[-1]), np.arange(len(nodes), dtype=np.int32), nodes, np.r_[letters, np.int32(END)].astype(np.int32)))
-                held += len(nodes)
-                if held > PIECE:
-                    yield made(parts)
-                    parts, held = [], 0
-        if parts:
-            yield made(parts)
+            if not batch.num_rows:
+                continue
+            row, at, nodes, letters = _prefixes(batch.column(0).to_pylist(), batch.column(1).to_numpy())
+            own = nodes[letters == END][row]
+            made = pa.RecordBatch.from_arrays([pa.array(x) for x in (own, at, nodes, letters)], names=["text_node", "at", "node", "letter"])
+            for start in range(0, made.num_rows, PIECE):
+                yield made.slice(start, PIECE)
 
     return texts.select("text", "root").mapInArrow(run, "text_node long, at int, node long, letter int")
 
@@ -87,8 +90,8 @@ def _with_nodes(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = [int(_prefixes(text, root)[1][-1]) for text, root in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=["text", "root", "n", "node"])
+            _, _, nodes, letters = _prefixes(batch.column(0).to_pylist(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes[letters == END])], names=["text", "root", "n", "node"])
 
     return texts.select("text", "root", "n").mapInArrow(run, "text string, root long, n long, node long")
 
