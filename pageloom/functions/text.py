@@ -5,7 +5,7 @@ All of it runs in the JVM on the ``html`` column; no tree is built.
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,25 +84,23 @@ def truncate(c: Column, limit: int) -> Column:
 
 # ------------------------------------------------------------------ entities
 
-# Names that are also known without a semicolon are the Latin-1 ones.
-_LEGACY = sorted(
-    (n for n, cp in name2codepoint.items() if cp < 256 or n in ("amp", "lt", "gt", "quot")),
-    key=len,
-    reverse=True,
-)
+# Names that are also known without a semicolon.
+_LEGACY = {n: c for n, c in html5.items() if not n.endswith(";")}
 _REFERENCE = (
-    rf"^(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*+;|(?:{'|'.join(_LEGACY)}))"
+    rf"^(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*+;|(?:{'|'.join(sorted(_LEGACY, key=len, reverse=True))}))"
 )
 _C1 = "".join(chr(i) for i in range(128, 160))
 _C1_AS_CP1252 = "".join(bytes([i]).decode("cp1252", "replace") for i in range(128, 160))
 
 
-# One literal; a call per entry would make every plan slow to build.
-_TABLE = "\x02".join(f"{n}\x01{chr(cp)}" for n, cp in [*name2codepoint.items(), ("apos", 39)])
+# One literal each; a call per entry would make every plan slow to build. Maps are
+# searched from the front: the names of HTML 4 first, then all others, then those
+# that may stand without a semicolon, whatever follows them.
+_COMMON = {f"{n};" for n in [*name2codepoint, "apos"]}
 
 
-def _entity_table() -> Column:
-    return F.str_to_map(F.lit(_TABLE), F.lit("\x02"), F.lit("\x01"))
+def _table(names: dict[str, str]) -> Column:
+    return F.str_to_map(F.lit("\x02".join(f"{n}\x01{c}" for n, c in names.items())), F.lit("\x02"), F.lit("\x01"))
 
 
 def _char(code: Column) -> Column:
@@ -122,12 +120,24 @@ def _decode_number(seg: Column, number: Column) -> Column:
 
 
 def _decode_name(seg: Column, name: Column) -> Column:
-    """``name`` may end in a semicolon, which is then used up too."""
+    """``name`` may end in a semicolon, which is then used up too; else its longest start that is a legacy name counts."""
+    common = _table({n: c for n, c in html5.items() if n in _COMMON})
+    others = _table({n: c for n, c in html5.items() if n.endswith(";") and n not in _COMMON})
+    whole = F.coalesce(F.try_element_at(common, name), F.try_element_at(others, name))
+
+    def by_start(start: Column) -> Column:
+        return F.when(start.isNull(), F.concat(F.lit("&"), seg)).otherwise(F.concat(start["c"], F.substr(seg, start["n"] + 1)))
+
+    lengths = sorted({len(n) for n in _LEGACY}, reverse=True)
+    legacy = _table(_LEGACY)
+
+    def starts(table: Column) -> Column:
+        found = F.transform(F.array(*[F.lit(k) for k in lengths]), lambda k: F.struct(F.try_element_at(table, F.when(F.length(name) >= k, F.substr(name, F.lit(1), k))).alias("c"), k.alias("n")))
+        return F.get(F.filter(found, lambda x: x["c"].isNotNull()), F.lit(0))
+
     return let(
-        F.try_element_at(_entity_table(), F.rtrim(name, F.lit(";"))),
-        lambda hit: F.when(hit.isNull(), F.concat(F.lit("&"), seg)).otherwise(
-            F.concat(hit, F.substr(seg, F.length(name) + 1))
-        ),
+        F.when(name.endswith(";"), whole),
+        lambda hit: F.when(hit.isNotNull(), F.concat(hit, F.substr(seg, F.length(name) + 1))).otherwise(let(starts(legacy), by_start)),
     )
 
 
@@ -145,8 +155,8 @@ def _decode_segment(seg: Column) -> Column:
 def unescape(c: Column) -> Column:
     """Decode character references, each once (``&amp;lt;`` gives ``&lt;``).
 
-    Knows numeric references and the HTML 4 names. Text without an ampersand
-    takes the short way out.
+    Knows numeric references and all names, legacy ones also without a semicolon.
+    Text without an ampersand takes the short way out.
     """
 
     def decode(text: Column) -> Column:
