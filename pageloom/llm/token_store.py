@@ -31,7 +31,7 @@ from pageloom.llm.pieces import chunks, plain_pieces
 
 SEGMENT = 1 << 18  # tokens after which a segment is closed; a longer document makes a longer one
 BLOCK = 512  # bits for each entry of a rank directory
-CACHED = 1_000_000  # chunks, and pieces, that a worker remembers: bounds memory, not the input
+CACHED = 800_000  # chunks, and pieces, that a worker remembers: bounds memory, not the input
 PIECES_AT_ONCE = 50_000  # new pieces in one call of the library
 CHARS_AT_ONCE = 1 << 22  # letters of the texts that are encoded together, unless one text has more
 _HEAD = struct.Struct("<4sQB")
@@ -168,6 +168,14 @@ class LibraryEncoder:
 
 _WORKER: dict[str, LibraryEncoder] = {}
 
+
+def _encoder(tokenizer: str, config: str) -> LibraryEncoder:
+    """The worker's encoder, which outlives a task. Found by name: a nested function would carry an empty copy of the table."""
+    if tokenizer not in _WORKER:
+        _WORKER[tokenizer] = LibraryEncoder(config)
+    return _WORKER[tokenizer]
+
+
 SEGMENTS = "part int, seq int, token_start long, n_tokens long, docs array<struct<doc_id: long, n_tokens: long, first: long>>, payload binary"
 _DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("first", pa.int64())]))
 _ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("token_start", pa.int64()), ("n_tokens", pa.int64()), ("docs", _DOCS), ("payload", pa.binary())])
@@ -185,9 +193,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: s
     end = np.array([end_id], "<u4").tobytes()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
-        if tokenizer not in _WORKER:
-            _WORKER[tokenizer] = LibraryEncoder(shared.value)
-        encode = _WORKER[tokenizer].encode
+        encode = _encoder(tokenizer, shared.value).encode
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             start, chars = 0, 0
