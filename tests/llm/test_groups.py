@@ -271,10 +271,14 @@ def _groups(normals, least=0.8):
             i = parent[i]
         return i
 
-    for i, a in enumerate(normals):
+    words = [x.split() for x in normals]
+    # Words with their number among equals: what two lines lack of each other must be edited.
+    bags = [{(w, x[:i].count(w)) for i, w in enumerate(x)} for x in words]
+    for i, x in enumerate(words):
         for j in range(i):
-            x, y = a.split(), normals[j].split()
-            if abs(len(x) - len(y)) <= 0.2 * max(len(x), len(y)) and _edit(x, y) <= (1 - least) * max(len(x), len(y)) + 1e-9:
+            longer = max(len(x), len(words[j]))
+            most = (1 - least) * longer + 1e-9
+            if longer - min(len(x), len(words[j])) <= most and longer - len(bags[i] & bags[j]) <= most and _edit(x, words[j]) <= most:
                 p, q = find(i), find(j)
                 parent[max(p, q)] = min(p, q)
     return [find(i) for i in range(len(normals))]
@@ -368,3 +372,14 @@ def test_lines_of_any_length(spark):
     texts = [" ".join(words), " ".join([*words[:9], "other", *words[10:]]), "short"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.text for r in sorted(lines.dedup_lines(docs).collect())] == [texts[0], "", "short"]
+
+
+def test_simhash(spark):
+    """Bits by majority, whatever counts them: lanes of 8 or 16 bits, or a counter for each."""
+    rng = np.random.default_rng(5)
+    rows = [rng.integers(-(2**63), 2**63 - 1, n).tolist() for n in (1, 2, 5, 34, 127, 128, 300, 32_767, 32_768)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, h array<bigint>")
+    got = {r.i: (r.p, r.c) for r in df.select("i", lines.simhash(F.col("h")).alias("p"), lines._counted(F.col("h")).alias("c")).collect()}
+    for i, row in enumerate(rows):
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in row) > len(row))
+        assert [x % (1 << 64) for x in got[i]] == [want, want]
