@@ -3,10 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
+from typing import TypeVar
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
+
+def built(make: Callable[..., T]) -> Callable[..., T]:
+    """Write down the columns that ``make`` gives once per session and arguments.
+
+    Every call on a column goes to the JVM, and a list extraction has thousands; a
+    column has no ties to a table, so it can be used again. Arguments are plain values.
+    """
+    held: dict[tuple, T] = {}
+
+    @wraps(make)
+    def given(*args: object) -> T:
+        context = SparkContext._active_spark_context
+        key = (id(context), getattr(context, "applicationId", None), *args)
+        if key not in held:
+            held[key] = make(*args)
+        return held[key]
+
+    return given
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``.

@@ -68,6 +68,7 @@ ADDRESS_SELECTOR = "address, [itemprop='address'], [itemprop='streetAddress'], .
 _S = f"[{WS}]"
 # Each rewrite has a cheap test that starts at a rare character; hardly any text
 # passes one.
+# Spellings of @ and dot that are read as such.
 _REWRITES = (
     (rf"[\[({{<]{_S}*(?:at|@|[äÄ]t)", rf"{_S}*[\[({{<]{_S}*(?:at|@|[äÄ]t){_S}*[\])}}>]{_S}*", "@"),
     (

@@ -129,7 +129,7 @@ def normalize_url(c: Column) -> Column:
 
 
 def normalize_error(c: Column) -> Column:
-    """Why :func:`normalize_url` gave null, else null."""
+    """Why :func:`normalize_url` gave null, else null. The messages are fixed values."""
     return let(
         F.struct(_clean(c).alias("v"), normalize_url(c).alias("ok")),
         lambda x: F.when(x["ok"].isNotNull(), F.lit(None).cast("string"))

@@ -1,8 +1,7 @@
-"""Walking from page to page inside the captured table.
+"""Walking from page to page inside the captured table: the contact pages of a site, in queue order.
 
-Two walks: the contact pages of a site, in queue order, and the chain of next
-pages of a list. Both only move URLs and ids; the markup is fetched afterwards
-for the pages that were visited.
+The walk only moves URLs and ids; the markup is fetched afterwards for the pages
+that were visited. The pages of lists are walked in ``paginate``.
 """
 
 from __future__ import annotations
@@ -142,33 +141,6 @@ def walk_errors(targets: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def chain_pages(starts: DataFrame, next_edges: DataFrame, max_pages: int) -> DataFrame:
-    """``target_id, page_idx, fetch_key``: follow next links from each start.
-
-    ``starts`` has target_id and fetch_key, ``next_edges`` has fetch_key and
-    next_key. Steps are doubled (1, 2, 4, ... links at once), so fifty pages
-    take six joins instead of fifty.
-    """
-    chain = starts.select("target_id", F.lit(0).alias("page_idx"), "fetch_key")
-    jump = next_edges.select("fetch_key", "next_key")
-    step = 1
-    while step < max_pages:
-        further = chain.join(jump, "fetch_key").select(
-            "target_id",
-            (F.col("page_idx") + step).alias("page_idx"),
-            F.col("next_key").alias("fetch_key"),
-        )
-        chain = chain.unionByName(further.where(F.col("page_idx") < max_pages))
-        step *= 2
-        if step < max_pages:
-            # Both tables are used twice in the next step: without this the
-            # plan would double with every step.
-            onward = jump.select(F.col("fetch_key").alias("next_key"), F.col("next_key").alias("onward"))
-            jump = settle(jump.join(onward, "next_key").select("fetch_key", F.col("onward").alias("next_key")))
-            chain = settle(chain)
-    return chain
-
-
 # Origins of this many sites fit a broadcast table of about 50 MB.
 _BROADCAST_ORIGINS = 500_000
 # Ids of this many pages fit a broadcast table of about 50 MB.

@@ -8,7 +8,6 @@ Only de-duplication and caps look across pages.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from pyspark.sql.window import Window as W
 
 from pageloom.functions import media, prices, urls
 from pageloom.functions import text as tx
-from pageloom.functions.base import extract_or_null, first_of, let, select_where, unnest
+from pageloom.functions.base import built, first_of, let, select_where, unnest
 from pageloom.operators import dom, select
 
 # Selectors tried, in order, when none is given.
@@ -62,13 +61,22 @@ def _meaningful(tree: Column, content: Column, node: Column) -> Column:
     return let(tx.collapse(dom.text_of(content, node)), judge)
 
 
-def detected(tree: Column, content: Column, sample: int | None = None) -> Column:
-    """Best of the known selectors: ``struct<score, rank, selector, matches>`` or null.
+@built
+def known_plans() -> Column:
+    """The known selectors as data, in the order they are tried."""
+    return select.literal([{"selector": s, "plan": select.plan(s)} for s in AUTO_SELECTORS], f"array<struct<selector: string, plan: {select.PLAN}>>")
+
+
+@built
+def detected(sample: int | None = None) -> Column:
+    """Best of the known selectors: ``struct<order, rank, selector, matches, meaningful, score>`` or null.
 
     Every match is judged, or the first ``sample``; a browser tool would look at 40.
+    Of a table with ``nodes`` and ``content``.
     """
+    tree, content = F.col("nodes"), F.col("content")
 
-    def score(rank: int, selector: str) -> Column:
+    def score(known: Column, rank: Column) -> Column:
         def judge(ids: Column) -> Column:
             looked_at = first_of(ids, sample)
             good = F.size(
@@ -79,17 +87,17 @@ def detected(tree: Column, content: Column, sample: int | None = None) -> Column
                 (F.size(ids) >= MIN_MATCHES),
                 F.struct(
                     (-value).alias("order"),
-                    F.lit(rank).alias("rank"),
-                    F.lit(selector).alias("selector"),
+                    rank.alias("rank"),
+                    known["selector"].alias("selector"),
                     F.size(ids).alias("matches"),
                     good.alias("meaningful"),
                     value.alias("score"),
                 ),
             )
 
-        return let(select.match_ids(tree, selector), judge)
+        return let(select.match_ids_by(tree, known["plan"]), judge)
 
-    scored = F.array(*[score(i, s) for i, s in enumerate(AUTO_SELECTORS)])
+    scored = F.transform(known_plans(), score)
     usable = F.filter(scored, lambda s: s.isNotNull() & (s["meaningful"] >= MIN_MATCHES))
     return F.get(F.array_sort(usable), F.lit(0))
 
@@ -97,7 +105,7 @@ def detected(tree: Column, content: Column, sample: int | None = None) -> Column
 def detect_selectors(pages: DataFrame, sample: int | None = None) -> DataFrame:
     """``page_id, selector, matches, score``; a null selector where none fits."""
     parsed = dom.parse(pages.select("page_id", "html"))
-    best = parsed.select("page_id", detected(F.col("nodes"), F.col("content"), sample).alias("best"))
+    best = parsed.select("page_id", detected(sample).alias("best"))
     return best.select("page_id", "best.selector", "best.matches", "best.score")
 
 
@@ -144,21 +152,26 @@ def _table_headers(tree: Column, content: Column) -> Column:
     )
 
 
-def explode_items(parsed: DataFrame, item_ids: Column, keys: list[str], tables: bool = True) -> DataFrame:
-    """One row per matched element with all its extraction needs.
+@built
+def _items(tables: bool, outer: bool) -> Column:
+    """The elements ``ids`` names, each with its descendants, text, table headers, and what its fields hit.
 
-    Adds ``item_idx``, ``me`` (the element), ``sub`` (its descendants), ``own``
-    (its text bytes), ``headers`` (of the table it is in) and ``base``.
+    ``hits`` are places among the descendants, one for each of ``specs``. With
+    ``outer`` a page without matches has one null.
     """
     tree, content = F.col("nodes"), F.col("content")
+    # For each field with a selector, and each element, the next match on the page.
+    after = F.transform("specs", lambda f: F.when(f["plan"].isNotNull(), let(select.match_ids_by(tree, f["plan"]), lambda ids: select.next_ids(ids, F.size(tree)))))
 
-    def items(table_list: Column | None) -> Column:
+    def hit(node: Column, following: Column) -> Column:
+        return let(F.get(following, node["id"]), lambda i: F.when(i <= node["stop_id"], i - node["id"] - 1))
+
+    def items(bound: Column) -> Column:
         def item(node: Column) -> Column:
-            if table_list is None:
-                headers = F.lit(None).cast("array<string>")
-            else:
+            headers = F.lit(None).cast("array<string>")
+            if tables:
                 around = F.filter(
-                    table_list, lambda t: (t["id"] < node["id"]) & (node["id"] <= t["stop_id"])
+                    bound["tables"], lambda t: (t["id"] < node["id"]) & (node["id"] <= t["stop_id"])
                 )
                 headers = F.when(node["tag"] == "tr", F.try_element_at(around, F.lit(-1))["headers"])
             return F.struct(
@@ -166,12 +179,29 @@ def explode_items(parsed: DataFrame, item_ids: Column, keys: list[str], tables:
                 dom.subtree(tree, node).alias("sub"),
                 F.substring(content, node["text_from"] + 1, node["text_to"] - node["text_from"]).alias("own"),
                 headers.alias("headers"),
+                F.transform(bound["after"], lambda following: hit(node, following)).alias("hits"),
             )
 
-        return F.transform(F.transform(item_ids, lambda i: dom.node_at(tree, i)), item)
+        return F.transform(F.transform("ids", lambda i: dom.node_at(tree, i)), item)
+
+    found = _table_headers(tree, content) if tables else F.lit(None).cast("array<int>")
+    every = let(F.struct(found.alias("tables"), after.alias("after")), items)
+    return F.when(F.size(every) > 0, every).otherwise(F.array(F.lit(None))) if outer else every
+
+
+def explode_items(parsed: DataFrame, keys: list[str], tables: bool = True, outer: bool = False) -> DataFrame:
+    """One row per matched element with all its extraction needs.
+
+    ``parsed`` has url, nodes, content, ``ids`` of the elements and ``specs`` of fields,
+    or null. Adds ``item_idx``, ``me`` (the element), ``sub`` (its descendants), ``own``
+    (its text bytes), ``headers`` (of the table it is in), ``hits`` and ``base``.
+    """
+    return unnest(parsed, [*keys, "specs", _base()], _items(tables, outer), "item_idx")
+
 
-    every = let(_table_headers(tree, content), items) if tables else items(None)
-    return unnest(parsed, [*keys, urls.base_parts(F.col("url")).alias("base")], every, "item_idx")
+@built
+def _base() -> Column:
+    return urls.base_parts(F.col("url")).alias("base")
 
 
 def _text_in(node: Column) -> Column:
@@ -215,33 +245,33 @@ def _image(own_tag: Column) -> Column:
     return F.get(F.filter(resolved, lambda u: u.isNotNull()), F.lit(0))
 
 
-def generic_columns(items: DataFrame, keys: list[str], extra: list[str]) -> tuple[DataFrame, list[Column]]:
-    """The seven columns every non-table item has, and the input they need.
-
-    Texts are whole; a browser tool would cut them at 500 characters, and a
-    title that is a first line at 200.
-    """
+@built
+def _generic_inputs() -> list[Column]:
     me = F.col("me")
-    staged = items.select(
-        *keys,
-        "item_idx",
-        *extra,
-        "base",
+    return [
         tx.collapse(F.col("own").cast("string")).alias("_text"),
         tx.collapse(F.coalesce(_text_in(_first(TITLE_SELECTOR)), F.lit(""))).alias("_heading"),
         F.when(me["tag"] == "a", me).otherwise(_first("a[href]")).alias("_link"),
         tx.collapse(F.coalesce(_text_in(_first(PRICE_SELECTOR)), F.lit(""))).alias("_priced"),
         _image(me["tag"]).alias("image"),
-    )
+    ]
+
+
+@built
+def _price_and_link() -> list[Column]:
     text = F.col("_text")
     in_price_node = prices.price_text(F.when(F.col("_priced") != "", F.col("_priced")).otherwise(text))
-    with_price = staged.select(
-        "*",
+    return [
         tx.collapse(F.coalesce(in_price_node, prices.price_text(text))).alias("price"),
         urls.resolve(_attr(F.col("_link"), "href"), F.col("base")).alias("link"),
-    )
+    ]
+
+
+@built
+def _generic() -> list[Column]:
+    text = F.col("_text")
     first_line = F.get(F.split(text, "\n"), F.lit(0))
-    columns = [
+    return [
         F.coalesce(
             F.nullif("_heading", F.lit("")),
             F.nullif(_attr(F.col("_link"), "title"), F.lit("")),
@@ -254,14 +284,22 @@ def generic_columns(items: DataFrame, keys: list[str], extra: list[str]) -> tupl
         F.col("image"),
         text.alias("text"),
     ]
-    return with_price, columns
 
 
-def with_table_columns(items: DataFrame, keys: list[str], is_row: Column) -> DataFrame:
-    """Header-keyed cells of table rows: ``keys`` in order and a ``values`` map.
+def generic_columns(items: DataFrame, keys: list[str], extra: list[str]) -> tuple[DataFrame, list[Column]]:
+    """The seven columns every non-table item has, and the input they need.
 
-    Both are null for other elements and for rows without any text.
+    Texts are whole; a browser tool would cut them at 500 characters, and a
+    title that is a first line at 200.
     """
+    staged = items.select(*keys, "item_idx", *extra, "base", *_generic_inputs())
+    return staged.select("*", *_price_and_link()), _generic()
+
+
+@built
+def _entries() -> Column:
+    """The cells of a table row as names and values; null for other elements and for rows without any text."""
+    is_row = (F.col("me")["tag"] == "tr") & F.col("specs").isNull()
     me, sub, headers = F.col("me"), F.col("sub"), F.col("headers")
     cells = F.filter(F.when(is_row, sub), lambda n: n["tag"].isin("td", "th"))
 
@@ -283,9 +321,11 @@ def with_table_columns(items: DataFrame, keys: list[str], is_row: Column) -> Dat
         return F.when(c["href"].isNull(), own).otherwise(F.concat(own, linked))
 
     found = F.flatten(F.transform(F.transform(cells, cell), entries))
-    rows = items.withColumn(
-        "_entries", let(found, lambda es: F.when(F.exists(es, lambda e: e["value"] != ""), es))
-    )
+    return let(found, lambda es: F.when(F.exists(es, lambda e: e["value"] != ""), es)).alias("_entries")
+
+
+@built
+def _keys_and_values() -> list[Column]:
     names = F.array_distinct(F.transform("_entries", lambda e: e["name"]))
     # A repeated name keeps its first place and its last value.
     values = let(
@@ -298,27 +338,48 @@ def with_table_columns(items: DataFrame, keys: list[str], is_row: Column) -> Dat
             ),
         ),
     )
-    return rows.withColumns({"keys": names, "values": values}).drop("_entries")
+    return [names.alias("keys"), values.alias("values")]
 
 
-def _field_value(spec: dict[str, str], place: int) -> Column:
-    node = F.col(f"_node_{place}")
-    if spec.get("attr"):
-        value = _attr(node, spec["attr"].lower())
-        if spec["attr"] in ("href", "src"):
-            value = urls.resolve(value, F.col("base"))
-    else:
-        value = tx.collapse(_text_in(node))
-    if spec.get("regex"):
-        value = _regex_value(value, spec["regex"])
-    return F.nullif(value, F.lit(""))
+def with_table_columns(items: DataFrame) -> DataFrame:
+    """Header-keyed cells of table rows: ``keys`` in order and a ``values`` map, null for other elements."""
+    return items.select("*", _entries()).select("*", *_keys_and_values()).drop("_entries")
 
 
-def _regex_value(value: Column, pattern: str) -> Column:
-    """First group where the pattern has one, else the whole match."""
+# ------------------------------------------------------------------ fields
+
+SPECS = f"array<struct<name: string, plan: {select.PLAN}, attr: string, pattern: string, part: int>>"
+
+
+def field_spec(name: str, selector: str | None, attr: str | None, pattern: str | None) -> dict:
+    """A field as a row of ``SPECS``; ``part`` is the group of the pattern that is read."""
+    return {"name": name, "plan": select.plan(selector) if selector else None, "attr": attr or None, "pattern": pattern or None, "part": int(_has_group(pattern or ""))}
+
+
+def _has_group(pattern: str) -> bool:
     bare = re.sub(r"\\.|\[\^?\]?[^\]]*\]", "", pattern)
-    has_group = re.search(r"\((?!\?)|\(\?<(?![=!])", bare) is not None
-    return extract_or_null(value, pattern, int(has_group))
+    return re.search(r"\((?!\?)|\(\?<(?![=!])", bare) is not None
+
+
+@built
+def field_values() -> Column:
+    """The value of each of ``specs`` for an item, null where it has none."""
+
+    def read(node: Column, spec: Column) -> Column:
+        attr = F.try_element_at(node["attrs"], F.lower(spec["attr"]))
+        linked = F.when(spec["attr"].isin("href", "src"), urls.resolve(attr, F.col("base"))).otherwise(attr)
+        return F.when(spec["attr"].isNotNull(), linked).otherwise(tx.collapse(_text_in(node)))
+
+    def cut(value: Column, spec: Column) -> Column:
+        # The first group where the pattern has one, else the whole match.
+        found = F.when(F.rlike(value, spec["pattern"]), F.call_function("regexp_extract", value, spec["pattern"], spec["part"]))
+        return F.nullif(F.when(spec["pattern"].isNotNull(), found).otherwise(value), F.lit(""))
+
+    def value(spec: Column, place: Column) -> Column:
+        node = F.when(spec["plan"].isNull(), F.col("me")).otherwise(F.get("sub", F.get("hits", place)))
+        return let(let(node, lambda n: read(n, spec)), lambda v: cut(v, spec))
+
+    return F.transform("specs", value)
 
 
 def with_field_columns(items: DataFrame, keys: list[str], fields: dict[str, dict[str, str]]) -> DataFrame:
@@ -326,28 +387,15 @@ def with_field_columns(items: DataFrame, keys: list[str], fields: dict[str, dict
     taken = {k.lower() for k in (*keys, "item_idx", "target_id", "page_idx", "item_no")} & {n.lower() for n in fields}
     if taken:
         raise ValueError(f"Names of fields are those of keys: {', '.join(sorted(taken))}")
-    nodes = []
-    for place, spec in enumerate(fields.values()):
-        selector = spec.get("selector")
-        if not selector:
-            node = F.col("me")
-        elif select.is_local(selector):
-            node = _first(selector)
-        else:
-            # Ids matched on the whole page, since ancestors may lie outside.
-            hit = F.filter(
-                F.col(f"_ids_{place}"), lambda i: (i > F.col("me")["id"]) & (i <= F.col("me")["stop_id"])
-            )
-            node = F.get(F.col("sub"), F.get(hit, F.lit(0)) - F.col("me")["id"] - 1)
-        nodes.append(node.alias(f"_node_{place}"))
-    staged = items.select(*keys, "item_idx", "base", "me", "own", *nodes)
-    values = [_field_value(spec, place).alias(name) for place, (name, spec) in enumerate(fields.items())]
-    return select_where(
-        staged,
-        [*keys, "item_idx"],
-        values,
-        lambda r: reduce(lambda a, b: a | b, [r[name].isNotNull() for name in fields]),
-    )
+    rows = select_where(items, [*keys, "item_idx"], [field_values().alias("_values")], lambda r: F.exists(r["_values"], lambda v: v.isNotNull()))
+    return rows.select(*keys, "item_idx", *[F.get("_values", F.lit(i)).alias(name) for i, name in enumerate(fields)])
+
+
+def specs_of(fields: dict[str, dict[str, str]] | None) -> Column:
+    """Fields as a literal column of ``SPECS``; null without any."""
+    if not fields:
+        return F.lit(None).cast(SPECS)
+    return select.literal([field_spec(n, f.get("selector"), f.get("attr"), f.get("regex")) for n, f in fields.items()], SPECS)
 
 
 def extract_items(
@@ -356,53 +404,47 @@ def extract_items(
     fields: dict[str, dict[str, str]] | None = None,
     keys: list[str] | None = None,
 ) -> DataFrame:
-    """Rows of every page. ``selector`` is one for all, or a column of known ones.
+    """Rows of every page. ``selector`` is one for all, or a column of ``select.PLAN``.
 
     With ``fields`` each field is a column. Otherwise table rows give ``keys``
     and ``values`` and other elements the seven generic columns.
     """
     keys = keys or ["page_id"]
-    parsed = dom.parse(pages.select(*{*keys, "url", "html"}))
-    tree = F.col("nodes")
-    if isinstance(selector, str):
-        ids = select.match_ids(tree, selector)
-    else:
-        ids = F.lit(None).cast("array<int>")
-        for known in AUTO_SELECTORS:
-            ids = F.when(selector == known, select.match_ids(tree, known)).otherwise(ids)
-    if fields:
-        scoped = {n: s["selector"] for n, s in fields.items() if s.get("selector") and not select.is_local(s["selector"])}
-        places = {n: i for i, n in enumerate(fields)}
-        extra = [f"_ids_{places[n]}" for n in scoped]
-        parsed = parsed.select("*", *[select.match_ids(tree, s).alias(f"_ids_{places[n]}") for n, s in scoped.items()])
-        items = explode_items(parsed, ids, [*keys, *extra], tables=False)
-        return with_field_columns(items, keys, fields)
-    items = explode_items(parsed, ids, keys)
-    return _dispatch(items, keys)
-
-
-def _dispatch(items: DataFrame, keys: list[str]) -> DataFrame:
-    """Table rows one way, everything else the other, in a single pass."""
+    own = [] if isinstance(selector, str) else [selector.alias("_plan")]
+    parsed = dom.parse(pages.select(*dict.fromkeys([*keys, "url", "html"]), *own))
+    ids = select.match_ids(F.col("nodes"), selector) if isinstance(selector, str) else select.match_ids_by(F.col("nodes"), F.col("_plan"))
+    parsed = parsed.select(*dict.fromkeys([*keys, "url"]), "nodes", "content", ids.alias("ids"), specs_of(fields).alias("specs"))
+    items = explode_items(parsed, keys, tables=not fields)
+    return with_field_columns(items, keys, fields) if fields else dispatched(items, keys)
+
+
+def dispatched(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Table rows one way, everything else the other, in a single pass; rows without anything are dropped."""
+    staged, columns = dispatch_inputs(items, keys)
+    return select_where(staged, [*keys, "item_idx"], [F.col("is_row"), F.col("keys"), F.col("values"), *columns], is_usable).drop("is_row")
+
+
+def dispatch_inputs(items: DataFrame, keys: list[str], extra: list[str] | None = None) -> tuple[DataFrame, list[Column]]:
     is_row = F.col("me")["tag"] == "tr"
-    rows = with_table_columns(items, keys, is_row)
-    # The generic columns of a table row are not computed: it has no input left.
+    rows = with_table_columns(items)
+    # The generic columns of a table row, or of an item with fields, are not computed: it has no input left.
+    plain = ~is_row & F.col("specs").isNull()
     rest = rows.select(
         *keys,
         "item_idx",
+        *(extra or []),
         "base",
         "keys",
         "values",
         is_row.alias("is_row"),
-        *[F.when(~is_row, F.col(c)).alias(c) for c in ("me", "sub", "own")],
+        *[F.when(plain, F.col(c)).alias(c) for c in ("me", "sub", "own")],
     )
-    staged, columns = generic_columns(rest, keys, ["is_row", "keys", "values"])
+    return generic_columns(rest, keys, ["is_row", "keys", "values", *(extra or [])])
 
-    def usable(r: Column) -> Column:
-        generic = (r["title"] != "") | r["link"].isNotNull() | r["image"].isNotNull()
-        return F.when(r["is_row"], r["keys"].isNotNull()).otherwise(generic)
 
-    every = [F.col("is_row"), F.col("keys"), F.col("values"), *columns]
-    return select_where(staged, [*keys, "item_idx"], every, usable).drop("is_row")
+def is_usable(r: Column) -> Column:
+    generic = (r["title"] != "") | r["link"].isNotNull() | r["image"].isNotNull()
+    return F.when(r["is_row"], r["keys"].isNotNull()).otherwise(generic)
 
 
 def as_record(columns: list[str]) -> Column:
@@ -417,45 +459,42 @@ def fingerprint(columns: list[str]) -> Column:
 # ------------------------------------------------------------------ across pages
 
 
-def distinct_items(rows: DataFrame) -> DataFrame:
-    """First of equal records per target, in page and item order.
+def distinct_items(rows: DataFrame, marked: str | None = None) -> DataFrame:
+    """First of equal records per target, in page and item order; with their fingerprints in column ``marked``.
 
     Grouped by (target, fingerprint) with a combine before the shuffle: a
     record copied a billion times costs one row per task.
     """
     payload = [c for c in rows.columns if c not in ("target_id", "page_idx", "item_idx")]
-    marked = rows.withColumn("_fp", fingerprint(payload))
+    prints = rows.withColumn("_fp", fingerprint(payload))
     kept = F.struct("page_idx", "item_idx", *[F.col(f"`{c}`") for c in payload])
-    best = marked.groupBy("target_id", "_fp").agg(
+    best = prints.groupBy("target_id", "_fp").agg(
         F.min_by(kept, F.struct("page_idx", "item_idx")).alias("k")
     )
-    return best.select("target_id", "k.*")
+    return best.select("target_id", *([F.col("_fp").alias(marked)] if marked else []), "k.*")
 
 
-def walked_pages(chain: DataFrame, items: DataFrame, max_items: int) -> DataFrame:
+def walked_pages(chain: DataFrame, added: DataFrame) -> DataFrame:
     """Pages a target really reads, with ``added`` rows and rows ``before``.
 
-    After the first page, a page without new rows ends the walk; so does
-    reaching the row limit.
+    ``chain`` has target_id, page_idx, max_items, and ``carried``, the rows of earlier
+    rounds; ``added`` the new rows of its pages. After the first page, a page without
+    new rows ends the walk; so does reaching the row limit. ``ends`` says that a page
+    is the last for one of these reasons.
     """
-    added = items.groupBy("target_id", "page_idx").agg(F.count("*").alias("added"))
     counted = chain.join(added, ["target_id", "page_idx"], "left").withColumn(
         "added", F.coalesce("added", F.lit(0))
     )
     earlier = W.partitionBy("target_id").orderBy("page_idx").rowsBetween(W.unboundedPreceding, -1)
-    dry = F.when((F.col("page_idx") > 0) & (F.col("added") == 0), 1).otherwise(0)
-    return (
-        counted.select(
-            "*",
-            F.coalesce(F.sum("added").over(earlier), F.lit(0)).alias("before"),
-            F.coalesce(F.sum(dry).over(earlier), F.lit(0)).alias("_dry"),
-        )
-        .where((F.col("_dry") == 0) & (F.col("before") < max_items))
-        .drop("_dry")
-    )
+    dry = (F.col("page_idx") > 0) & (F.col("added") == 0)
+    before = F.col("carried") + F.coalesce(F.sum("added").over(earlier), F.lit(0))
+    ended = F.coalesce(F.max(dry).over(earlier), F.lit(False))
+    rows = counted.select("*", before.alias("before"), ended.alias("_ended"), dry.alias("_dry"))
+    rows = rows.where(~F.col("_ended") & (F.col("before") < F.col("max_items")))
+    return rows.withColumn("ends", F.col("_dry") | (F.col("before") + F.col("added") >= F.col("max_items"))).drop("_ended", "_dry", "carried")
 
 
-def capped_items(items: DataFrame, walked: DataFrame, max_items: int) -> DataFrame:
+def capped_items(items: DataFrame, walked: DataFrame) -> DataFrame:
     """The first ``max_items`` rows of each target, over the pages it reads.
 
     Ranks are taken within a page and shifted by the rows before it, so no
@@ -463,10 +502,10 @@ def capped_items(items: DataFrame, walked: DataFrame, max_items: int) -> DataFra
     """
     within = W.partitionBy("target_id", "page_idx").orderBy("item_idx")
     ranked = items.withColumn("_rank", F.row_number().over(within))
-    shift = walked.select("target_id", "page_idx", "before")
+    shift = walked.select("target_id", "page_idx", "before", F.col("max_items").alias("_most"))
     return (
         ranked.join(shift, ["target_id", "page_idx"])
         .withColumn("item_no", F.col("before") + F.col("_rank"))
-        .where(F.col("item_no") <= max_items)
-        .drop("_rank", "before")
+        .where(F.col("item_no") <= F.col("_most"))
+        .drop("_rank", "before", "_most")
     )

@@ -118,6 +118,28 @@ def list_errors(spark: SparkSession, sf: str) -> DataFrame:
     return found.errors
 
 
+def list_per_target(spark: SparkSession, sf: str) -> DataFrame:
+    """One job, four kinds of targets: each with selectors, fields, pages and limits of its own."""
+    kind = F.col("target_id") % 4
+    named = F.array(
+        F.struct(F.lit("part").alias("name"), F.lit("h3").alias("selector"), F.lit(None).cast("string").alias("attr"), F.lit(r"(\d+)$").alias("regex")),
+        F.struct(F.lit("to").alias("name"), F.lit("div > a").alias("selector"), F.lit("href").alias("attr"), F.lit(None).cast("string").alias("regex")),
+    )
+    targets = synth.shop_targets(spark, sf).select(
+        "*",
+        F.when(kind == 0, ".product-card").when(kind == 1, "div.grid > div:has(img)").when(kind == 3, "[class^='product']").alias("item_selector"),
+        F.when(kind == 1, synth.shop_pattern()).alias("page_url_pattern"),
+        F.when(kind == 1, 2).alias("start_page"),
+        F.when(kind == 1, 3).when(kind == 3, 2).otherwise(99).alias("max_pages"),
+        F.when(kind == 2, 30).alias("max_items"),
+        F.when(kind == 3, ".pagination > a[rel=next]").alias("next_page_selector"),
+        F.when(kind == 3, named).alias("fields"),
+    )
+    found = paginate.extract_list(targets, synth.captured(synth.shop_pages(spark, sf, synth.part_card())))
+    fields = F.col("fields")
+    return found.items.select("target_id", "page_idx", "item_no", "title", fields["part"].alias("part"), fields["to"].alias("to"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -133,6 +155,7 @@ QUERIES = {
         list_cap,
         list_summary,
         list_errors,
+        list_per_target,
     )
 }
 
@@ -202,6 +225,13 @@ ORACLE = {
                array_to_string(list_transform(range(1, max(no) + 2),
                    lambda i: 'https://shop.test/s' || shop || '/list?page=' || i), ' ') AS pages_scraped
         FROM {_PARTS} GROUP BY shop""",
+    "list_per_target": f"""
+        SELECT shop AS target_id, CASE shop % 4 WHEN 1 THEN no - 1 ELSE no END AS page_idx,
+               CAST(CASE shop % 4 WHEN 1 THEN no - 1 ELSE no END * 20 + item_idx + 1 AS BIGINT) AS item_no,
+               CASE WHEN shop % 4 <> 3 THEN title END AS title, CASE WHEN shop % 4 = 3 THEN CAST(p_partkey AS VARCHAR) END AS part,
+               CASE WHEN shop % 4 = 3 THEN 'https://shop.test/item/' || p_partkey END AS "to"
+        FROM {_PARTS}
+        WHERE CASE shop % 4 WHEN 0 THEN true WHEN 1 THEN no BETWEEN 1 AND 3 WHEN 2 THEN no * 20 + item_idx < 30 ELSE no < 2 END""",
     "list_errors": """
         SELECT DISTINCT p_partkey // 100 AS target_id, 'list' AS op,
                'No row came of the elements that .no-such-item finds on https://shop.test/s' || p_partkey // 100 || '/list?page=1' AS message

@@ -40,12 +40,14 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     That is the one the cluster names in ``spark.checkpoint.dir``; where it is
-    unset, as in tests, a folder in the session's warehouse, which is shared by
-    definition. Never a temporary folder of one machine.
+    unset, as in tests on one machine, a folder in the session's warehouse. A
+    cluster has to name one: a folder of the driver is not seen by executors.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         context.setCheckpointDir(named)
     return named.rstrip("/")

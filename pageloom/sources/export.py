@@ -217,7 +217,7 @@ def export(df: DataFrame, path: str, fmt: str | None = None, bom: bool = True, m
             .csv(path)
         )
         if seen.get["records"] == 0:
-            raise ValueError("Nothing to export: the dataset is empty.")
+            raise ValueError("There are no rows to write.")
     elif fmt == "json":
         columns = df.columns
         counted = df.observe(seen, F.count(F.lit(1)).alias("records"))
