@@ -101,7 +101,7 @@ def test_formats(spark, tmp_path):
     assert json.loads(_csv(path)) == {"a": 1, "b": None}
     with pytest.raises(ValueError):
         sink.export(spark.range(1), str(tmp_path / "z"), "xml")
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="no rows"):
         sink.export(spark.range(0), str(tmp_path / "e.csv"))
 
 
