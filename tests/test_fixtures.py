@@ -262,3 +262,26 @@ def test_order_does_not_matter(spark, parts):
 
 
 _SEEN: dict = {}
+
+
+def test_options_of_each_target(spark):
+    """Selectors, fields and limits as columns; a target that can't be used says why and stops no other."""
+    named = [("ware", "h4", None, None), ("nummer", "a", "href", r"(\d+)$")]
+    rows = [
+        (1, f"{fx.BASE}/sortiment?seite=1", "ol > li", 2, None, named),
+        (2, f"{fx.BASE}/sortiment?seite=1", None, 4, 5, None),
+        (3, f"{fx.BASE}/sortiment?seite=1", "li:hover", 1, None, None),
+        (4, f"{fx.BASE}/liegeplaetze", "table tbody tr", None, None, None),
+        (5, f"{fx.BASE}/sortiment?seite=1", "li.product", 0, None, None),
+    ]
+    field = "array<struct<name: string, selector: string, attr: string, regex: string>>"
+    targets = spark.createDataFrame(rows, f"target_id long, url string, item_selector string, max_pages int, max_items int, fields {field}")
+    found = paginate.extract_list(targets, fx.pages_df(spark))
+    by = {}
+    for r in found.items.orderBy("target_id", "item_no").collect():
+        by.setdefault(r.target_id, []).append(r)
+    assert [r.fields["ware"] for r in by[1]][:3] == list(fx.GOODS)[:3] and len(by[1]) == 6 and by[1][5].fields["nummer"] == "005"
+    assert [r.title for r in by[2]] == list(fx.GOODS)[:5] and by[2][0].fields is None
+    assert [r["values"]["Steg"] for r in by[4]] == ["Nord", "Süd"]
+    problems = {r.target_id: r.message for r in found.errors.collect()}
+    assert set(problems) == {3, 5} and "hover" in problems[3] and "at least 1" in problems[5]
