@@ -14,6 +14,8 @@ from pageloom.sources import export as sink
 from pageloom.sources.captured import PAGES, read_pages, read_table, spread
 from pageloom.streaming import incremental
 
+DELIVERIES = 4
+
 
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with quotes, commas and line breaks, to CSV and back."""
@@ -136,16 +138,22 @@ def recent_runs(spark: SparkSession, sf: str) -> DataFrame:
     return runlog.recent(log).select("run_id", "type", "status", "duration_ms", F.col("counts")["k"].alias("k"))
 
 
-def _landed(spark: SparkSession, df: DataFrame) -> str:
-    """Pages as a folder of four files, as if they had come in one by one."""
-    folder = scratch_folder(spark, "landed")
-    df.select(*[f.name for f in PAGES.fields]).repartition(4, "page_id").write.parquet(folder)
-    return folder
+def _landed(df: DataFrame, source: DataFrame) -> DataFrame:
+    """Pages as a stream of four deliveries, as if they had come in one after the other.
+
+    A delivery has as many files as ``source``, the table they are made from, has
+    splits, so that writing and reading it keeps all cores busy at any size.
+    """
+    files = source.rdd.getNumPartitions()
+    folder = scratch_folder(df.sparkSession, "landed")
+    df.select(*[f.name for f in PAGES.fields]).repartition(DELIVERIES * files, "page_id").write.parquet(folder)
+    return incremental.page_stream(df.sparkSession, folder, files)
 
 
 def stream_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """The page summary, file by file."""
-    stream = incremental.page_stream(spark, _landed(spark, read_table(spark, sf, "pages")), 1)
+    """The page summary, delivery by delivery."""
+    captured = read_table(spark, sf, "pages")
+    stream = _landed(captured, captured)
     out = scratch_folder(spark, "summary")
 
     def summary(df: DataFrame) -> DataFrame:
@@ -160,7 +168,8 @@ def stream_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_links(spark: SparkSession, sf: str) -> DataFrame:
     """Link URLs that are new over all batches."""
-    stream = incremental.page_stream(spark, _landed(spark, read_table(spark, sf, "pages")), 1)
+    captured = read_table(spark, sf, "pages")
+    stream = _landed(captured, captured)
     out = scratch_folder(spark, "links")
     incremental.extract_stream(
         stream, incremental.distinct_links, out, scratch_folder(spark, "state")
@@ -171,7 +180,7 @@ def stream_links(spark: SparkSession, sf: str) -> DataFrame:
 def stream_items(spark: SparkSession, sf: str) -> DataFrame:
     """Brand cards that are new over all batches."""
     shops = synth.shop_pages(spark, sf, synth.brand_card())
-    stream = incremental.page_stream(spark, _landed(spark, shops), 1)
+    stream = _landed(shops, read_table(spark, sf, "part"))
     out = scratch_folder(spark, "items")
     incremental.extract_stream(
         stream, lambda s: incremental.distinct_items(s, ".product-card"), out, scratch_folder(spark, "state")
