@@ -96,11 +96,12 @@ def _with_nodes(texts: DataFrame) -> DataFrame:
     return texts.select("text", "root", "n").mapInArrow(run, "text string, root long, n long, node long")
 
 
-def trie(texts: DataFrame, run: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Edges of the tries below all roots, and the texts with their nodes.
+def trie(texts: DataFrame, run: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges of the tries below all roots, the texts with their nodes, and the texts with their ``path``.
 
     An edge has parent, letter (its first), label, child, ``follow`` (the first letters
-    of the edges below its child) and ``ends`` (whether its child is a text).
+    of the edges below its child) and ``ends`` (whether its child is a text). A path
+    lists the places and nodes a text passes, from the root to its own.
     """
     places = run.settle(_places(texts))
     parting = places.groupBy("node").agg(F.min("letter").alias("low"), F.max("letter").alias("high")).where("low < high").select("node")
@@ -109,7 +110,7 @@ def trie(texts: DataFrame, run: Scratch) -> tuple[DataFrame, DataFrame]:
     ends = run.settle(_with_nodes(texts))
     stop = lambda at, node: F.struct(at.cast("int").alias("at"), node.cast("long").alias("node"))
     path = F.concat(F.array(stop(F.lit(0), F.col("root"))), F.coalesce("inner", F.array().cast("array<struct<at:int,node:bigint>>")), F.array(stop(F.length("text"), F.col("node"))))
-    rows = ends.join(inner, ends["node"] == inner["text_node"], "left").select("text", path.alias("path"))
+    rows = run.settle(ends.join(inner, ends["node"] == inner["text_node"], "left").select("text", path.alias("path")))
     steps = F.transform(F.slice("path", 2, F.size("path") - 1), lambda to, i: F.struct(
         F.get("path", i)["node"].alias("parent"), F.substr("text", F.get("path", i)["at"] + 1, to["at"] - F.get("path", i)["at"]).alias("label"), to["node"].alias("child")
     ))
@@ -119,18 +120,18 @@ def trie(texts: DataFrame, run: Scratch) -> tuple[DataFrame, DataFrame]:
     below = edges.groupBy("parent").agg(F.array_join(F.collect_set("letter"), "").alias("follow")).withColumnRenamed("parent", "child")
     words = ends.select(F.col("node").alias("child"), F.lit(True).alias("ends"))
     edges = edges.join(below, "child", "left").join(words, "child", "left")
-    return run.settle(edges.select("parent", "letter", "label", "child", F.coalesce("follow", F.lit("")).alias("follow"), F.coalesce("ends", F.lit(False)).alias("ends"))), ends
+    return run.settle(edges.select("parent", "letter", "label", "child", F.coalesce("follow", F.lit("")).alias("follow"), F.coalesce("ends", F.lit(False)).alias("ends"))), ends, rows
 
 
-def _moves(edits: Column, text: Column, at: Column, label: Column) -> Column:
-    """Where a state comes to along an edge: as it is, or with its one edit inside the edge."""
+def _edited(text: Column, at: Column, label: Column) -> Column:
+    """The places a text comes to along an edge with its one edit inside the edge."""
     size = F.length(label)
-    moves = [F.when(F.substr(text, at + 1, size) == label, F.struct((at + size).alias("at"), edits.alias("edits")))]
+    moves = []
     # A changed letter, one that the text lacks, one that it has more: by how much of the text is taken.
     for more in (0, -1, 1):
         part = F.substr(text, at + 1, size + more)
-        one = (edits == 0) & (F.length(part) == size + more) & (F.call_function("levenshtein", part, label, F.lit(1)) == 1)
-        moves.append(F.when(one, F.struct((at + size + more).alias("at"), F.lit(1).alias("edits"))))
+        one = (F.length(part) == size + more) & (F.call_function("levenshtein", part, label, F.lit(1)) == 1)
+        moves.append(F.when(one, at + size + more))
     return F.filter(F.array(*moves), lambda m: m.isNotNull())
 
 
@@ -142,30 +143,33 @@ def neighbours(words: DataFrame, run: Scratch) -> DataFrame:
     its edit only once half of its letters are behind it, where few edges part.
     """
     both = F.explode(F.array(F.struct(F.col("word").alias("text"), F.lit(ROOT).cast("long").alias("root")), F.struct(F.reverse("word").alias("text"), F.lit(BACK).cast("long").alias("root")))).alias("x")
-    edges, ends = trie(words.select("n", both).select("x.text", "x.root", "n"), run)
-    states = ends.select("text", F.lit(0).alias("at"), F.col("root").alias("node"), F.lit(0).alias("edits"))
-    found = None
+    edges, ends, paths = trie(words.select("n", both).select("x.text", "x.root", "n"), run)
+    # Without an edit a text goes its own way, which is known: it begins at the last node
+    # on its first half, and may leave its way at that node and at each one after it.
+    half = F.floor(F.length("text") / 2)
+    stops = F.slice("path", F.size(F.filter("path", lambda p: p["at"] <= half)), F.size("path"))
+    spent = paths.select("text", half.alias("half"), F.explode(stops).alias("stop")).select("text", "half", "stop.at", F.col("stop.node").alias("parent"))
+    free = F.col("at") >= F.col("half")
+    # Before its half, and after its edit, a text follows the one edge that begins with its next letter.
+    bound = spent.where(~free).withColumn("letter", F.substr("text", F.col("at") + 1, F.lit(1))).join(edges, ["parent", "letter"])
+    open_ = spent.where(free).join(edges.drop("letter"), "parent")
+    edited = _edited(F.col("text"), F.col("at"), F.col("label"))
+    moved = bound.select("text", "child", "follow", "ends", edited.alias("to")).union(open_.select("text", "child", "follow", "ends", edited.alias("to")))
+    moved = moved.select("text", "child", "follow", "ends", F.explode("to").alias("at"))
+    # A letter that the text has more, at its end: the word of the node before is one letter shorter.
+    last = spent.where(free & (F.col("at") == F.length("text") - 1)).select("text", F.col("parent").alias("node")).join(ends.select("node"), "node", "left_semi")
+    found = last.select("text", "node")
     while True:
-        free = (F.col("edits") == 0) & (F.col("at") >= F.floor(F.length("text") / 2))
-        rows = states.withColumnRenamed("node", "parent")
-        # Before its half, and after its edit, a text follows the one edge that begins with its next letter.
-        bound = rows.where(~free).withColumn("letter", F.substr("text", F.col("at") + 1, F.lit(1))).join(edges, ["parent", "letter"])
-        open_ = rows.where(free).join(edges.drop("letter"), "parent")
-        moved = bound.select("text", "child", "follow", "ends", _moves(F.col("edits"), F.col("text"), F.col("at"), F.col("label")).alias("to"))
-        moved = moved.union(open_.select("text", "child", "follow", "ends", _moves(F.col("edits"), F.col("text"), F.col("at"), F.col("label")).alias("to")))
-        moved = moved.select("text", F.col("child").alias("node"), "follow", "ends", F.explode("to").alias("to")).select("text", "to.at", "node", "to.edits", "follow", "ends")
         # With its edit spent, a text must end here, or go on by its next letter.
         over = F.col("at") == F.length("text")
-        goes_on = (F.col("edits") == 0) | F.when(over, F.col("ends")).otherwise(F.instr("follow", F.substr("text", F.col("at") + 1, F.lit(1))) > 0)
-        states = run.settle(moved.where(goes_on).select("text", "at", "node", "edits"))
+        goes_on = F.when(over, F.col("ends")).otherwise(F.instr("follow", F.substr("text", F.col("at") + 1, F.lit(1))) > 0)
+        states = run.settle(moved.where(goes_on).select("text", "at", F.col("child").alias("node")))
         if states.isEmpty():
             break
-        over = (F.col("edits") == 1) & (F.col("at") == F.length("text"))
-        ended = states.where(over).select("text", "node")
-        found = ended if found is None else found.union(ended)
-        states = states.where(~over)
-    if found is None:
-        return words.select("word", F.col("word").alias("near"), F.col("n").alias("near_n")).limit(0)
+        found = found.union(states.where(over).select("text", "node"))
+        rows = states.where(~over).withColumnRenamed("node", "parent").withColumn("letter", F.substr("text", F.col("at") + 1, F.lit(1)))
+        met = rows.join(edges, ["parent", "letter"]).where(F.substr("text", F.col("at") + 1, F.length("label")) == F.col("label"))
+        moved = met.select("text", "child", "follow", "ends", (F.col("at") + F.length("label")).alias("at"))
     of_node = ends.select("node", F.col("text").alias("other"), "root", F.col("n").alias("near_n"))
     # Hashes only lead here; the letters themselves decide.
     pairs = found.join(of_node, "node").where(F.call_function("levenshtein", F.col("text"), F.col("other"), F.lit(1)) == 1)

@@ -191,3 +191,15 @@ def test_tiles_and_ties():
     want = [(i, int(scores[i, k]), int(ids[k])) for i in range(3) for k in sorted(range(400), key=lambda k: (-scores[i, k], ids[k]))[:4]]
     assert got == want
     assert ranked.TILE * 2**36 <= 2**53 and 45_000 * 10**6 < 2**36
+
+
+def test_paths_of_the_trie(spark):
+    """A text's own way is known without a walk: from the root, by nodes where words part, to its own node."""
+    run = Scratch(spark)
+    words = spark.createDataFrame([("abcd", 0, 1), ("abce", 0, 1), ("ab", 0, 1)], "text string, root long, n long")
+    _, ends, paths = spelling.trie(words, run)
+    own = {r.text: r.node for r in ends.collect()}
+    got = {r.text: [(p["at"], p["node"]) for p in r.path] for r in paths.collect()}
+    run.drop()
+    assert {t: [at for at, _ in p] for t, p in got.items()} == {"abcd": [0, 2, 3, 4], "abce": [0, 2, 3, 4], "ab": [0, 2]}
+    assert all(p[0][1] == 0 and p[-1][1] == own[t] for t, p in got.items()) and got["abcd"][1][1] == own["ab"]
