@@ -2,11 +2,12 @@
 
 The words that occur often enough are counted, and their trie is a table of edges:
 a node is a prefix where words part or end, known by a hash of its letters, and an
-edge carries the letters from one such node to the next. All words walk down that
-trie at once. A state is (word, position in it, node, edits); a step joins the states
-with the edges below their nodes and keeps those that need one edit at most and can go
-on. States that end together with a word of the trie after one edit are its neighbours.
-The number of steps is that of nodes on the longest path, not of letters.
+edge carries the letters from one such node to the next. Without an edit a word goes
+its own way down that trie, which is known; from each node of it, past half of the
+word, it may spend its one edit on an edge. From there states (word, position in it,
+node) are joined with the one edge that goes on by the next letter, step by step.
+States that end together with a word of the trie are its neighbours. The number of
+steps is that of nodes on the longest path, not of letters.
 """
 
 from __future__ import annotations
