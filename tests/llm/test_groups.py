@@ -383,3 +383,21 @@ def test_simhash(spark):
     for i, row in enumerate(rows):
         want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in row) > len(row))
         assert [x % (1 << 64) for x in got[i]] == [want, want]
+
+
+def test_lines_are_verified_twice(spark, monkeypatch):
+    """The texts are read again once after the anchors and once after all blocks, for few pairs that are not similar."""
+    calls, verified = [], lines._verified
+
+    def counted(docs, classes, pairs, least, run):
+        got = verified(docs, classes, pairs, least, run)
+        calls.append((pairs.count(), got.count()))
+        return got
+
+    monkeypatch.setattr(lines, "_verified", counted)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    lines.dropped_lines(docs).count()
+    assert len(calls) == 2
+    looked, similar = (sum(c[i] for c in calls) for i in (0, 1))
+    print("pairs looked at:", looked, "similar:", similar)
+    assert looked <= 3 * similar + 50
