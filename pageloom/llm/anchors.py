@@ -25,7 +25,7 @@ ANCHORS = (1, 8)  # of a bucket in each round, before groups are compared
 def several(left: DataFrame) -> DataFrame:
     """The members of buckets of two or more."""
     crowded = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    return left.join(crowded, "bucket").select("bucket", "key", "info")
+    return left.join(crowded, "bucket").select(*left.columns)
 
 
 def _apart(left: DataFrame, found: DataFrame, fits: Callable[[Column, Column], Column], run: Scratch) -> DataFrame:

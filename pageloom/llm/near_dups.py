@@ -5,14 +5,16 @@ its number among its equals; a sketch hashes the labelled pairs with a seed of i
 takes the two smallest, and is the hash of these two in the order of the text. Texts
 of high edit similarity share many pairs in the same order, so most likely one sketch,
 and texts that share one meet in a bucket. There each is compared with the bucket's
-anchors, and with members of other groups: first by the parities of its words, then
-by an alignment within a band of diagonals. Verified pairs are joined into groups.
+anchors, and with members of other groups: by the parities of its words inside the
+join, so that no pair of unlike texts is written, then by an alignment within a band
+of diagonals. Verified pairs are joined into groups.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ GRAM = 2  # words that are hashed together
 PICKED = 2  # of them in a sketch, in the order of the text
 PARITIES = 2048  # bits
 BAND = 4096  # words: longer texts are aligned row by row, shorter ones bit by bit
+_FLIPS = [f"f{i}" for i in range(PARITIES // 64)]
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64))
 
 
@@ -59,10 +62,10 @@ def sketches(words: np.ndarray) -> np.ndarray:
     return keys
 
 
-def parities(words: np.ndarray) -> bytes:
-    """For every place, whether an odd number of words fall on it: an edit changes two places at most."""
+def parities(words: np.ndarray) -> np.ndarray:
+    """For every place, whether an odd number of words fall on it, 64 places a number: an edit changes two places at most."""
     places = np.bincount((words >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES)
-    return np.packbits(places & 1).tobytes()
+    return np.packbits(places & 1).view(np.int64)
 
 
 def _by_bits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -159,13 +162,15 @@ def sketched(docs: DataFrame) -> DataFrame:
                 flips.append(parities(words))
             offsets = np.r_[0, np.cumsum([len(m) for m in marks])].astype(np.int32)
             flat = np.concatenate(marks) if marks else np.zeros(0, np.int64)
-            columns = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(flips, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "mark", "key", "n_words", "sketches", "flips"])
+            told = np.concatenate(flips).reshape(-1, len(_FLIPS)) if flips else np.zeros((0, len(_FLIPS)), np.int64)
+            columns = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            columns += [pa.array(told[:, i].copy()) for i in range(len(_FLIPS))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "mark", "key", "n_words", "sketches", *_FLIPS])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
-    made = rows.mapInArrow(run, "doc_id long, mark long, key binary, n_words int, sketches array<long>, flips binary")
+    made = rows.mapInArrow(run, "doc_id long, mark long, key binary, n_words int, sketches array<long>, " + ", ".join(f"{c} long" for c in _FLIPS))
     who = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "mark").alias("row")
-    return made.select(who, "key", "n_words", "sketches", "flips")
+    return made.select(who, "key", "n_words", "sketches", *_FLIPS)
 
 
 def _rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -195,22 +200,6 @@ def _met(pairs: DataFrame, values: DataFrame) -> DataFrame:
     return met.drop("salt")
 
 
-def _possible(pairs: DataFrame, told: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) whose parities don't rule out that they are similar. ``told`` has key, n_words and flips."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, PARITIES // 8) for i in (3, 4))
-            flipped = np.bitwise_count(one ^ other).sum(axis=1, dtype=np.int64)
-            most = np.floor((1 - least) * batch.column(2).to_numpy() + 1e-9)
-            mask = pa.array(flipped <= 2 * most)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
-
-    met = _met(pairs, told.select("key", F.struct("n_words", "flips").alias("value")))
-    longer = F.greatest("a.n_words", "b.n_words").alias("longer")
-    return met.select("u", "v", longer, F.col("a.flips").alias("a"), F.col("b.flips").alias("b")).mapInArrow(run, "u binary, v binary")
-
-
 def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """The pairs (u, v) whose texts are similar."""
 
@@ -227,17 +216,21 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, run: Scratch, least: float = SIMILAR) -> DataFrame:
     """Verified pairs of different texts: columns u and v, keys of ``classes``."""
-    members = classes.where("n_words > 0").select(F.explode(F.array_distinct("sketches")).alias("bucket"), "key", F.struct("n_words").alias("info"))
-    left = run.settle(several(members))
+    members = classes.where("n_words > 0").select(F.explode(F.array_distinct("sketches")).alias("bucket"), "key")
+    # Few texts share a bucket, and only these carry their parities into it.
+    left = several(members).join(classes.select("key", F.struct("n_words", *_FLIPS).alias("info")), "key")
+    left = run.settle(left.select("bucket", "key", "info"))
 
     def fits(a: Column, b: Column) -> Column:
-        return F.least(a["n_words"], b["n_words"]) >= F.lit(least) * F.greatest(a["n_words"], b["n_words"]) - 1e-9
+        longer = F.greatest(a["n_words"], b["n_words"])
+        sizes = F.least(a["n_words"], b["n_words"]) >= F.lit(least) * longer - 1e-9
+        flipped = reduce(lambda x, y: x + y, [F.bit_count(a[c].bitwiseXOR(b[c])) for c in _FLIPS])
+        return sizes & (flipped <= 2 * F.floor(F.lit(1 - least) * longer + F.lit(1e-9)))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        likely = run.settle(_possible(pairs, classes, least))
-        wanted = likely.select(F.col("u").alias("key")).union(likely.select("v")).distinct()
+        wanted = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
         words = run.settle(_with_words(docs, classes.join(wanted, "key").select("key", "row")))
-        return _verified(likely, words, least)
+        return _verified(pairs, words, least)
 
     return anchored_links(left, fits, verified, run)
 
@@ -246,7 +239,7 @@ def _grouped(docs: DataFrame, least: float, run: Scratch) -> tuple[DataFrame, Da
     """Narrow rows of ``docs``, and per key of a group of several rows: first row and size of the group."""
     rows = run.settle(sketched(docs))
     classes = rows.groupBy("key").agg(
-        F.min("row").alias("row"), F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"), F.first("flips").alias("flips")
+        F.min("row").alias("row"), F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"), *[F.first(c).alias(c) for c in _FLIPS]
     )
     classes = run.settle(classes)
     held = Scratch(docs.sparkSession)

@@ -401,3 +401,25 @@ def test_lines_are_verified_twice(spark, monkeypatch):
     looked, similar = (sum(c[i] for c in calls) for i in (0, 1))
     print("pairs looked at:", looked, "similar:", similar)
     assert looked <= 3 * similar + 50
+
+
+def test_texts_that_share_a_passage(spark, monkeypatch):
+    """Unlike texts meet in the buckets of a passage they share, but no pair of them is written."""
+    rng = np.random.default_rng(13)
+    passage = ["p%d" % i for i in range(30)]
+    texts = [" ".join([*passage, *rng.choice(["w%d" % i for i in range(3000)], 70)]) for _ in range(40)]
+    pairs, members, links = [], [], near_dups.anchored_links
+
+    def counted(left, fits, verified, run):
+        members.append(left.count())
+
+        def seen(found):
+            pairs.append(found.count())
+            return verified(found)
+
+        return links(left, fits, seen, run)
+
+    monkeypatch.setattr(near_dups, "anchored_links", counted)
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0] + " more"])), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dups.near_duplicates(docs).collect()} == {i: i % 40 for i in range(41)}
+    assert members[0] > 40 and sum(pairs) == 1
