@@ -385,6 +385,46 @@ def test_simhash(spark):
         assert [x % (1 << 64) for x in got[i]] == [want, want]
 
 
+def test_told_of_lines(spark):
+    """What is told of a line is that of its words, however often it stands there."""
+    rng = np.random.default_rng(15)
+    texts = ["\n".join(" ".join("v%d" % i for i in rng.integers(0, 9000, n)) for n in (1, 3, 4, 9, 64, 128, 129, 700)), " ".join("u%d" % i for i in range(20_000))]
+    docs = spark.createDataFrame([(0, texts[0])] * 2 + [(1, texts[1])], "doc_id long, text string")
+    rows = lines.occurrences(docs).collect()
+    assert sorted((r.doc_id, r.pos) for r in rows) == sorted([(0, i) for i in range(8)] * 2 + [(1, 0)])
+    found = {(r.doc_id, r.pos): r for r in rows}
+    split = spark.createDataFrame([(i, p, line.split()) for i, t in enumerate(texts) for p, line in enumerate(t.split("\n"))], "i long, p int, w array<string>")
+    for i, p, h in split.select("i", "p", F.transform("w", lambda w: F.xxhash64(w))).collect():
+        row, n = found[i, p], len(h)
+        odd = {x: sum(1 << b for b in range(64) if sum(1 for y in h if (y >> 20) % x[0] == x[1] and (y >> 24) % 64 == b) % 2) for x in [(4, k) for k in range(4)] + [(16, k) for k in range(16)]}
+        want = [sum(1 << b for b in range(64) if 2 * sum(y >> b & 1 for y in h) > n), *[odd[4, k] for k in range(4)]] if n > 3 else [None] * 5
+        assert row.n_words == n and [x if x is None else x % (1 << 64) for x in (row.print, row.p0, row.p1, row.p2, row.p3)] == want
+        assert (row.wide and [x % (1 << 64) for x in row.wide]) == ([odd[16, k] for k in range(16)] if n > 128 else None)
+
+
+def test_long_lines_that_share_words(spark, monkeypatch):
+    """Long lines of the same frequent words are no pairs to be read again."""
+    rng = np.random.default_rng(16)
+    common = ["c%d" % i for i in range(110)]
+    texts = []
+    for _ in range(60):
+        words = [*common, *["r%d" % i for i in rng.integers(0, 10**6, 190)]]
+        texts.append(" ".join(rng.permutation(words)))
+    looked, verified = [], lines._verified
+
+    def counted(docs, classes, pairs, least, run):
+        looked.append(pairs.count())
+        return verified(docs, classes, pairs, least, run)
+
+    monkeypatch.setattr(lines, "_verified", counted)
+    monkeypatch.setattr(lines, "RADIUS", 64)
+    monkeypatch.setattr(lines, "_tables", lambda: [F.lit(0).cast("long")])
+    docs = spark.createDataFrame([*enumerate(texts), (60, texts[7] + " more")], "doc_id long, text string")
+    assert [r.doc_id for r in lines.dedup_lines(docs).collect() if not r.text] == [60]
+    print("pairs looked at:", looked)
+    assert sum(looked) <= 3
+
+
 def test_lines_are_verified_twice(spark, monkeypatch):
     """The texts are read again once after the anchors and once after all blocks, for few pairs that are not similar."""
     calls, verified = [], lines._verified
