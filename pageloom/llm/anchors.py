@@ -1,9 +1,9 @@
 """Pairs within buckets, without pairing all with all.
 
-Every member of a bucket is compared with the bucket's anchors; those that are
-linked leave, in a few rounds of more anchors. Members that came into one group,
-here or in any other bucket, need no further comparison with each other. All
-others do: in a bucket, those outside its largest group are compared with every
+Every member of a bucket is compared with the bucket's anchors; those that come
+into the group of one leave, in a few rounds of more anchors. Members that came into
+one group, here or in any other bucket, need no further comparison with each other.
+All others do: in a bucket, those outside its largest group are compared with every
 member of another group, linked or not. So no similar pair of a bucket stays
 apart, and a large group of copies costs as many pairs as it has members.
 """
@@ -28,16 +28,23 @@ def several(left: DataFrame) -> DataFrame:
     return left.join(crowded, "bucket").select(*left.columns)
 
 
+def _labelled(members: DataFrame, found: DataFrame, run: Scratch) -> DataFrame:
+    """bucket, key and label of ``members``: the group that ``found`` puts them into."""
+    label = components(found, run).select(F.col("node").alias("key"), F.col("root").alias("label"))
+    return members.select("bucket", "key").join(label, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
+
+
 def _apart(left: DataFrame, found: DataFrame, fits: Callable[[Column, Column], Column], run: Scratch) -> DataFrame:
     """Pairs (u, v), u < v, of members of a bucket that ``found`` leaves in different groups.
 
     One of the two is outside the largest group of the bucket.
     """
-    label = components(found, run).select(F.col("node").alias("key"), F.col("root").alias("label"))
-    named = left.join(label, "key", "left").select("bucket", "key", "info", F.coalesce("label", "key").alias("label"))
-    groups = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    narrow = run.settle(_labelled(left, found, run))
+    groups = narrow.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = groups.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    named = run.settle(named.join(mixed, "bucket").select("bucket", "key", "info", "label", "main"))
+    # Infos are wide: only those of mixed buckets are moved.
+    narrow = run.settle(narrow.join(mixed, "bucket").select("bucket", "key", "label", "main"))
+    named = run.settle(left.join(narrow, ["bucket", "key"]).select("bucket", "key", "info", "label", "main"))
     others = named.where("label <> main").select("bucket", F.col("key").alias("u"), F.col("info").alias("of_u"), F.col("label").alias("group"))
     # Two outside the main group meet once, from the smaller key.
     once = F.col("group") != F.col("label")
@@ -54,27 +61,29 @@ def anchored_links(left: DataFrame, fits: Callable[[Column, Column], Column], ve
     ``verified`` keeps the similar ones of distinct pairs (u, v), u < v.
     """
     whole, found, tested = left, None, None
+    left = left.withColumn("label", F.col("key"))
     for anchors in ANCHORS:
         # The same order in all buckets, so that a group's members meet the same few anchors.
         # Every task passes on the first few of its part of a bucket; the join with
         # the anchors can be split where a bucket is large.
         first = Window.partitionBy("bucket").orderBy(F.xxhash64("key"), "key")
         heads = left.withColumn("place", F.row_number().over(first)).where(F.col("place") <= anchors)
-        heads = heads.select("bucket", F.col("key").alias("u"), F.col("info").alias("of_u"))
-        pairs = left.join(heads, "bucket").where("key <> u")
-        pairs = run.settle(pairs.where(fits(F.col("of_u"), F.col("info"))).select("bucket", "u", F.col("key").alias("v")))
-        new = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        heads = heads.select("bucket", F.col("key").alias("u"), F.col("info").alias("of_u"), F.col("label").alias("group"))
+        pairs = left.join(heads, "bucket").where("key <> u AND label <> group").where(fits(F.col("of_u"), F.col("info")))
+        new = pairs.select(F.least("u", "key").alias("u"), F.greatest("u", "key").alias("v")).distinct()
         if tested is not None:
             new = new.join(tested, ["u", "v"], "left_anti")
         new = run.settle(new)
         good = run.settle(verified(new))
         found = good if found is None else found.union(good)
         tested = new if tested is None else tested.union(new)
-        # What is left of a bucket: no anchor, and like none of its anchors.
-        both = found.union(found.select("v", "u"))
-        linked = pairs.join(both, ["u", "v"], "left_semi").select("bucket", F.col("v").alias("key"))
-        done = linked.union(heads.select("bucket", F.col("u").alias("key"))).distinct()
-        left = run.settle(several(left.join(done, ["bucket", "key"], "left_anti")))
+        if anchors == ANCHORS[-1]:
+            break
+        # What is left of a bucket: what did not come into the group of an anchor, by whatever bucket.
+        narrow = run.settle(_labelled(left, found, run))
+        done = narrow.join(heads.select("bucket", F.col("u").alias("key")), ["bucket", "key"]).select("bucket", "label")
+        narrow = run.settle(narrow.join(done.distinct(), ["bucket", "label"], "left_anti"))
+        left = run.settle(left.drop("label").join(several(narrow), ["bucket", "key"]))
         if left.isEmpty():
             break
     new = run.settle(_apart(whole, found, fits, run).join(tested, ["u", "v"], "left_anti"))

@@ -262,6 +262,28 @@ def test_links_of_a_hot_bucket(spark):
     run.drop()
 
 
+def test_few_pairs_of_a_large_group(spark):
+    """Members whom another bucket put into the group of a bucket's anchor are not compared with further anchors."""
+    from pageloom.llm.anchors import anchored_links
+
+    # The first member of bucket 1 is like the second alone, which is like all others.
+    order = [r.key for r in spark.range(400).select(F.col("id").alias("key")).orderBy(F.xxhash64("key"), "key").collect()]
+    rows = [(1, key, (place,)) for place, key in enumerate(order)] + [(2, key, (place,)) for place, key in enumerate(order) if place]
+    left = spark.createDataFrame(rows, "bucket long, key long, info struct<at: int>")
+    fits = lambda a, b: ((a["at"] > 0) & (b["at"] > 0)) | (a["at"] + b["at"] == 1)
+    looked, run = [], Scratch(spark)
+
+    def verified(pairs):
+        looked.append(pairs.count())
+        return pairs
+
+    links = anchored_links(left, fits, verified, run)
+    assert {r.root for r in components(links, run).collect()} == {0} and links.distinct().count() >= 399
+    print("pairs looked at:", looked)
+    assert sum(looked) <= 500
+    run.drop()
+
+
 def _groups(normals, least=0.8):
     """The first of each line's group by edit similarity of words alone."""
     parent = list(range(len(normals)))
