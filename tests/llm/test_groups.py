@@ -465,6 +465,59 @@ def test_lines_are_verified_twice(spark, monkeypatch):
     assert looked <= 3 * similar + 50
 
 
+def test_similar_lines_share_a_run(spark):
+    """Whatever words are edited, two similar lines have one of the runs in common that each is looked at by."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for n in [*range(4, 30), 60, 150]:
+        for _ in range(12):
+            base = ["w%d" % i for i in rng.integers(0, 40, n)]
+            for edits in range(1, n // 5 + 2):
+                other = _scattered(rng, base, edits)
+                if len(other) > 3 and _edit(base, other) <= 0.2 * max(n, len(other)) + 1e-9:
+                    rows.append((len(rows), " ".join(base), " ".join(other)))
+    pairs = spark.createDataFrame(rows, "doc_id long, a string, b string")
+    first, second = (lines.places(pairs.select("doc_id", F.col(c).alias("text")), 0.8).select("doc_id", F.col("runs").alias(c)) for c in ("a", "b"))
+    met = first.join(second, "doc_id")
+    assert met.count() == len(rows) > 500 and met.where(~F.arrays_overlap("a", "b")).count() == 0
+
+
+def test_unlike_lines_are_not_read_again(spark, monkeypatch):
+    """Lines that share no run of words are in no bucket, however many there are; copies of a line are one."""
+    rng = np.random.default_rng(22)
+    texts = [" ".join("v%d" % i for i in rng.integers(0, 10**9, 12)) for _ in range(300)]
+    near = texts[5].split()
+    near[6] = "other"
+    told, sketched = [], lines._sketched
+
+    def counted(rows, line):
+        got = sketched(rows, line)
+        told.append(got.count())
+        return got
+
+    monkeypatch.setattr(lines, "_sketched", counted)
+    docs = spark.createDataFrame([*enumerate([*texts, *[texts[9]] * 20, " ".join(near)])], "doc_id long, text string")
+    assert [r.doc_id for r in lines.dedup_lines(docs).orderBy("doc_id").collect() if not r.text] == [*range(300, 321)]
+    assert sum(told) == 2
+
+
+def test_crowded_buckets(spark, monkeypatch):
+    """Lines of buckets that hold many are compared beyond their anchors, and by blocks where there are very many."""
+    rng = np.random.default_rng(23)
+    shared = ["extraordinarily%d" % i for i in range(3)]
+    texts = []
+    for _ in range(20):
+        base = [*shared, *["x%d" % i for i in rng.integers(0, 10**6, 20)]]
+        texts += [" ".join(base), " ".join([*base[:20], "other", *base[21:]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(lines, "RADIUS", 64)
+    monkeypatch.setattr(lines, "ROWS", 100)
+    for many in (lines.MANY, 10):
+        monkeypatch.setattr(lines, "MANY", many)
+        gone = [r.doc_id for r in lines.dedup_lines(docs).collect() if not r.text]
+        assert set(gone) <= set(range(1, 40, 2)) and len(gone) >= 18
+
+
 def test_texts_that_share_a_passage(spark, monkeypatch):
     """Unlike texts meet in the buckets of a passage they share, but no pair of them is written."""
     rng = np.random.default_rng(13)
